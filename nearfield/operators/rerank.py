@@ -16,17 +16,18 @@ from nearfield.session import broadcast_limit
 CANDIDATE_BYTES = 24
 
 
-def pair_distance(spark: SparkSession, block: QueryBlock):
-    """Column function (qid, vector) -> cosine distance to that query."""
+def pair_distance(spark: SparkSession, block: QueryBlock, metric: str = "cosine"):
+    """Column function (qid, vector) -> distance to that query."""
     order = np.argsort(block.ids)
-    shipped = spark.sparkContext.broadcast((block.ids[order], block.floats[order]))
+    shipped = spark.sparkContext.broadcast((block.ids[order], block.side(metric)[order]))
+    measure, dtype = metrics.metric_of(metric), metrics.DTYPES[metric]
 
     @F.arrow_udf("double")
     def distance(qid: pa.Array, vec: pa.Array) -> pa.Array:
-        x, _ = blocks.read_vectors(vec)
+        x, _ = blocks.read_vectors(vec, dtype)
         ids, matrix = shipped.value
         at = np.searchsorted(ids, qid.to_numpy())
-        return pa.array(metrics.Cosine.exact(x, matrix, np.arange(len(x)), at))
+        return pa.array(measure.exact(x, matrix, np.arange(len(x)), at))
 
     return distance
 

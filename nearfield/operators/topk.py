@@ -15,7 +15,7 @@ def merge_salts(df: DataFrame, keys: int) -> int:
 
 
 def top_k(
-    df: DataFrame, k: int, key: str = "qid", order: tuple[str, ...] = ("dist", "vec_id"), salts: int = 1
+    df: DataFrame, k: int, key: str | tuple[str, ...] = "qid", order: tuple[str, ...] = ("dist", "vec_id"), salts: int = 1
 ) -> DataFrame:
     """Rows ranked ``rk`` 1..k within ``key``.
 
@@ -23,11 +23,12 @@ def top_k(
     shuffle, so a task never holds a whole key.  With ``salts`` above one a key
     is first cut down in slices, which spreads a key fed by many tasks.
     """
+    keys = (key,) if isinstance(key, str) else key
     if salts > 1:
         sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        w = Window.partitionBy(key, "_slice").orderBy(*order)
+        w = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = sliced.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).drop("rk", "_slice")
-    w = Window.partitionBy(key).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
 
 
