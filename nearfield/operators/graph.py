@@ -16,11 +16,10 @@ from nearfield import settings
 from nearfield.functions import blocks
 from nearfield.operators import metrics
 from nearfield.operators.ivf import nearest_list, nearest_lists
-from nearfield.operators.knn import QueryBlock, per_block, scan_block
+from nearfield.operators.knn import QueryBlock, per_block, scan_block, score_block
 from nearfield.operators.rerank import CANDIDATE_BYTES, pair_distance, rerank
 from nearfield.operators.topk import RunningTopK, top_k
-from nearfield.operators.knn import score_block
-from nearfield.session import broadcast_limit, cut_lineage
+from nearfield.session import broadcast_limit, cut_lineage, materialise
 from nearfield.sources.vectors import hash_sample
 
 COPY_SALTS = 16
@@ -40,7 +39,7 @@ def heads(corpus: DataFrame, vec: str, copies: int) -> tuple[DataFrame, DataFram
         key=("_h", "vec"),
         order=("vec_id",),
     )
-    ranked = cut_lineage(ranked.select("vec_id", "vec", "rk"))
+    ranked = materialise(ranked.select("vec_id", "vec", "rk"), "heads")
     return ranked.select("vec_id", "vec"), ranked.filter(F.col("rk") == 1).select("vec_id", "vec")
 
 

@@ -26,7 +26,7 @@ from nearfield.operators import metrics
 from nearfield.operators.knn import HITS, QueryBlock, hits_batch, per_block, score_block
 from nearfield.operators.rerank import rerank
 from nearfield.operators.topk import RunningTopK, merge_salts, top_k
-from nearfield.session import broadcast_limit, cut_lineage, shuffle_partitions
+from nearfield.session import broadcast_limit, materialise, shuffle_partitions
 from nearfield.sources.vectors import hash_sample, hash_share
 
 # Training rows per list, and at least this many.
@@ -133,7 +133,8 @@ def train_sample(corpus: DataFrame, lists: int, vec: str) -> DataFrame:
     """Training rows: all of a small corpus, a hash share of a large one."""
     target = max(TRAIN_ROWS_PER_LIST * lists, TRAIN_ROWS_MIN)
     picked = hash_share(corpus.select("vec_id", vec), target, "train")
-    return cut_lineage(picked.repartition(min(shuffle_partitions(corpus.sparkSession), 1 + target // 4096)))
+    pieces = min(shuffle_partitions(corpus.sparkSession), 1 + target // 4096)
+    return materialise(picked.repartition(pieces), "train")
 
 
 def train_centroids(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfield import settings
 from nearfield.functions import blocks
+from nearfield.functions.vectors import cosine_distance
 from nearfield.operators import metrics
 from nearfield.operators.topk import RunningTopK, merge_salts, top_k
 from nearfield.session import broadcast_limit, cut_lineage, query_chunk_rows
@@ -154,3 +155,10 @@ def ground_truth(queries: DataFrame, corpus: DataFrame, k: int, vec: str = "v")
     """The k rows of largest dot product, the truth recall is measured by."""
     found = exact_knn(queries, corpus, k, vec, "dot")
     return found.select("qid", "rk", "vec_id", (-F.col("dist")).alias("dot"))
+
+
+def nearest_to(vector: list[float], corpus: DataFrame, k: int, vec: str = "f32") -> DataFrame:
+    """The k nearest rows of one vector: a distance column and an ordered limit."""
+    dist = cosine_distance(F.col(vec), F.lit([float(x) for x in vector]))
+    near = corpus.filter(F.col(vec).isNotNull()).select("vec_id", dist.alias("dist")).orderBy("dist", "vec_id").limit(k)
+    return near

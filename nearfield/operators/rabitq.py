@@ -22,6 +22,10 @@ from nearfield.operators.knn import HITS, QueryBlock, hits_batch, per_block
 from nearfield.operators.topk import RunningTopK, merge_salts, top_k
 
 
+# Offsets below this are rounding noise of a vector that is its own centroid.
+NO_LENGTH = 1e-9
+
+
 class RabitqIndex(NamedTuple):
     """An inverted-list index whose postings also hold rq_code, rq_norm, rq_dot."""
 
@@ -53,8 +57,10 @@ def rotate(matrix: np.ndarray) -> np.ndarray:
 
 
 def _direction(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rotated unit vectors, lengths); a zero vector keeps a zero direction."""
+    """(rotated unit vectors, lengths); a vector on its centroid has no direction."""
     norms = np.sqrt(np.einsum("ij,ij->i", r, r))
+    norms[norms < NO_LENGTH] = 0.0
+    r = np.where(norms[:, None] == 0, 0.0, r)
     return rotate(r / np.where(norms == 0, 1.0, norms)[:, None]), norms
 
 

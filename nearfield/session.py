@@ -55,6 +55,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/nearfield/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For tables that hold vectors: unlike a checkpoint, a later scan still reads
+    only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Make this package importable in the session's Python workers, once."""
     sc = spark.sparkContext
