@@ -26,21 +26,16 @@ COPY_SALTS = 16
 PRUNE_ALPHA = 1.2
 
 
-def heads(corpus: DataFrame, vec: str, copies: int) -> tuple[DataFrame, DataFrame]:
-    """(targets, sources): what is enough to find every ``copies - 1`` neighbours.
+def heads(corpus: DataFrame, vec: str, copies: int) -> DataFrame:
+    """(vec_id, vec, _h, copy): the first ``copies`` rows of every distinct vector.
 
     Copies of a vector are equally far from everything and the lower id wins, so
-    only the first ``copies`` of them can be a neighbour, and all of them share
-    the neighbours of the first.
+    only the first ``copies`` of them can be one of ``copies - 1`` neighbours, and
+    all of them share the neighbours of the first.
     """
-    ranked = top_k(
-        corpus.select("vec_id", F.col(vec).alias("vec")).withColumn("_h", F.xxhash64("vec")),
-        copies,
-        key=("_h", "vec"),
-        order=("vec_id",),
-    )
-    ranked = materialise(ranked.select("vec_id", "vec", "rk"), "heads")
-    return ranked.select("vec_id", "vec"), ranked.filter(F.col("rk") == 1).select("vec_id", "vec")
+    hashed = corpus.select("vec_id", F.col(vec).alias("vec"), F.xxhash64(vec).alias("_h"))
+    ranked = top_k(hashed, copies, key=("_h", "vec"), order=("vec_id",))
+    return materialise(ranked.withColumnRenamed("rk", "copy"), "heads")
 
 
 def _sliced(rows: DataFrame, sizes: DataFrame, own: str, other: str, is_target: bool) -> DataFrame:
@@ -62,10 +57,13 @@ def cell_top_k(sources: DataFrame, targets: DataFrame, k: int, metric: str, cell
     Both sides carry (list_id, vec_id, vec); a source may sit in several lists.
     """
 
-    def slices(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias(name))
-
-    sizes = cut_lineage(slices(sources, "s").join(slices(targets, "t"), "list_id"))
+    sides = sources.select("list_id", F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(
+        targets.select("list_id", F.lit(0).alias("s"), F.lit(1).alias("t"))
+    )
+    slices = [F.ceil(F.sum(side) / cell_rows).cast("int").alias(side) for side in ("s", "t")]
+    # One row per list; the number of lists is a parameter of the build.
+    counted = sides.groupBy("list_id").agg(*slices).filter((F.col("s") > 0) & (F.col("t") > 0))
+    sizes = sources.sparkSession.createDataFrame(counted.toArrow())
     cells = _sliced(sources, sizes, "s", "t", False).unionByName(_sliced(targets, sizes, "t", "s", True))
     measure, dtype = metrics.metric_of(metric), metrics.DTYPES[metric]
 
@@ -103,7 +101,9 @@ def knn_graph(
     spark = corpus.sparkSession
     metric = "hamming" if vec.startswith("code_") else "cosine"
     corpus = corpus.filter(F.col(vec).isNotNull())
-    targets, sources = heads(corpus, vec, degree + 1)
+    firsts = heads(corpus, vec, degree + 1)
+    targets = firsts.select("vec_id", "vec")
+    sources = firsts.filter(F.col("copy") == 1).select("vec_id", "vec")
     if centroids is None:
         targets, sources = (side.withColumn("list_id", F.lit(0)) for side in (targets, sources))
     else:
@@ -111,30 +111,33 @@ def knn_graph(
         lists = nearest_lists(spark, F.col("vec"), centroids, probes, metric)
         sources = sources.select("vec_id", "vec", F.explode(lists).alias("list_id"))
     found = cell_top_k(sources, targets, degree + 1, metric, cell_rows)
-    of_head = found.groupBy(F.col("src").alias("head")).agg(
+    found = found.groupBy(F.col("src").alias("vec_id")).agg(
         F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("nbrs")
     )
-    of_head = cut_lineage(of_head)
+    repeated = firsts.filter(F.col("copy") == 2).select("_h", "vec")
+    if not repeated.isEmpty():
+        found = _with_copies(corpus, firsts, repeated, cut_lineage(found), vec)
+    return found.select("vec_id", _without_self(F.col("nbrs"), F.col("vec_id"), degree).alias("nbrs"))
+
+
+def _with_copies(corpus: DataFrame, firsts: DataFrame, repeated: DataFrame, found: DataFrame, vec: str) -> DataFrame:
+    """Give every copy of a vector the neighbours found for its first row.
 
-    groups = (
-        corpus.groupBy(F.xxhash64(vec).alias("_h"), F.col(vec).alias("_vec"))
-        .agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-        .filter(F.col("copies") > 1)
-        .select("_h", "_vec", "head")
+    A group of copies may be a third of the table, so the join is spread over
+    salts and no task holds a group.
+    """
+    first = firsts.filter(F.col("copy") == 1).join(repeated, ["_h", "vec"]).select("vec_id", "_h", "vec")
+    lists = first.join(found, "vec_id").select(
+        "_h", "vec", "nbrs", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("_salt")
     )
-    groups = cut_lineage(groups)
-    singles = of_head.join(groups.select("head"), "head", "left_anti").withColumnRenamed("head", "vec_id")
-    if not groups.isEmpty():
-        # A group of copies may be a third of the table: spread it over salts.
-        lists = groups.join(of_head, "head").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1)))
-        )
-        salted = corpus.select("vec_id", F.xxhash64(vec).alias("_h"), F.col(vec).alias("_vec")).withColumn(
-            "_salt", F.pmod(F.xxhash64("vec_id"), F.lit(COPY_SALTS)).cast("int")
-        )
-        copies = salted.join(lists, ["_h", "_vec", "_salt"]).select("vec_id", "nbrs")
-        singles = singles.unionByName(copies)
-    return singles.select("vec_id", _without_self(F.col("nbrs"), F.col("vec_id"), degree).alias("nbrs"))
+    salted = corpus.select(
+        "vec_id",
+        F.xxhash64(vec).alias("_h"),
+        F.col(vec).alias("vec"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(COPY_SALTS)).cast("int").alias("_salt"),
+    )
+    copies = salted.join(lists, ["_h", "vec", "_salt"]).select("vec_id", "nbrs")
+    return found.join(first.select("vec_id"), "vec_id", "left_anti").unionByName(copies)
 
 
 def edges(graph: DataFrame) -> DataFrame:
@@ -225,9 +228,10 @@ def beam(
     metric = "hamming" if vec.startswith("code_") else "cosine"
     distance = pair_distance(spark, block, metric)
     everything = table.select("vec_id", vec, "nbr_ids")
-    start = hash_sample(table.select("vec_id", vec), entries, seed)
+    # As many rows as there are entry points: a fixed parameter of the search.
+    start = spark.createDataFrame(hash_sample(everything, entries, seed).toArrow())
     first = top_k(scan_block(start, block, ef, vec, metric), ef).select("qid", "vec_id", "dist")
-    linked = everything.select("vec_id", "nbr_ids").join(_hinted(first, len(block.ids) * entries), "vec_id")
+    linked = first.join(F.broadcast(start.select("vec_id", "nbr_ids")), "vec_id")
     state = cut_lineage(linked.select("qid", "vec_id", "dist", "nbr_ids", F.lit(False).alias("expanded")))
     for _ in range(hops):
         links = state.filter(~F.col("expanded")).select("qid", F.explode("nbr_ids").alias("vec_id")).distinct()

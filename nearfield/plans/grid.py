@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from nearfield import settings
@@ -86,7 +87,8 @@ def _logical_bytes(table: DataFrame) -> int:
 def _cell(method: str, precision: str, variant: str | None, table: DataFrame, sample: DataFrame, p: Profile) -> _Cell:
     """How to build and search one cell; only its own derived tables are read."""
     queries = as_queries(sample, precision, variant)
-    columns = [precision] + ([f"code_{variant}"] if variant else [])
+    # An index over codes serves both rerank precisions.
+    columns = ["f32", "f16", f"code_{variant}"] if variant else [precision]
     own = table.select("vec_id", *columns)
 
     def pinned(index: ivf.IvfIndex) -> ivf.IvfIndex:
@@ -183,38 +185,46 @@ def run_grid(
     profile: Profile = Profile(),
     methods: list[str] | None = None,
     warm_up: bool = True,
+    parallel: int = 1,
     sink: str | None = None,
 ) -> DataFrame:
     """Build, search and score every cell; a failed cell has its error as status.
 
     ``query_ids`` (vec_id) names the corpus rows used as queries.  Truth is the
     exact answer over full-width vectors.  Latency is one materialising run of
-    the whole query batch, after a warm-up run.
+    the whole query batch, after a warm-up run; with ``parallel`` above one cells
+    share the cluster, which is quicker but makes latencies incomparable.
+
+    An exact method builds nothing; an index over codes is built once and serves
+    both float precisions.
     """
     spark = corpus.sparkSession
-    grid = config_grid(corpus, dims).collect()
+    grid = [c for c in config_grid(corpus, dims).collect() if not methods or c.method in methods]
     unknown = set(methods or []) - {cell.method for cell in grid}
     if unknown:
         raise ValueError(f"unknown method: {', '.join(sorted(unknown))}")
     thresholds = fit_thresholds(corpus, full_dim)
     full = represent(corpus, full_dim, full_dim, ("f32",))
     wanted = query_ids.select("vec_id")
-    truth = cut_lineage(
-        knn.ground_truth(as_queries(full.join(wanted, "vec_id", "left_semi")), full, profile.k, "f32")
-    )
+    asked = as_queries(full.join(wanted, "vec_id", "left_semi"))
+    truth = cut_lineage(knn.ground_truth(asked, full, profile.k, "f32"))
     columns = ("f32", "f16", *[f"code_{v}" for v in CODE_VARIANTS])
-    results = []
-    for dim in dims:
-        table = materialise(represent(corpus, dim, full_dim, columns, thresholds), f"items_{dim}")
-        sample = table.join(wanted, "vec_id", "left_semi")
-        for spec in grid:
-            if spec.dimension != dim or (methods and spec.method not in methods):
-                continue
+    tables = {
+        dim: materialise(represent(corpus, dim, full_dim, columns, thresholds), f"items_{dim}") for dim in dims
+    }
+
+    def run(cells: list[Row]) -> list[tuple]:
+        """The cells of one index: built for the first, searched for each."""
+        rows, built = [], None
+        for spec in cells:
             precision = next(p for p, name in STORAGE.items() if name == spec.storage)
+            table = tables[spec.dimension]
             build_s = latency = recall = size = None
             try:
+                sample = table.join(wanted, "vec_id", "left_semi")
                 cell = _cell(spec.method, precision, spec.variant, table, sample, profile)
-                index, build_s = _timed(cell.build)
+                built = built or _timed(cell.build)
+                index, build_s = built
                 size = cell.nbytes(index)
                 search = lambda cell=cell, index=index: cut_lineage(cell.search(index))
                 if warm_up:
@@ -223,9 +233,15 @@ def run_grid(
                 recall, status = mean_recall(found, truth).first().recall, "ok"
             except Exception as error:  # noqa: BLE001 - a cell reports, the run goes on
                 status = f"{type(error).__name__}: {str(error)[:200]}"
-            results.append(
-                (dim, spec.storage, spec.method, spec.variant, build_s, size, spec.storage_mb, latency, recall, status)
-            )
+            measured = (build_s, size, spec.storage_mb, latency, recall, status)
+            rows.append((spec.dimension, spec.storage, spec.method, spec.variant, *measured))
+        return rows
+
+    by_index: dict[tuple, list[Row]] = {}
+    for spec in grid:
+        by_index.setdefault((spec.dimension, spec.method, spec.variant or spec.storage), []).append(spec)
+    with ThreadPoolExecutor(parallel) as pool:
+        results = [row for rows in pool.map(run, by_index.values()) for row in rows]
     table = spark.createDataFrame(results, RESULTS)
     if sink:
         table.write.mode("append").parquet(sink)

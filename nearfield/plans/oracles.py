@@ -23,6 +23,8 @@ from nearfield.plans.registry import (
     QUERIES,
 )
 
+PRUNE_ALPHA = 1.2
+
 BUCKETS = {"thermo4": 4, "thermo8": 8, "onehot4": 4, "onehot8": 8}
 
 
@@ -404,7 +406,7 @@ def _graph_exact() -> str:
     return _with(RAW, UNIT, _sliced(FULL), _floats("f32")) + f"SELECT src, dst, rk FROM {top}"
 
 
-def _graph_blocked() -> str:
+def _blocked_edges() -> tuple[str, ...]:
     near = _cosine("f", "cen")
     looked = _top(
         f"(SELECT vec_id, list_id, {near} AS dist FROM items, seeds)", "vec_id", "dist, list_id", PROBES, "vec_id, list_id"
@@ -416,11 +418,43 @@ def _graph_blocked() -> str:
         "src",
         "dist, dst",
         DEGREE,
-        "src, dst",
+        "src, dst, dist",
+    )
+    return (
+        *(RAW, UNIT, _sliced(FULL), _floats("f32"), _seeds()),
+        _assign("assigned", "seeds", near),
+        f"looked AS {looked}",
+        f"near AS MATERIALIZED {top}",
+    )
+
+
+def _graph_blocked() -> str:
+    return _with(*_blocked_edges()) + "SELECT src, dst, rk FROM near"
+
+
+def _graph_pruned() -> str:
+    """Keep a neighbour unless an earlier kept one lies ALPHA times closer to it."""
+    listed = (
+        "listed AS MATERIALIZED (SELECT n.src, list(n.dst ORDER BY n.rk) AS dsts, list(n.dist ORDER BY n.rk) AS ds, "
+        "list(i.f ORDER BY n.rk) AS fs FROM near n JOIN items i ON i.vec_id = n.dst GROUP BY n.src)"
+    )
+    steps = []
+    for i in range(1, DEGREE + 1):
+        source = "listed" if i == 1 else f"keep{i - 1}"
+        covered = " OR ".join(
+            f"(k{j} AND {PRUNE_ALPHA} * ({_cosine(f'fs[{j}]', f'fs[{i}]')}) <= ds[{i}])" for j in range(1, i)
+        )
+        steps.append(
+            f"keep{i} AS MATERIALIZED (SELECT *, len(dsts) >= {i} AND NOT coalesce({covered or 'false'}, false) AS k{i} FROM {source})"
+        )
+    flags = ", ".join(f"k{i}" for i in range(1, DEGREE + 1))
+    rows = (
+        f"flagged AS (SELECT src, dsts[spot] AS dst, spot FROM (SELECT src, dsts, [{flags}] AS flags FROM keep{DEGREE}), "
+        f"unnest(range(1, {DEGREE + 1})) AS r(spot) WHERE flags[spot])"
+    )
+    return _with(*_blocked_edges(), listed, *steps, rows) + (
+        "SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY spot) AS INTEGER) AS rk FROM flagged"
     )
-    return _with(
-        RAW, UNIT, _sliced(FULL), _floats("f32"), _seeds(), _assign("assigned", "seeds", near), f"looked AS {looked}"
-    ) + f"SELECT src, dst, rk FROM {top}"
 
 
 # --- small statements ----------------------------------------------------------------
@@ -604,6 +638,11 @@ def oracle_sql() -> dict[str, str]:
         "SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, round([q1, q2, q3, q4, q5, q6, q7][j], 9) AS eighth, "
         "round([q2, q4, q6][j], 9) AS quarter FROM cuts, unnest(range(1, 8)) AS r(j)"
     )
+    discrete = ", ".join(f"quantile_disc(x, {i / 8})" for i in range(1, 8))
+    sql["dim_percentiles_approx"] = _with(RAW, UNIT, CUTS[0]) + (
+        f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, round(qs[j], 9) AS value FROM "
+        f"(SELECT d, [{discrete}] AS qs FROM spread GROUP BY d), unnest(range(1, 8)) AS r(j)"
+    )
     truth = _top("(SELECT qid, vec_id, -list_dot_product(f, qf) AS dist FROM asked, items)", "qid", "dist, vec_id", K, "qid, vec_id")
     found = _top(f"(SELECT qid, vec_id, {_differ('c', 'qc')} AS dist FROM asked, items)", "qid", "dist, vec_id", K, "qid, vec_id")
     sql["recall_at_k"] = _with(*_coded("thermo4", FULL), f"truth AS {truth}", f"found AS {found}") + (
@@ -642,5 +681,6 @@ def oracle_sql() -> dict[str, str]:
     sql["rabitq_knn"] = _rabitq_knn()
     sql["knn_graph_exact"] = _graph_exact()
     sql["knn_graph_blocked"] = _graph_blocked()
+    sql["knn_graph_pruned"] = _graph_pruned()
     sql["graph_knn"] = _graph_knn()
     return sql

@@ -361,7 +361,9 @@ def dim_percentiles(spark, sf_dir):
 @_query("dim_percentiles_approx")
 def dim_percentiles_approx(spark, sf_dir):
     cuts = quantiles.approx_percentiles(prep.prepare(_raw(spark, sf_dir), FULL, FULL), prep.EIGHTHS)
-    return cuts.select("d", F.posexplode("cuts").alias("cut", "value"))
+    return cuts.select("d", F.posexplode("cuts").alias("cut", "value")).withColumn(
+        "value", F.round("value", 9)
+    )
 
 
 @_query("recall_at_k")
@@ -373,10 +375,16 @@ def recall_at_k(spark, sf_dir):
     return evaluate.recall_at_k(found, truth).select("qid", F.round("recall", 6).alias("recall"))
 
 
-@_query("benchmark_results")
-def benchmark_results(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    return grid.run_grid(raw, _sample(raw.select("vec_id")), [FULL], FULL, GRID_PROFILE, warm_up=False)
+def _grid_query(name: str, methods: list[str]) -> None:
+    @_query(name)
+    def build(spark, sf_dir):
+        raw = _raw(spark, sf_dir)
+        asked = _sample(raw.select("vec_id"))
+        return grid.run_grid(raw, asked, [FULL], FULL, GRID_PROFILE, methods, warm_up=False, parallel=4)
+
+
+_grid_query("benchmark_results", ["exact", "exact_rerank", "ivf", "ivf_rerank", "rabitq"])
+_grid_query("benchmark_results_graph", ["graph", "graph_pruned", "graph_rerank"])
 
 
 # --- exact search --------------------------------------------------------------------
