@@ -234,8 +234,12 @@ def beam(
     linked = first.join(F.broadcast(start.select("vec_id", "nbr_ids")), "vec_id")
     state = cut_lineage(linked.select("qid", "vec_id", "dist", "nbr_ids", F.lit(False).alias("expanded")))
     for _ in range(hops):
-        links = state.filter(~F.col("expanded")).select("qid", F.explode("nbr_ids").alias("vec_id")).distinct()
-        fresh = links.join(state.select("qid", "vec_id"), ["qid", "vec_id"], "left_anti")
+        links = state.filter(~F.col("expanded")).select("qid", F.explode("nbr_ids").alias("vec_id"))
+        met = links.withColumn("known", F.lit(False)).unionByName(
+            state.select("qid", "vec_id", F.lit(True).alias("known"))
+        )
+        fresh = met.groupBy("qid", "vec_id").agg(F.bool_or("known").alias("known")).filter(~F.col("known"))
+        fresh = fresh.select("qid", "vec_id")
         found = everything.join(_hinted(fresh, len(block.ids) * ef * max_degree), "vec_id")
         scored = found.select(
             "qid", "vec_id", distance("qid", vec).alias("dist"), "nbr_ids", F.lit(False).alias("expanded")
