@@ -38,9 +38,13 @@ def heads(corpus: DataFrame, vec: str, copies: int) -> DataFrame:
     return materialise(ranked.withColumnRenamed("rk", "copy"), "heads")
 
 
-def _sliced(rows: DataFrame, sizes: DataFrame, own: str, other: str, is_target: bool) -> DataFrame:
+def _sliced(rows: DataFrame, sizes: pa.Table, own: str, other: str, is_target: bool) -> DataFrame:
     """Rows with their slice, repeated once for every slice of the other side."""
-    placed = rows.join(F.broadcast(sizes), "list_id")
+    if sizes.num_rows == 1:
+        one = sizes.to_pylist()[0]
+        placed = rows.withColumns({"s": F.lit(one["s"]), "t": F.lit(one["t"])})
+    else:
+        placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(sizes)), "list_id")
     return placed.select(
         "list_id",
         F.pmod(F.xxhash64("vec_id"), own).cast("int").alias(own),
@@ -63,7 +67,7 @@ def cell_top_k(sources: DataFrame, targets: DataFrame, k: int, metric: str, cell
     slices = [F.ceil(F.sum(side) / cell_rows).cast("int").alias(side) for side in ("s", "t")]
     # One row per list; the number of lists is a parameter of the build.
     counted = sides.groupBy("list_id").agg(*slices).filter((F.col("s") > 0) & (F.col("t") > 0))
-    sizes = sources.sparkSession.createDataFrame(counted.toArrow())
+    sizes = counted.toArrow()
     cells = _sliced(sources, sizes, "s", "t", False).unionByName(_sliced(targets, sizes, "t", "s", True))
     measure, dtype = metrics.metric_of(metric), metrics.DTYPES[metric]
 
