@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import blocks
 from nearfield.operators import metrics
-from nearfield.operators.knn import QueryBlock, per_block, scan_block
+from nearfield.operators.knn import QueryBlock, per_block, pilot_bound, scan_block
 from nearfield.operators.topk import merge_salts, top_k
 from nearfield.session import broadcast_limit
 
@@ -50,17 +50,26 @@ def rerank(
 
 
 def rerank_knn(
-    queries: DataFrame, corpus: DataFrame, k: int, overfetch: int, variant: str, precision: str
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    overfetch: int,
+    variant: str,
+    precision: str,
+    pilot: DataFrame | None = None,
 ) -> DataFrame:
     """k nearest rows by ``precision`` among the k*overfetch nearest by code.
 
     ``queries`` carry (qid, qv, qcode): the float and the coded query.  The
     first pass reads codes only, the second reads floats of the candidates.
+    ``pilot`` is a part of the corpus, as in ``exact_knn``.
     """
+    code = f"code_{variant}"
     width = k * overfetch
 
     def answer(block: QueryBlock) -> DataFrame:
-        hits = scan_block(corpus, block, width, f"code_{variant}", "hamming")
+        bound = pilot_bound(pilot, block, width, code, "hamming")
+        hits = scan_block(corpus, block, width, code, "hamming", bound)
         candidates = top_k(hits, width, salts=merge_salts(hits, len(block.ids))).select("qid", "vec_id")
         return rerank(candidates, block, corpus, k, precision, width)
 

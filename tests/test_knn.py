@@ -135,3 +135,24 @@ def test_column_distances(spark, unit):
     x, y = np.array([r.f32 for r in rows], float), np.array(q, float)
     assert [r.d for r in rows] == pytest.approx(x @ y)
     assert [r.c for r in rows] == pytest.approx(1 - x @ y / np.linalg.norm(x, axis=1) / np.linalg.norm(y), abs=1e-12)
+
+
+def test_a_pilot_changes_the_shuffle_and_not_the_result(spark, coded, tmp_path):
+    path = str(tmp_path / "items")
+    coded[64].repartition(20).write.parquet(path)
+    table, pilot = spark.read.parquet(path), knn.pilot_files(spark, path, 0.2)
+    assert 0 < pilot.count() < 250
+    asked = queries(coded[64], variant="sign")
+    for run in (
+        lambda p: knn.exact_knn(queries(coded[64]), table, 10, pilot=p),
+        lambda p: knn.hamming_knn(asked, table, 10, "sign", p),
+        lambda p: rerank.rerank_knn(asked, table, 5, 4, "sign", "f32", p),
+    ):
+        assert run(pilot).orderBy("qid", "rk").collect() == run(None).orderBy("qid", "rk").collect()
+    block = next(knn.query_blocks(asked))
+    bound = knn.pilot_bound(pilot, block, 10, "f32", "cosine")
+    free, held = (knn.scan_block(table, block, 10, "f32", "cosine", b).count() for b in (None, bound))
+    assert held < 0.7 * free
+    # A pilot too small to hold k rows bounds nothing.
+    few = knn.exact_knn(queries(coded[64]), table, 10, pilot=table.filter("vec_id < 5"))
+    assert few.orderBy("qid", "rk").collect() == knn.exact_knn(queries(coded[64]), table, 10).orderBy("qid", "rk").collect()
