@@ -2,7 +2,8 @@
 
 Building compares rows in cells: the rows of a list are cut in slices of bounded
 size and every pair of slices is one small group of a shuffle, so no task ever
-holds a list, however large.  Copies of one vector enter as one head.
+holds a list, however large.  Of a vector held by a crowd of rows only the first
+few take part.
 """
 
 from __future__ import annotations
@@ -19,23 +20,52 @@ from nearfield.operators.ivf import nearest_list, nearest_lists
 from nearfield.operators.knn import QueryBlock, per_block, scan_block, score_block
 from nearfield.operators.rerank import CANDIDATE_BYTES, pair_distance, rerank
 from nearfield.operators.topk import RunningTopK, top_k
-from nearfield.session import broadcast_limit, cut_lineage, materialise
+from nearfield.session import broadcast_limit, cut_lineage
 from nearfield.sources.vectors import hash_sample
 
 COPY_SALTS = 16
 PRUNE_ALPHA = 1.2
 
 
-def heads(corpus: DataFrame, vec: str, copies: int) -> DataFrame:
-    """(vec_id, vec, _h, copy): the first ``copies`` rows of every distinct vector.
+def _hinted(rows: DataFrame, bound: int) -> DataFrame:
+    fits = bound * CANDIDATE_BYTES <= broadcast_limit(rows.sparkSession)
+    return F.broadcast(rows) if fits else rows
+
+
+def _content(vec: str) -> list[Column]:
+    """Two independent 64-bit hashes: together they identify a vector."""
+    return [F.xxhash64(vec).alias("_h1"), F.xxhash64(F.lit("second"), F.col(vec)).alias("_h2")]
+
+
+def crowds(corpus: DataFrame, vec: str, copies: int) -> DataFrame:
+    """(_h1, _h2, first, last): vectors held by more than ``copies`` rows.
 
     Copies of a vector are equally far from everything and the lower id wins, so
     only the first ``copies`` of them can be one of ``copies - 1`` neighbours, and
-    all of them share the neighbours of the first.
+    all of them share the neighbours of the first.  ``last`` is the highest id
+    that can.  Only ids and hashes are shuffled, and no group is gathered.
     """
-    hashed = corpus.select("vec_id", F.col(vec).alias("vec"), F.xxhash64(vec).alias("_h"))
-    ranked = top_k(hashed, copies, key=("_h", "vec"), order=("vec_id",))
-    return materialise(ranked.withColumnRenamed("rk", "copy"), "heads")
+    ranked = top_k(corpus.select("vec_id", *_content(vec)), copies + 1, key=("_h1", "_h2"), order=("vec_id",))
+    found = ranked.groupBy("_h1", "_h2").agg(
+        F.min("vec_id").alias("first"),
+        F.max(F.when(F.col("rk") == copies, F.col("vec_id"))).alias("last"),
+        F.max("rk").alias("held"),
+    )
+    return cut_lineage(found.filter(F.col("held") > copies).drop("held"))
+
+
+def _sides(corpus: DataFrame, vec: str, crowd: DataFrame, crowd_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(targets, sources): rows that can be a neighbour, rows to find neighbours for."""
+    rows = corpus.select("vec_id", F.col(vec).alias("vec"))
+    if crowd_rows == 0:
+        return rows, rows
+    placed = rows.withColumns({"_h1": _content("vec")[0], "_h2": _content("vec")[1]}).join(
+        _hinted(crowd, crowd_rows), ["_h1", "_h2"], "left"
+    )
+    alone = F.col("first").isNull()
+    targets = placed.filter(alone | (F.col("vec_id") <= F.col("last")))
+    sources = placed.filter(alone | (F.col("vec_id") == F.col("first")))
+    return targets.select("vec_id", "vec"), sources.select("vec_id", "vec")
 
 
 def _sliced(rows: DataFrame, sizes: pa.Table, own: str, other: str, is_target: bool) -> DataFrame:
@@ -105,9 +135,9 @@ def knn_graph(
     spark = corpus.sparkSession
     metric = "hamming" if vec.startswith("code_") else "cosine"
     corpus = corpus.filter(F.col(vec).isNotNull())
-    firsts = heads(corpus, vec, degree + 1)
-    targets = firsts.select("vec_id", "vec")
-    sources = firsts.filter(F.col("copy") == 1).select("vec_id", "vec")
+    crowd = crowds(corpus, vec, degree + 1)
+    crowd_rows = crowd.count()
+    targets, sources = _sides(corpus, vec, crowd, crowd_rows)
     if centroids is None:
         targets, sources = (side.withColumn("list_id", F.lit(0)) for side in (targets, sources))
     else:
@@ -118,30 +148,26 @@ def knn_graph(
     found = found.groupBy(F.col("src").alias("vec_id")).agg(
         F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("nbrs")
     )
-    repeated = firsts.filter(F.col("copy") == 2).select("_h", "vec")
-    if not repeated.isEmpty():
-        found = _with_copies(corpus, firsts, repeated, cut_lineage(found), vec)
+    if crowd_rows:
+        found = _with_copies(corpus, crowd, cut_lineage(found), vec)
     return found.select("vec_id", _without_self(F.col("nbrs"), F.col("vec_id"), degree).alias("nbrs"))
 
 
-def _with_copies(corpus: DataFrame, firsts: DataFrame, repeated: DataFrame, found: DataFrame, vec: str) -> DataFrame:
-    """Give every copy of a vector the neighbours found for its first row.
+def _with_copies(corpus: DataFrame, crowd: DataFrame, found: DataFrame, vec: str) -> DataFrame:
+    """Give every copy of a crowd the neighbours found for its first row.
 
-    A group of copies may be a third of the table, so the join is spread over
-    salts and no task holds a group.
+    A crowd may be a third of the table, so the join is spread over salts and no
+    task holds a crowd.  It moves ids and hashes, not vectors.
     """
-    first = firsts.filter(F.col("copy") == 1).join(repeated, ["_h", "vec"]).select("vec_id", "_h", "vec")
-    lists = first.join(found, "vec_id").select(
-        "_h", "vec", "nbrs", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("_salt")
+    lists = crowd.join(found.withColumnRenamed("vec_id", "first"), "first").select(
+        "_h1", "_h2", "nbrs", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("_salt")
     )
     salted = corpus.select(
-        "vec_id",
-        F.xxhash64(vec).alias("_h"),
-        F.col(vec).alias("vec"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(COPY_SALTS)).cast("int").alias("_salt"),
+        "vec_id", *_content(vec), F.pmod(F.xxhash64("vec_id"), F.lit(COPY_SALTS)).cast("int").alias("_salt")
     )
-    copies = salted.join(lists, ["_h", "vec", "_salt"]).select("vec_id", "nbrs")
-    return found.join(first.select("vec_id"), "vec_id", "left_anti").unionByName(copies)
+    copies = salted.join(lists, ["_h1", "_h2", "_salt"]).select("vec_id", "nbrs")
+    alone = found.join(crowd.select(F.col("first").alias("vec_id")), "vec_id", "left_anti")
+    return alone.unionByName(copies)
 
 
 def edges(graph: DataFrame) -> DataFrame:
@@ -214,11 +240,6 @@ def nodes(graph: DataFrame, corpus: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def _hinted(rows: DataFrame, bound: int) -> DataFrame:
-    fits = bound * CANDIDATE_BYTES <= broadcast_limit(rows.sparkSession)
-    return F.broadcast(rows) if fits else rows
-
-
 def beam(
     block: QueryBlock, table: DataFrame, ef: int, hops: int, entries: int, vec: str, max_degree: int, seed: str = "entry"
 ) -> DataFrame:

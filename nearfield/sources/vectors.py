@@ -104,17 +104,21 @@ def assign_ids(rows: DataFrame, order: str | None = None, name: str = "row_id")
 def hash_sample(rows: DataFrame, n: int, seed: str, key: str = "vec_id") -> DataFrame:
     """``n`` seeded pseudo-random rows: those of smallest hash of (seed, key).
 
-    On a long table a hash threshold first thins the scan to about twice the
-    rows wanted; if chance left too few, the whole table is ordered instead.
+    On a long table the ids are drawn first, from a hash threshold that thins
+    them to about twice the rows wanted (or from all, if chance left too few);
+    the vectors are then read by an id filter that reaches the scan.
     """
-    draw = rows.withColumn("_draw", hash_order(seed, key))
+    draw = F.col("_draw")
     total = rows.count()
-    if total > SAMPLE_PREFILTER_ROWS and n < total // 4:
-        share = (2 * n + 64) / total
-        thinned = draw.filter(F.col("_draw") < f"{int(share * 16**8):08x}")
-        if thinned.count() >= n:
-            draw = thinned
-    return draw.orderBy("_draw", key).limit(n).drop("_draw")
+    if total <= SAMPLE_PREFILTER_ROWS or n > SMALL_LIMIT:
+        return rows.withColumn("_draw", hash_order(seed, key)).orderBy(draw, key).limit(n).drop("_draw")
+    ids = rows.select(key).withColumn("_draw", hash_order(seed, key))
+    share = (2 * n + 64) / total
+    thinned = ids.filter(draw < f"{int(share * 16**8):08x}") if share < 1 else ids
+    picked = thinned.orderBy(draw, key).limit(n).collect()
+    if len(picked) < n:
+        picked = ids.orderBy(draw, key).limit(n).collect()
+    return rows.filter(F.col(key).isin([row[key] for row in picked]))
 
 
 def hash_share(rows: DataFrame, target: int, seed: str, key: str = "vec_id") -> DataFrame:

@@ -34,7 +34,10 @@ def test_a_third_of_the_table_is_one_vector(spark):
     got = neighbours(graph.knn_graph(table, 4, cell_rows=50))
     assert got == brute_graph(x.astype(float), 4)
     # Only the first copies take part in the comparison of rows.
-    assert graph.heads(table, "f32", 5).count() == 300 - (100 - 5)
+    crowd = graph.crowds(table, "f32", 5)
+    assert [(r.first, r.last) for r in crowd.collect()] == [(0, 12)]
+    targets, sources = graph._sides(table, "f32", crowd, 1)
+    assert (targets.count(), sources.count()) == (300 - 95, 300 - 99)
 
 
 def test_blocked_graph_with_all_lists_is_exact(spark):
