@@ -108,6 +108,7 @@ def cell_top_k(sources: DataFrame, targets: DataFrame, k: int, metric: str, cell
         src, dst = np.flatnonzero(~is_target), np.flatnonzero(is_target)
         state = RunningTopK(len(src), k)
         score_block(x[dst], ids[dst], x[src], np.arange(len(src)), state, measure)
+        state.settle()
         return pa.table({"src": ids[src][state.query], "dst": state.ids, "dist": state.dist})
 
     found = cells.groupBy("list_id", "s", "t").applyInArrow(best, "src bigint, dst bigint, dist double")

@@ -33,6 +33,8 @@ from nearfield.sources.vectors import hash_sample, hash_share
 TRAIN_ROWS_PER_LIST = 50
 TRAIN_ROWS_MIN = 10_000
 ROWS_PER_FILE = 1_000_000
+# Fewer rows of a list than this are not worth a product of their own.
+ROWS_PER_STEP = 64
 
 
 class IvfIndex(NamedTuple):
@@ -57,7 +59,7 @@ def nearest_rows(x: np.ndarray, centroids: np.ndarray, metric, count: int) -> np
     state = RunningTopK(len(x), count)
     every = np.arange(len(x))
     score_block(centroids, np.arange(len(centroids)), x, every, state, metric)
-    return state.ids.reshape(len(x), count).astype(np.int32)
+    return state.settle().ids.reshape(len(x), count).astype(np.int32)
 
 
 def _blockwise(x: np.ndarray, centroids: np.ndarray, metric, count: int) -> np.ndarray:
@@ -273,18 +275,28 @@ def scan_probed(index: IvfIndex, block: QueryBlock, probes: Probes, k: int, vec:
     measure, dtype = metrics.metric_of(index.metric), metrics.DTYPES[index.metric]
     shipped = index.postings.sparkSession.sparkContext.broadcast((block, probes.by_list))
 
+    index_metric, lists = index.metric, len(index.centroids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local, wanted = shipped.value
         q, state = local.side(index_metric), RunningTopK(len(local.ids), k)
+        everyone = np.arange(len(local.ids))
+        meets = np.zeros((lists, len(everyone)), bool)
+        for one, asking in wanted.items():
+            meets[one, asking] = True
         for batch in batches:
             x, _ = blocks.read_vectors(batch.column(2), dtype)
-            ids = batch.column(1).to_numpy()
-            for one, rows in by_list(batch.column(0).to_numpy()):
+            ids, at = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            if len(x) < ROWS_PER_STEP * len(np.unique(at)):
+                # Rows of many lists mixed: one product for all, unmet pairs left out.
+                some = meets[at].any(axis=1)
+                score_block(x[some], ids[some], q, everyone, state, measure, meets[at[some]])
+                continue
+            for one, rows in by_list(at):
                 if one in wanted:
                     score_block(x[rows], ids[rows], q, wanted[one], state, measure)
         yield hits_batch(state, local.ids)
 
-    index_metric = index.metric
     rows = probes.only(index.postings, len(index.centroids)).select("list_id", "vec_id", vec)
     return rows.filter(F.col(vec).isNotNull()).mapInArrow(run, HITS)
 

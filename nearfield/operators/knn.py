@@ -76,8 +76,19 @@ def query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
         yield _block(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(pieces)) == piece), limit)
 
 
-def score_block(x, ids, q, columns, state: RunningTopK, metric) -> None:
-    """Offer the rows of ``x`` to the queries ``columns`` of ``q``."""
+def score_block(
+    x: np.ndarray,
+    ids: np.ndarray,
+    q: np.ndarray,
+    columns: np.ndarray,
+    state: RunningTopK,
+    metric,
+    allowed: np.ndarray | None = None,
+) -> None:
+    """Offer the rows of ``x`` to the queries ``columns`` of ``q``.
+
+    ``allowed``, rows x columns, leaves pairs out.
+    """
     if len(x) == 0 or len(columns) == 0:
         return
     step = max(1, settings.BLOCK_CELLS // len(columns))
@@ -85,15 +96,19 @@ def score_block(x, ids, q, columns, state: RunningTopK, metric) -> None:
     for start in range(0, len(x), step):
         part, part_ids = x[start : start + step], ids[start : start + step]
         coarse = metric.coarse(part, wanted)
+        if allowed is not None:
+            coarse = np.where(allowed[start : start + step], coarse, np.nan)
         bound = state.bound[columns]
         if len(part) > state.k and np.isinf(bound).any():
-            bound = np.minimum(bound, np.partition(coarse, state.k - 1, axis=0)[state.k - 1])
+            kth = np.partition(coarse, state.k - 1, axis=0)[state.k - 1]
+            bound = np.fmin(bound, kth)
         rows, cols = np.nonzero(coarse <= bound[None, :] + metric.slack)
-        dist = metric.exact(part, wanted, rows, cols)
+        dist = metric.exact(part, wanted, rows, cols) if metric.slack else coarse[rows, cols].astype(float)
         state.offer(columns[cols], dist, part_ids[rows])
 
 
 def hits_batch(state: RunningTopK, query_ids: np.ndarray) -> pa.RecordBatch:
+    state.settle()
     return pa.RecordBatch.from_arrays(
         [pa.array(query_ids[state.query]), pa.array(state.ids), pa.array(state.dist)],
         names=["qid", "vec_id", "dist"],

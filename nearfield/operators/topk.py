@@ -33,7 +33,12 @@ def top_k(
 
 
 class RunningTopK:
-    """k best (distance, id) of each query over the blocks one task reads."""
+    """k best (distance, id) of each query over the blocks one task reads.
+
+    Offers wait until there are about as many as the answer is long, so sorting
+    stays in proportion to the rows offered.  ``bound`` may lag behind the offers
+    and never falls below the distance of the k-th best row.
+    """
 
     def __init__(self, queries: int, k: int):
         self.k = k
@@ -41,15 +46,30 @@ class RunningTopK:
         self.dist = np.zeros(0, np.float64)
         self.ids = np.zeros(0, np.int64)
         self.bound = np.full(queries, np.inf)
+        self._waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._count = 0
+        self._enough = max(1024, queries * k)
 
     def offer(self, query: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
-        query = np.concatenate([self.query, query])
-        dist = np.concatenate([self.dist, dist])
-        ids = np.concatenate([self.ids, ids])
+        self._waiting.append((query, dist, ids))
+        self._count += len(query)
+        if self._count >= self._enough:
+            self.settle()
+
+    def settle(self) -> "RunningTopK":
+        """Merge what waits; call before reading the result."""
+        if not self._waiting:
+            return self
+        query, dist, ids = (
+            np.concatenate([held, *offered])
+            for held, offered in zip((self.query, self.dist, self.ids), zip(*self._waiting, strict=True), strict=True)
+        )
+        self._waiting, self._count = [], 0
         order = np.lexsort((ids, dist, query))
         query, dist, ids = query[order], dist[order], ids[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
         last = rank == self.k - 1
-        self.bound[query[last]] = dist[last]
+        self.bound[query[last]] = np.minimum(self.bound[query[last]], dist[last])
         kept = rank < self.k
         self.query, self.dist, self.ids = query[kept], dist[kept], ids[kept]
+        return self

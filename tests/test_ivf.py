@@ -182,3 +182,15 @@ def test_rabitq_of_copies_and_centroids(spark):
     assert index.ivf.postings.filter("rq_norm <> 0").isEmpty()
     asked = prep.as_queries(table.filter("vec_id = 30"))
     assert as_map(rabitq.rabitq_knn(asked, index, 12, 2)) == {30: [*range(10), 20, 21]}
+
+
+def test_mixed_and_sorted_batches_agree(spark, index, asked, conf):
+    want = as_map(ivf.ivf_knn(asked, index, 10, 6))
+    by_list = index._replace(postings=index.postings.repartition(2, "list_id").sortWithinPartitions("list_id"))
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    assert as_map(ivf.ivf_knn(asked, by_list, 10, 6)) == want
+    ivf_rows, ivf.ROWS_PER_STEP = ivf.ROWS_PER_STEP, 0
+    try:
+        assert as_map(ivf.ivf_knn(asked, index, 10, 6)) == want
+    finally:
+        ivf.ROWS_PER_STEP = ivf_rows

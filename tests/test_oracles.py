@@ -28,7 +28,10 @@ def test_registries_agree():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, name):
-    got = QUERIES[name](spark, SF_DIR).toPandas()
+    df = QUERIES[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = df.toPandas()
     want = db.execute(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)

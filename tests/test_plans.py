@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.operators import knn, prep, rerank
-from nearfield.plans import registry
 from nearfield.session import materialise
 
 
@@ -49,10 +48,3 @@ def test_preparation_does_not_shuffle(embeddings, thresholds):
 def test_id_filters_reach_the_scan(stored):
     text = plan(stored.filter(F.col("vec_id") <= 9).select("vec_id"))
     assert "PushedFilters: [IsNotNull(vec_id), LessThanOrEqual(vec_id,9)]" in text
-
-
-def test_no_registered_query_has_a_cross_product(spark):
-    for name, query in registry.queries().items():
-        if not name.startswith("benchmark"):
-            text = plan(query(spark, "/root/testdata/sf0.001"))
-            assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
