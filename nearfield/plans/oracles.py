@@ -41,6 +41,11 @@ def _half_units(vec: str) -> str:
     return f"array_to_string(list_transform({vec}, lambda x: CAST(x * 16777216 AS BIGINT)), ',')"
 
 
+def _rounded(value: str, digits: int = 6) -> str:
+    """Rounded, with a plain zero for both signed zeros."""
+    return f"CASE WHEN round({value}, {digits}) = 0 THEN 0.0 ELSE round({value}, {digits}) END"
+
+
 def _bits(vec: str) -> str:
     return f"array_to_string({vec}, '')"
 
@@ -149,7 +154,7 @@ def _base(dim: int) -> tuple[str, ...]:
 
 def _hits(source: str, k: int = K) -> str:
     top = _top(source, "qid", "dist, vec_id", k, "qid, vec_id, dist")
-    return f"SELECT qid, rk, vec_id, round(dist, 6) AS dist FROM {top}"
+    return f"SELECT qid, rk, vec_id, {_rounded('dist')} AS dist FROM {top}"
 
 
 def _exact(dim: int, precision: str) -> tuple[str, ...]:
@@ -556,14 +561,14 @@ def _pair(kind: str) -> str:
     else:
         base = (*_base(DIM), _floats("f32"))
         value = _cosine("i.f", "one.f") if kind == "cosine_distance" else "list_dot_product(i.f, one.f)"
-        value = f"round({value}, 6)"
+        value = _rounded(value)
     return _with(*base, one) + f"SELECT i.vec_id, {value} AS value FROM items i, one"
 
 
 def _one_query(precision: str) -> str:
     one = f"one AS (SELECT * FROM items ORDER BY {_hashed('query')}, vec_id LIMIT 1)"
     return _with(*_base(DIM), _floats(precision), one) + (
-        f"SELECT vec_id, round(dist, 6) AS dist FROM (SELECT i.vec_id, {_cosine('i.f', 'one.f')} AS dist FROM items i, one) "
+        f"SELECT vec_id, {_rounded('dist')} AS dist FROM (SELECT i.vec_id, {_cosine('i.f', 'one.f')} AS dist FROM items i, one) "
         f"ORDER BY dist, vec_id LIMIT {K}"
     )
 
@@ -633,14 +638,14 @@ def oracle_sql() -> dict[str, str]:
         f"{mb.format('4 / 8')} AS code4_mb, {mb.format(1)} AS code8_mb FROM (SELECT label, count(*) AS n, "
         "max(len(embedding)) AS dims FROM embeddings GROUP BY label)"
     )
-    sql["dim_means"] = _with(RAW, UNIT, *CUTS) + "SELECT CAST(d AS INTEGER) AS d, round(m, 9) AS mean FROM cuts"
+    sql["dim_means"] = _with(RAW, UNIT, *CUTS) + f"SELECT CAST(d AS INTEGER) AS d, {_rounded('m', 9)} AS mean FROM cuts"
     sql["dim_percentiles"] = _with(RAW, UNIT, *CUTS) + (
-        "SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, round([q1, q2, q3, q4, q5, q6, q7][j], 9) AS eighth, "
-        "round([q2, q4, q6][j], 9) AS quarter FROM cuts, unnest(range(1, 8)) AS r(j)"
+        f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, {_rounded('[q1, q2, q3, q4, q5, q6, q7][j]', 9)} AS eighth, "
+        f"{_rounded('[q2, q4, q6][j]', 9)} AS quarter FROM cuts, unnest(range(1, 8)) AS r(j)"
     )
     discrete = ", ".join(f"quantile_disc(x, {i / 8})" for i in range(1, 8))
     sql["dim_percentiles_approx"] = _with(RAW, UNIT, CUTS[0]) + (
-        f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, round(qs[j], 9) AS value FROM "
+        f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, {_rounded('qs[j]', 9)} AS value FROM "
         f"(SELECT d, [{discrete}] AS qs FROM spread GROUP BY d), unnest(range(1, 8)) AS r(j)"
     )
     truth = _top("(SELECT qid, vec_id, -list_dot_product(f, qf) AS dist FROM asked, items)", "qid", "dist, vec_id", K, "qid, vec_id")
@@ -656,7 +661,7 @@ def oracle_sql() -> dict[str, str]:
         K,
         "qid, vec_id, dot",
     )
-    sql["ground_truth"] = _with(RAW, UNIT, PICKED) + f"SELECT qid, rk, vec_id, round(dot, 6) AS dot FROM {best}"
+    sql["ground_truth"] = _with(RAW, UNIT, PICKED) + f"SELECT qid, rk, vec_id, {_rounded('dot')} AS dot FROM {best}"
     for precision in ("f32", "f16"):
         sql[f"exact_knn_{precision}"] = _one_query(precision)
         sql[f"ivf_knn_{precision}"] = _ivf(precision)
@@ -671,11 +676,11 @@ def oracle_sql() -> dict[str, str]:
     seeded = (RAW, UNIT, _sliced(FULL), _floats("f32"), _seeds(), _assign("assigned0", "seeds", _cosine("f", "cen")))
     sql["ivf_assign_seeded"] = _with(*seeded) + "SELECT vec_id, list_id FROM assigned0"
     sql["ivf_lloyd_step"] = _with(*seeded, LLOYD[0]) + (
-        "SELECT list_id, CAST(d AS INTEGER) AS d, round(mean, 6) AS mean FROM means"
+        f"SELECT list_id, CAST(d AS INTEGER) AS d, {_rounded('mean')} AS mean FROM means"
     )
     sql["ivf_code_assign"] = _with(*_code_lists("thermo4")) + "SELECT vec_id, list_id FROM assigned"
     sql["rabitq_encode"] = _with(*_rabitq_base()) + (
-        f"SELECT vec_id, list_id, {_bits('bits')} AS code, round(n, 6) AS norm, round(dot, 6) AS dot FROM coded"
+        f"SELECT vec_id, list_id, {_bits('bits')} AS code, {_rounded('n')} AS norm, {_rounded('dot')} AS dot FROM coded"
     )
     sql["rabitq_estimate"] = _rabitq_estimate()
     sql["rabitq_knn"] = _rabitq_knn()

@@ -92,8 +92,14 @@ def _bits(name: str, dim: int) -> Column:
     return codes.bits_to_string(name, ivf.code_bits(dim, name.removeprefix("code_")))
 
 
+def _rounded(c: Column | str, digits: int = 6) -> Column:
+    """Rounded, with a plain zero for both signed zeros."""
+    value = F.round(c, digits)
+    return F.when(value == 0, F.lit(0.0)).otherwise(value)
+
+
 def _hits(found: DataFrame) -> DataFrame:
-    return found.select("qid", "rk", "vec_id", F.round("dist", 6).alias("dist"))
+    return found.select("qid", "rk", "vec_id", _rounded("dist").alias("dist"))
 
 
 # --- sources, sinks, catalogue -------------------------------------------------------
@@ -298,7 +304,8 @@ def _pair_query(name: str, column: str, distance: Callable[[Column, Column], Col
         one = source.hash_sample(table, 1, "query").first()[column]
         element = "float" if column == "f32" else "bigint"
         query = F.lit(list(one)).cast(f"array<{element}>")
-        return table.select("vec_id", F.round(distance(F.col(column), query), 6).alias("value"))
+        value = distance(F.col(column), query)
+        return table.select("vec_id", (value if column != "f32" else _rounded(value)).alias("value"))
 
 
 _pair_query("cosine_distance", "f32", vectors.cosine_distance)
@@ -344,7 +351,7 @@ def storage_estimate(spark, sf_dir):
 @_query("dim_means")
 def dim_means(spark, sf_dir):
     means = quantiles.dim_means(prep.prepare(_raw(spark, sf_dir), FULL, FULL))
-    return means.select("d", F.round("mean", 9).alias("mean"))
+    return means.select("d", _rounded("mean", 9).alias("mean"))
 
 
 @_query("dim_percentiles")
@@ -353,8 +360,8 @@ def dim_percentiles(spark, sf_dir):
     return learned.select("d", F.posexplode("t8").alias("cut", "value"), "t4").select(
         "d",
         "cut",
-        F.round("value", 9).alias("eighth"),
-        F.round(F.try_element_at("t4", F.col("cut") + 1), 9).alias("quarter"),
+        _rounded("value", 9).alias("eighth"),
+        _rounded(F.try_element_at("t4", F.col("cut") + 1), 9).alias("quarter"),
     )
 
 
@@ -362,7 +369,7 @@ def dim_percentiles(spark, sf_dir):
 def dim_percentiles_approx(spark, sf_dir):
     cuts = quantiles.approx_percentiles(prep.prepare(_raw(spark, sf_dir), FULL, FULL), prep.EIGHTHS)
     return cuts.select("d", F.posexplode("cuts").alias("cut", "value")).withColumn(
-        "value", F.round("value", 9)
+        "value", _rounded("value", 9)
     )
 
 
@@ -394,7 +401,7 @@ _grid_query("benchmark_results_graph", ["graph", "graph_pruned", "graph_rerank"]
 def ground_truth(spark, sf_dir):
     table = prep.prepare(_raw(spark, sf_dir), FULL, FULL)
     asked = _sample(table).select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
-    return knn.ground_truth(asked, table, K).select("qid", "rk", "vec_id", F.round("dot", 6).alias("dot"))
+    return knn.ground_truth(asked, table, K).select("qid", "rk", "vec_id", _rounded("dot").alias("dot"))
 
 
 def _one_query(precision: str) -> None:
@@ -402,7 +409,7 @@ def _one_query(precision: str) -> None:
     def build(spark, sf_dir):
         table = _table(spark, sf_dir, DIM, precision)
         one = source.hash_sample(table, 1, "query").first()[precision]
-        return knn.nearest_to(one, table, K, precision).select("vec_id", F.round("dist", 6).alias("dist"))
+        return knn.nearest_to(one, table, K, precision).select("vec_id", _rounded("dist").alias("dist"))
 
 
 _one_query("f32")
@@ -450,7 +457,7 @@ def ivf_assign_seeded(spark, sf_dir):
 def ivf_lloyd_step(spark, sf_dir):
     table = _table(spark, sf_dir, FULL, "f32")
     means = ivf.lloyd_step(table, ivf.seed_centroids(table, LISTS))
-    return means.select("list_id", "d", F.round("mean", 6).alias("mean"))
+    return means.select("list_id", "d", _rounded("mean").alias("mean"))
 
 
 @_query("ivf_train_kmeans")
@@ -522,8 +529,8 @@ def rabitq_encode(spark, sf_dir):
         "vec_id",
         "list_id",
         codes.bits_to_string("rq_code", rabitq.padded_dim(FULL)).alias("code"),
-        F.round("rq_norm", 6).alias("norm"),
-        F.round("rq_dot", 6).alias("dot"),
+        _rounded("rq_norm").alias("norm"),
+        _rounded("rq_dot").alias("dot"),
     )
 
 
