@@ -8,8 +8,11 @@ few take part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,11 +189,7 @@ def undirected(graph: DataFrame, max_degree: int, salts: int = 8) -> DataFrame:
     """
     there = edges(graph).select("src", "dst", "dist")
     back = there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
-    once = there.unionByName(back).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    kept = top_k(once, max_degree, key="src", order=("dist", "dst"), salts=salts)
-    return kept.groupBy(F.col("src").alias("vec_id")).agg(
-        F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("nbrs")
-    )
+    return _nearest_links(there.unionByName(back), max_degree, salts)
 
 
 def pruned_rows(dist: np.ndarray, x: np.ndarray, alpha: float, degree: int) -> list[int]:
@@ -207,6 +206,17 @@ def pruned_rows(dist: np.ndarray, x: np.ndarray, alpha: float, degree: int) -> l
     return kept
 
 
+def _with_vectors(graph: DataFrame, corpus: DataFrame, vec: str) -> DataFrame:
+    """(src, n): every row's links with their vectors; the lists are bounded."""
+    ends = corpus.select(F.col("vec_id").alias("dst"), F.col(vec).alias("vec"))
+    return (
+        edges(graph)
+        .join(ends, "dst")
+        .groupBy("src")
+        .agg(F.array_sort(F.collect_list(F.struct("dist", "dst", "vec"))).alias("n"))
+    )
+
+
 def prune(graph: DataFrame, corpus: DataFrame, degree: int, alpha: float = PRUNE_ALPHA, vec: str = "f32") -> DataFrame:
     """(vec_id, nbrs): fewer, more spread edges (the pruning rule of DiskANN).
 
@@ -223,14 +233,50 @@ def prune(graph: DataFrame, corpus: DataFrame, degree: int, alpha: float = PRUNE
             pa.list_(pa.int32()),
         )
 
-    with_vectors = edges(graph).join(corpus.select(F.col("vec_id").alias("dst"), F.col(vec).alias("vec")), "dst")
-    listed = with_vectors.groupBy("src").agg(
-        F.array_sort(F.collect_list(F.struct("dist", "dst", "vec"))).alias("n")
-    )
+    listed = _with_vectors(graph, corpus, vec)
     chosen = listed.withColumn("keep", kept(F.col("n.dist"), F.col("n.vec")))
-    return chosen.select(
-        F.col("src").alias("vec_id"),
-        F.transform("keep", lambda i: F.struct(F.col("n")[i]["dist"].alias("dist"), F.col("n")[i]["dst"].alias("dst"))).alias("nbrs"),
+    link = lambda i: F.struct(F.col("n")[i]["dist"].alias("dist"), F.col("n")[i]["dst"].alias("dst"))
+    return chosen.select(F.col("src").alias("vec_id"), F.transform("keep", link).alias("nbrs"))
+
+
+def refine(graph: DataFrame, corpus: DataFrame, degree: int, vec: str = "f32") -> DataFrame:
+    """(vec_id, nbrs) after one round of NN-Descent: neighbours meet each other.
+
+    The rows linked to one row are compared in place, and each hands on only its
+    ``degree`` best of them, so pairs are never rows.
+    """
+    metric = "hamming" if vec.startswith("code_") else "cosine"
+    measure, dtype = metrics.metric_of(metric), metrics.DTYPES[metric]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).flatten().to_numpy()
+            x, _ = blocks.read_vectors(batch.column(1).flatten(), dtype)
+            ends = np.cumsum(lengths)
+            for start, end in zip(ends - lengths, ends, strict=True):
+                here = np.arange(end - start)
+                state = RunningTopK(len(here), degree)
+                part = x[start:end]
+                score_block(part, ids[start:end], part, here, state, measure, here[:, None] != here[None, :])
+                state.settle()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[start:end][state.query]), pa.array(state.ids), pa.array(state.dist)],
+                    names=["src", "dst", "dist"],
+                )
+
+    listed = _with_vectors(graph, corpus, vec).select(F.col("n.dst").alias("ids"), F.col("n.vec").alias("vecs"))
+    met = listed.mapInArrow(meet, "src bigint, dst bigint, dist double")
+    both = met.unionByName(edges(graph).select("src", "dst", "dist"))
+    return _nearest_links(both, degree)
+
+
+def _nearest_links(links: DataFrame, degree: int, salts: int = 1) -> DataFrame:
+    """(vec_id, nbrs): the ``degree`` nearest distinct ends of every row."""
+    once = links.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    kept = top_k(once, degree, key="src", order=("dist", "dst"), salts=salts)
+    return kept.groupBy(F.col("src").alias("vec_id")).agg(
+        F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("nbrs")
     )
 
 

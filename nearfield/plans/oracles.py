@@ -411,10 +411,10 @@ def _graph_exact() -> str:
     return _with(RAW, UNIT, _sliced(FULL), _floats("f32")) + f"SELECT src, dst, rk FROM {top}"
 
 
-def _blocked_edges() -> tuple[str, ...]:
+def _blocked_edges(probes: int = PROBES) -> tuple[str, ...]:
     near = _cosine("f", "cen")
     looked = _top(
-        f"(SELECT vec_id, list_id, {near} AS dist FROM items, seeds)", "vec_id", "dist, list_id", PROBES, "vec_id, list_id"
+        f"(SELECT vec_id, list_id, {near} AS dist FROM items, seeds)", "vec_id", "dist, list_id", probes, "vec_id, list_id"
     )
     top = _top(
         f"(SELECT l.vec_id AS src, t.vec_id AS dst, {_cosine('a.f', 'b.f')} AS dist FROM looked l "
@@ -437,6 +437,20 @@ def _graph_blocked() -> str:
     return _with(*_blocked_edges()) + "SELECT src, dst, rk FROM near"
 
 
+def _graph_refined() -> str:
+    """Rows linked to one row become candidates of each other, once."""
+    both = "(SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM near UNION ALL SELECT dst, src, dist FROM near) GROUP BY src, dst)"
+    links = f"links AS MATERIALIZED {_top(both, 'src', 'dist, dst', 2 * DEGREE, 'src, dst')}"
+    pairs = (
+        "pairs AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM links a JOIN links b USING (src) WHERE a.dst <> b.dst "
+        "UNION SELECT src, dst FROM links)"
+    )
+    scored = f"(SELECT p.src, p.dst, {_cosine('a.f', 'b.f')} AS dist FROM pairs p JOIN items a ON a.vec_id = p.src JOIN items b ON b.vec_id = p.dst)"
+    return _with(*_blocked_edges(2), links, pairs) + (
+        f"SELECT src, dst, rk FROM {_top(scored, 'src', 'dist, dst', DEGREE, 'src, dst')}"
+    )
+
+
 def _graph_pruned() -> str:
     """Keep a neighbour unless an earlier kept one lies ALPHA times closer to it."""
     listed = (
@@ -686,6 +700,7 @@ def oracle_sql() -> dict[str, str]:
     sql["rabitq_knn"] = _rabitq_knn()
     sql["knn_graph_exact"] = _graph_exact()
     sql["knn_graph_blocked"] = _graph_blocked()
+    sql["knn_graph_refined"] = _graph_refined()
     sql["knn_graph_pruned"] = _graph_pruned()
     sql["graph_knn"] = _graph_knn()
     return sql

@@ -562,6 +562,14 @@ def knn_graph_blocked(spark, sf_dir):
     return graph.edges(_blocked(_table(spark, sf_dir, FULL, "f32"))).select("src", "dst", "rk")
 
 
+@_query("knn_graph_refined")
+def knn_graph_refined(spark, sf_dir):
+    table = _table(spark, sf_dir, FULL, "f32")
+    rough = graph.knn_graph(table, DEGREE, "f32", ivf.seed_centroids(table, LISTS), 2)
+    refined = graph.refine(graph.undirected(rough, 2 * DEGREE), table, DEGREE)
+    return graph.edges(refined).select("src", "dst", "rk")
+
+
 @_query("knn_graph_pruned")
 def knn_graph_pruned(spark, sf_dir):
     table = _table(spark, sf_dir, FULL, "f32")

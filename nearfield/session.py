@@ -51,8 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; derived tables never overwrite."""
-    return f"{shared_dir(spark).rstrip('/')}/nearfield/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; derived tables never overwrite.
+
+    All paths of an application share one folder, so they can be removed with it.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/nearfield/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -50,6 +50,21 @@ def test_blocked_graph_with_all_lists_is_exact(spark):
     assert sum(part[i] == whole[i] for i in whole) < 150
 
 
+def test_refinement_rounds_approach_the_exact_graph(spark):
+    x = np.random.default_rng(11).normal(size=(200, 8)).astype(np.float32)
+    table = vectors(spark, x.tolist(), "f32")
+    exact = brute_graph(x.astype(float), 5)
+
+    def hits(links):
+        return sum(len(set(near) & set(exact[i])) for i, near in neighbours(links).items())
+
+    rough = materialise(graph.knn_graph(table, 5, "f32", ivf.seed_centroids(table, 10), 2), "rough")
+    once = materialise(graph.refine(graph.undirected(rough, 10), table, 5), "refined")
+    twice = graph.refine(graph.undirected(once, 10), table, 5)
+    got = [hits(links) for links in (rough, once, twice)]
+    assert got[0] < got[1] < got[2] <= 1000
+
+
 def test_undirected_bounds_a_hub(spark):
     rows = [(i, [(0.1 + i / 1000, 0)]) for i in range(1, 200)] + [(0, [(0.101, 1)])]
     links = spark.createDataFrame(rows, "vec_id bigint, nbrs array<struct<dist:double,dst:bigint>>")
