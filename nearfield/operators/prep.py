@@ -44,7 +44,9 @@ def fit_thresholds(
     return Thresholds(means, cuts[:, QUARTERS], cuts, mode)
 
 
-def fit_thresholds_approx(corpus: DataFrame, full_dim: int, accuracy: int = 10000, vec: str = "embedding") -> Thresholds:
+def fit_thresholds_approx(
+    corpus: DataFrame, full_dim: int, accuracy: int = 10000, vec: str = "embedding"
+) -> Thresholds:
     """The same from sketches; the result says it is not exact."""
     vectors = prepare(corpus, full_dim, full_dim, vec)
     table = (

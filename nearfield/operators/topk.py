@@ -15,7 +15,11 @@ def merge_salts(df: DataFrame, keys: int) -> int:
 
 
 def top_k(
-    df: DataFrame, k: int, key: str | tuple[str, ...] = "qid", order: tuple[str, ...] = ("dist", "vec_id"), salts: int = 1
+    df: DataFrame,
+    k: int,
+    key: str | tuple[str, ...] = "qid",
+    order: tuple[str, ...] = ("dist", "vec_id"),
+    salts: int = 1,
 ) -> DataFrame:
     """Rows ranked ``rk`` 1..k within ``key``.
 

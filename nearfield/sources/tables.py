@@ -126,7 +126,7 @@ class TableCatalog:
         mark = fingerprint(corpus)
         rows = int(mark.split("-")[0])
         mode = f"{thresholds.mode}{'' if thresholds.exact else '-approx'}"
-        schema = "table_name string, data_source string, num_vectors bigint, dimension int, encoder string, threshold_mode string, fingerprint string"
+        schema = METADATA.split(", location")[0]
         return self.spark.createDataFrame([(name, data_source, rows, dim, encoding, mode, mark)], schema)
 
     def build(
