@@ -187,9 +187,11 @@ def undirected(graph: DataFrame, max_degree: int, salts: int = 8) -> DataFrame:
     A row that is near to many others would collect them all; the degree bound
     is part of the graph's definition and is applied before any row is gathered.
     """
-    there = edges(graph).select("src", "dst", "dist")
-    back = there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
-    return _nearest_links(there.unionByName(back), max_degree, salts)
+    ways = F.array(
+        F.struct(F.col("src"), F.col("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    )
+    both = edges(graph).select(F.explode(ways).alias("way"), "dist").select("way.src", "way.dst", "dist")
+    return _nearest_links(both, max_degree, salts)
 
 
 def pruned_rows(dist: np.ndarray, x: np.ndarray, alpha: float, degree: int) -> list[int]:
@@ -248,27 +250,26 @@ def refine(graph: DataFrame, corpus: DataFrame, degree: int, vec: str = "f32") -
     metric = "hamming" if vec.startswith("code_") else "cosine"
     measure, dtype = metrics.metric_of(metric), metrics.DTYPES[metric]
 
+    def links(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (src, dst, dist)], names=["src", "dst", "dist"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).flatten().to_numpy()
-            x, _ = blocks.read_vectors(batch.column(1).flatten(), dtype)
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            ids, known = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+            yield links(np.repeat(batch.column(0).to_numpy(), lengths), ids, known)
+            x, _ = blocks.read_vectors(batch.column(3).flatten(), dtype)
             ends = np.cumsum(lengths)
             for start, end in zip(ends - lengths, ends, strict=True):
-                here = np.arange(end - start)
+                here, own = np.arange(end - start), ids[start:end]
                 state = RunningTopK(len(here), degree)
                 part = x[start:end]
-                score_block(part, ids[start:end], part, here, state, measure, here[:, None] != here[None, :])
+                score_block(part, own, part, here, state, measure, here[:, None] != here[None, :])
                 state.settle()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[start:end][state.query]), pa.array(state.ids), pa.array(state.dist)],
-                    names=["src", "dst", "dist"],
-                )
+                yield links(own[state.query], state.ids, state.dist)
 
-    listed = _with_vectors(graph, corpus, vec).select(F.col("n.dst").alias("ids"), F.col("n.vec").alias("vecs"))
-    met = listed.mapInArrow(meet, "src bigint, dst bigint, dist double")
-    both = met.unionByName(edges(graph).select("src", "dst", "dist"))
-    return _nearest_links(both, degree)
+    listed = _with_vectors(graph, corpus, vec).select("src", "n.dst", "n.dist", "n.vec")
+    return _nearest_links(listed.mapInArrow(meet, "src bigint, dst bigint, dist double"), degree)
 
 
 def _nearest_links(links: DataFrame, degree: int, salts: int = 1) -> DataFrame:
@@ -288,7 +289,14 @@ def nodes(graph: DataFrame, corpus: DataFrame, *columns: str) -> DataFrame:
 
 
 def beam(
-    block: QueryBlock, table: DataFrame, ef: int, hops: int, entries: int, vec: str, max_degree: int, seed: str = "entry"
+    block: QueryBlock,
+    table: DataFrame,
+    ef: int,
+    hops: int,
+    entries: int,
+    vec: str,
+    max_degree: int,
+    seed: str = "entry",
 ) -> DataFrame:
     """(qid, vec_id, dist): the ``ef`` best rows met within ``hops`` expansions.
 
@@ -322,7 +330,14 @@ def beam(
 
 
 def graph_knn(
-    queries: DataFrame, table: DataFrame, k: int, ef: int, hops: int, entries: int = 20, vec: str = "f32", max_degree: int = 64
+    queries: DataFrame,
+    table: DataFrame,
+    k: int,
+    ef: int,
+    hops: int,
+    entries: int = 20,
+    vec: str = "f32",
+    max_degree: int = 64,
 ) -> DataFrame:
     """k nearest rows met by a beam search over the links of ``table``."""
 
