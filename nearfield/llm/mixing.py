@@ -133,7 +133,7 @@ def plan_mix(docs: DataFrame, target: Target, budget: int | None = None) -> Mix:
     # The block in which the last, partial epoch ends, and how many tokens it may still give.
     so_far = F.sum("tokens").over(Window.partitionBy("_source").orderBy("_turn"))
     ordered = blocks.withColumn("upto", so_far).withColumnRenamed("tokens", "in_block")
-    last = ordered.join(quotas.select("_source", "rest"), "_source").filter(
+    last = ordered.join(quotas.filter("rest > 0").select("_source", "rest"), "_source").filter(
         (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("in_block") <= F.col("rest"))
     )
     last = last.select("_source", "_block", "_turn", (F.col("rest") - F.col("upto") + F.col("in_block")).alias("left"))
@@ -165,7 +165,7 @@ def copies(docs: DataFrame, mix: Mix, least: int = 0) -> DataFrame:
 
 def repeated(docs: DataFrame, mix: Mix, least: int = 0) -> DataFrame:
     """The mixed corpus: each row as often as the plan takes it, with the columns of ``docs``."""
-    names = docs.columns
-    counted = copies(docs.select(*names), mix, least)
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))
+    counted = copies(rows, mix, least).filter("copies > 0")
     # Rows of zero copies go; the others are repeated without a shuffle.
-    return counted.filter("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    return counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -118,7 +118,7 @@ def learn(x: np.ndarray, parts: int, coverage: float = COVERAGE, seed: int = 7)
     """Graph, parts and classifier of a sample; ``probes`` is what ``coverage`` takes on it."""
     rng = np.random.default_rng(seed)
     width, n = x.shape[1], len(x)
-    scale = 1 / max(1e-12, float(np.sqrt((x * x).mean())))
+    scale = 1 / max(1e-12, float(np.sqrt((x * x).sum() / max(1, x.size))))
     w1, w2 = rng.normal(0, np.sqrt(2 / width), (width, HIDDEN)), rng.normal(0, np.sqrt(1 / HIDDEN), (HIDDEN, parts))
     b1, b2 = np.zeros(HIDDEN), np.zeros(parts)
     if parts == 1 or n < 2 * parts:

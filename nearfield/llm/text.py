@@ -29,6 +29,7 @@ class Words(NamedTuple):
     rows: int
     hashes: np.ndarray
     row: np.ndarray
+    starts: list[tuple[np.ndarray, np.ndarray]] = []  # (hash, row) of the words' first bytes, by wanted length
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -59,28 +60,35 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, length, np.searchsorted(offsets, start, "right") - 1
 
 
-def hashed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def hashed(data: np.ndarray, start: np.ndarray, length: np.ndarray, beginnings: tuple[int, ...] = ()):
+    """(hash of each word, [hash of its first bytes, for words longer than that])."""
     order = np.argsort(-length, kind="stable")
     at, size = start[order], length[order]
     h = np.full(len(at), _SEED)
-    many = len(at)
+    many, taken = len(at), {}
     for k in range(min(_HASHED_BYTES, int(size[0]) if many else 0)):
         many = int(np.searchsorted(-size[:many], -k, "left"))
+        if k in beginnings:
+            taken[k] = order[:many], mixed(h[:many] ^ np.uint64(k))
         h[:many] = (h[:many] ^ data[at[:many] + k].astype(np.uint64)) * _PRIME
     for i in range(int(np.searchsorted(-size, -_HASHED_BYTES, "left"))):
         h[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + size[i]].tobytes())
     out = np.empty_like(h)
     out[order] = mixed(h)
-    return out
+    return out, [taken[k] for k in beginnings if k in taken]
 
 
-def words(column: pa.Array) -> Iterator[Words]:
-    """Hashed words of a text column, in runs of rows of about a megabyte."""
+def words(column: pa.Array, beginnings: tuple[int, ...] = ()) -> Iterator[Words]:
+    """Hashed words of a text column, in runs of rows of about a megabyte.
+
+    ``beginnings`` also asks for the first so many bytes of every longer word.
+    """
     data, offsets = byte_rows(column)
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
         part = _LOWER[data[offsets[first] : offsets[last]]]
         start, length, row = spans(part, offsets[first : last + 1] - offsets[first])
-        yield Words(first, last - first, hashed(part, start, length), row)
+        whole, firsts = hashed(part, start, length, beginnings)
+        yield Words(first, last - first, whole, row, [(h, row[at]) for at, h in firsts])
         first = last

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after the other.  Each has a linear model over
-hashed words and over the probabilities of the categories before it.  Later
+hashed words, their beginnings and the probabilities of the categories before it.  Later
 models are trained on out-of-fold probabilities, from models that never saw the
 row, since at scoring time no row has been seen either.  A document is toxic if
 its last probability reaches a threshold, chosen on out-of-fold predictions.
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from nearfield.llm.text import words
 
 FEATURES_LOG2 = 18
+BEGINNINGS = (3, 4, 5)  # bytes of a word's start that are features too
 TRAIN_ROWS = 8192
 LEAST_DOCS = 4
 FOLDS = 3
-STEPS = 60
+STEPS = 100
+LEAST_Z = 5.0
 RIDGE = 2e-4
 
 
@@ -50,7 +52,7 @@ class Chain(NamedTuple):
 
 
 class Rows(NamedTuple):
-    """Distinct hashed words of some rows, as (row, feature) pairs sorted by row."""
+    """Distinct hashed words and word beginnings of some rows, as (row, feature) pairs sorted by row."""
 
     row: np.ndarray
     feature: np.ndarray
@@ -60,8 +62,10 @@ class Rows(NamedTuple):
 def features(column: pa.Array) -> Iterator[tuple[int, Rows]]:
     """(first row, rows) for runs of rows of a text column."""
     mask = np.uint64((1 << FEATURES_LOG2) - 1)
-    for part in words(column):
-        pair = np.unique((part.row.astype(np.int64) << FEATURES_LOG2) | (part.hashes & mask).astype(np.int64))
+    for part in words(column, BEGINNINGS):
+        taken = [(part.hashes, part.row), *part.starts]
+        pair = np.concatenate([(r.astype(np.int64) << FEATURES_LOG2) | (h & mask).astype(np.int64) for h, r in taken])
+        pair = np.unique(pair)
         yield part.first, Rows(pair >> FEATURES_LOG2, pair & int(mask), part.rows)
 
 
@@ -76,13 +80,22 @@ def score(model: Linear, rows: Rows, earlier: list[np.ndarray]) -> np.ndarray:
     return _sigmoid(z)
 
 
+def associated(row: np.ndarray, feature: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Features whose shares in the two classes differ by ``LEAST_Z`` standard errors or more."""
+    many, yes = 1 << FEATURES_LOG2, max(1.0, float(y[used].sum()))
+    no = max(1.0, float(used.sum()) - yes)
+    total, hits = np.bincount(feature, minlength=many), np.bincount(feature, y[row], many)
+    share = total / (yes + no)
+    error = np.sqrt(share * (1 - share) * (1 / yes + 1 / no))
+    return (total >= LEAST_DOCS) & (np.abs(hits / yes - (total - hits) / no) > LEAST_Z * error)
+
+
 def fit_linear(rows: Rows, earlier: list[np.ndarray], y: np.ndarray, used: np.ndarray) -> Linear:
     """Logistic regression on the rows ``used``, full gradients with adaptive steps."""
     many = 1 << FEATURES_LOG2
     here = used[rows.row]
     row, feature = rows.row[here], rows.feature[here]
-    often = np.bincount(feature, minlength=many) >= LEAST_DOCS
-    kept = often[feature]
+    kept = associated(row, feature, y, used)[feature]
     names, feature = np.unique(feature[kept], return_inverse=True)
     row, n = row[kept], max(1, int(used.sum()))
     share = float(y[used].mean()) if used.any() else 0.0
