@@ -138,25 +138,46 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """Per bit the parity of the shingles hashed to it; about two bits per shingle.
+
+    Sets whose bits differ in ``d`` places differ in ``d`` shingles or more.
+    """
+    many = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference; the longer bits are folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signatures(docs: DataFrame, order: Order, percent: int, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, sig, grp, prefix) per row; a task gives each group's prefix once."""
+    """(doc_id, n, sig, grp, bits, prefix) per row; a task gives each group's prefix once."""
     shipped = docs.sparkSession.sparkContext.broadcast(order)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = shipped.value, set()
         for batch in batches:
-            size, sig, grp, lengths, flat = [], [], [], [0], []
+            size, sig, grp, bits, lengths, flat = [], [], [], [], [0], []
             for part in sets(batch.column(1), known, width):
                 for n, end, p in zip(part.size.tolist(), part.ends.tolist(), prefix_length(part.size, percent).tolist(), strict=True):
                     size.append(n)
                     if n == 0:
-                        sig.append(None), grp.append(None), lengths.append(0)
+                        sig.append(None), grp.append(None), bits.append(None), lengths.append(0)
                         continue
                     own = part.tokens[end - n : end]
                     head = own[:p]
                     group = xxhash.xxh3_128_digest(head.tobytes(), seed=n)
                     sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                     grp.append(group)
+                    bits.append(parity_bits(own))
                     if group in seen:
                         lengths.append(0)
                         continue
@@ -168,12 +189,12 @@ def signatures(docs: DataFrame, order: Order, percent: int, width: int = WIDTH)
             tokens = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(grp, pa.binary()), prefix],
-                names=["doc_id", "n", "sig", "grp", "prefix"],
+                [batch.column(0), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in (sig, grp, bits)), prefix],
+                names=["doc_id", "n", "sig", "grp", "bits", "prefix"],
             )
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, sig binary, grp binary, prefix array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, sig binary, grp binary, bits binary, prefix array<bigint>")
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -187,9 +208,24 @@ def may_link(a: str, b: str, percent: int) -> Column:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order, percent: int, width: int) -> DataFrame:
     """(a, b) of the pairs (sa, sb) of set signatures that link, as documents.
 
-    The sets are made again from the texts, only of documents in some pair.
+    Pairs whose bits differ too much are settled first.  For the others the sets
+    are made again from the texts.
     """
     spark = docs.sparkSession
+    side = classes.select("sig", "n", "bits")
+    near = pairs.join(side.withColumnsRenamed({"sig": "sa", "n": "na", "bits": "ba"}), "sa")
+    near = near.join(side.withColumnsRenamed({"sig": "sb", "n": "nb", "bits": "bb"}), "sb")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            least = np.array([least_difference(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            # 2 |common| = na + nb - |difference|
+            keep = (100 + percent) * (na + nb - least) >= 2 * percent * (na + nb)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["sa", "sb"]).filter(pa.array(keep))
+
+    near = near.select("sa", "sb", "na", "nb", "ba", "bb").mapInArrow(possible, "sa binary, sb binary")
+    pairs = materialise(near, "near")
     shipped = spark.sparkContext.broadcast(order)
     needed = pairs.select(F.col("sa").alias("sig")).unionByName(pairs.select(F.col("sb").alias("sig"))).distinct()
     reps = materialise(classes.join(needed, "sig").select("rep").distinct(), "asked")
@@ -209,8 +245,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), lists], names=["sig", "tokens"])
 
     rows = docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("text")
-    made = rows.mapInArrow(make, "sig binary, tokens array<bigint>").join(needed, "sig", "left_semi").dropDuplicates(["sig"])
-    made = materialise(made, "sets")
+    made = rows.mapInArrow(make, "sig binary, tokens array<bigint>")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +263,14 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order
                 linked.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["sa", "sb"]).filter(pa.array(linked, pa.bool_()))
 
-    left = pairs.join(made.withColumnsRenamed({"sig": "sb", "tokens": "tb"}), "sb")
+    if pairs.count() * 2 * ID_BYTES <= broadcast_limit(spark):
+        left = made.withColumnsRenamed({"sig": "sb", "tokens": "tb"}).join(F.broadcast(pairs), "sb")
+    else:
+        left = pairs.join(made.withColumnsRenamed({"sig": "sb", "tokens": "tb"}), "sb")
+    left = left.select("sa", "sb", "tb")
     both = left.join(made.withColumnsRenamed({"sig": "sa", "tokens": "ta"}), "sa").select("sa", "sb", "ta", "tb")
-    links = both.mapInArrow(compare, "sa binary, sb binary")
+    # Rows with the same text give the same set, so a pair may come several times.
+    links = both.mapInArrow(compare, "sa binary, sb binary").distinct()
     names = classes.select("sig", "rep")
     links = links.join(names.withColumnsRenamed({"sig": "sa", "rep": "a"}), "sa")
     return links.join(names.withColumnsRenamed({"sig": "sb", "rep": "b"}), "sb").select("a", "b")
@@ -244,7 +284,7 @@ def jaccard_join(
     order = frequent(docs, width)
     signed = materialise(signatures(docs, order, percent, width), "signatures")
     known = signed.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("grp").alias("grp"))
+    classes = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("grp", "n", "bits")))
     classes = materialise(classes, "classes")
     # Groups by shingle; a shingle of one group joins nothing.
     held = signed.filter(F.size("prefix") > 0).select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
