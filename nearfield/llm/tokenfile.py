@@ -18,6 +18,8 @@ a NULL text is an empty one and still gets its end id.
 from __future__ import annotations
 
 import functools
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,7 +40,10 @@ BLOCK = 256
 PERCENTILE = 0.9
 FILE_IDS = 1 << 22
 _STEP = 1 << 9  # blocks handled at once
-KEPT_CHUNKS = 1 << 18
+KEPT_CHUNKS = 1 << 19
+TEXTS_AT_ONCE = 256
+WORDS_AT_ONCE = 500
+WORD_END = "</w>"
 KEPT_CHARS = 48
 
 
@@ -131,35 +136,74 @@ def open_bytes(data: bytes) -> tuple[dict[str, np.ndarray], dict[str, int]]:
 
 @functools.cache
 def tokenizer(path: str):
+    # A task has one core.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+# A stop or comma between an ASCII letter and a blank is a piece of its own.
+_AFTER_WORD = re.compile(r"(?<=[A-Za-z])(?=[.,](?:[ \n]|$))")
+
+
 class _Chunks(dict):
-    """Ids by text between blanks, in two generations."""
+    """Ids by text between blanks, in two generations.
+
+    No token of this vocabulary holds white space, letters are lower-cased first
+    and stops never join the letters before them, so texts are cut at blanks and
+    before stops and encoded chunk by chunk.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.coder, self.older = tokenizer(path), {}
-
-    def text(self, text: str) -> bytes:
-        """Ids of ``text`` as 32-bit integers; no token of this vocabulary holds white space."""
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        missing = list({c for c in chunks if c not in self})
-        if missing:
-            if len(self) + len(missing) > KEPT_CHUNKS:
-                self.older = dict(self)
-                self.clear()
-                missing = list(set(chunks))
-            new = [c for c in missing if c not in self.older]
-            for chunk, code in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(code.ids, "<u4").tobytes()
-            for chunk in missing:
-                if chunk not in self:
-                    self[chunk] = self.older[chunk]
-        out = b"".join(map(self.__getitem__, chunks))
+        names = self.coder.get_vocab()
+        self.final = np.zeros(max(names.values()) + 1, bool)
+        self.final[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        if "<|" not in text:  # special entries are found as they are written
+            text = text.lower() if text.isascii() else text.encode("utf-8").lower().decode("utf-8")
+        text = _AFTER_WORD.sub(" ", text)
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def _encode(self, chunks: list[str]) -> None:
+        """Words of Latin-1 letters are one piece each: encoded side by side, a final token ends each."""
+        plain = [c for c in chunks if c.isalpha() and max(c) <= "\xff"]
+        other = [c for c in chunks if not (c.isalpha() and max(c) <= "\xff")]
+        for first in range(0, len(plain), WORDS_AT_ONCE):
+            part = plain[first : first + WORDS_AT_ONCE]
+            code = self.coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(code.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                other += part
+                continue
+            packed = ids.tobytes()
+            self.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for chunk, code in zip(other, self.coder.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self[chunk] = struct.pack(f"<{len(code.ids)}I", *code.ids)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers; chunks not met lately go to the library together."""
+        cut = [self.cut(text) for text in texts]
+        missing = {c for chunks in cut for c in chunks if c not in self}
+        if len(self) + len(missing) > KEPT_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+            missing = {c for chunks in cut for c in chunks}
+        new = []
         for chunk in missing:
+            known = self.older.get(chunk)
+            if known is None:
+                new.append(chunk)
+            else:
+                self[chunk] = known
+        self._encode(new)
+        out = [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
+        for chunk in new:
             if len(chunk) > KEPT_CHARS:
                 del self[chunk]
         return out
@@ -213,15 +257,17 @@ def write_tokens(
 
         held = 0
         for batch in batches:
-            for name, value in zip(batch.column(0), batch.column(1), strict=True):
-                one = coder.text(value.as_py() or "") + end
-                packed.append(one)
-                keys.append(name.as_py())
-                lengths.append(len(one) // 4)
-                held += len(one) // 4
-                if held >= FILE_IDS:
-                    held = 0
-                    yield flush()
+            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(first, TEXTS_AT_ONCE)
+                texts = [value or "" for value in part.column(1).to_pylist()]
+                for name, ids in zip(part.column(0).to_pylist(), coder.texts(texts), strict=True):
+                    packed.append(ids + end)
+                    keys.append(name)
+                    lengths.append(len(ids) // 4 + 1)
+                    held += lengths[-1]
+                    if held >= FILE_IDS:
+                        held = 0
+                        yield flush()
         if keys:
             yield flush()
 
