@@ -258,9 +258,9 @@ def write_tokens(
         held = 0
         for batch in batches:
             for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(first, TEXTS_AT_ONCE)
-                texts = [value or "" for value in part.column(1).to_pylist()]
-                for name, ids in zip(part.column(0).to_pylist(), coder.texts(texts), strict=True):
+                some = batch.slice(first, TEXTS_AT_ONCE)
+                texts = [value or "" for value in some.column(1).to_pylist()]
+                for name, ids in zip(some.column(0).to_pylist(), coder.texts(texts), strict=True):
                     packed.append(ids + end)
                     keys.append(name)
                     lengths.append(len(ids) // 4 + 1)
