@@ -31,8 +31,8 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE_ASCII = r"\t-\r\x20"
 # Pieces whose ends may still move when bytes follow: contractions look this far ahead.
 LOOK_AHEAD = 3
-KEPT_PIECES = 1 << 18
-KEPT_PAIRS = 1 << 20
+KEPT_PIECES = 1 << 17
+KEPT_PAIRS = 1 << 18
 KEPT_CHARS = 32
 _NEVER = float("inf")
 
@@ -220,6 +220,9 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.kept.__getitem__, self.pieces(text)))
 
+    def forget(self) -> None:
+        self.kept = _Pieces(self.vocabulary)
+
     def pieces(self, text: str) -> list[str]:
         return (self.split_ascii if text.isascii() else self.split).findall(text)
 
@@ -286,6 +289,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
+        coder.forget()  # what is kept is one task's
         for batch in batches:
             size, ids, packed_hash, decoded_hash = [], [], [], []
             for value in batch.column(1):

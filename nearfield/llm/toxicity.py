@@ -178,7 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, chain: list[tuple[str, Column]] | No
         empty = Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
         return fit_rows(empty, np.zeros((0, len(names)), int), names, np.zeros(0, int))
     size = held.value_lengths().to_numpy(zero_copy_only=False)
-    matrix = Rows(np.repeat(np.arange(table.num_rows), size), held.flatten().to_numpy().astype(np.int64), table.num_rows)
+    feature = held.flatten().to_numpy()
+    often = (np.bincount(feature, minlength=1 << FEATURES_LOG2) >= LEAST_DOCS)[feature]
+    row = np.repeat(np.arange(table.num_rows, dtype=np.int32), size)[often]
+    matrix = Rows(row, feature[often], table.num_rows)
     marks = np.stack([table.column(name).to_numpy() for name in names], axis=1)
     # Rows of one document stay in one fold.
     fold = table.column("doc_id").to_numpy() // 7 % FOLDS
