@@ -26,12 +26,9 @@ from nearfield.operators import metrics
 from nearfield.operators.knn import HITS, QueryBlock, hits_batch, per_block, score_block
 from nearfield.operators.rerank import rerank
 from nearfield.operators.topk import RunningTopK, merge_salts, top_k
-from nearfield.session import broadcast_limit, materialise, shuffle_partitions
+from nearfield.session import broadcast_limit, materialise
 from nearfield.sources.vectors import hash_sample, hash_share
 
-# Training rows per list, and at least this many.
-TRAIN_ROWS_PER_LIST = 50
-TRAIN_ROWS_MIN = 10_000
 ROWS_PER_FILE = 1_000_000
 # Fewer rows of a list than this are not worth a product of their own.
 ROWS_PER_STEP = 64
@@ -131,38 +128,49 @@ def updated_centroids(means: DataFrame, centroids: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(fresh), centroids, fresh)
 
 
-def train_sample(corpus: DataFrame, lists: int, vec: str) -> DataFrame:
-    """Training rows: all of a small corpus, a hash share of a large one."""
-    target = max(TRAIN_ROWS_PER_LIST * lists, TRAIN_ROWS_MIN)
-    picked = hash_share(corpus.select("vec_id", vec), target, "train")
-    pieces = min(shuffle_partitions(corpus.sparkSession), 1 + target // 4096)
-    return materialise(picked.repartition(pieces), "train")
+def train_sample(corpus: DataFrame, vec: str, sample_rows: int | None = None) -> DataFrame:
+    """Training rows: all, or about ``sample_rows`` picked by hash where the caller asks for fewer."""
+    rows = corpus.select("vec_id", vec)
+    return materialise(rows if sample_rows is None else hash_share(rows, sample_rows, "train"), "train")
 
 
 def train_centroids(
-    corpus: DataFrame, lists: int, steps: int = 5, vec: str = "f32", seed: str = "centroid"
+    corpus: DataFrame,
+    lists: int,
+    steps: int = 5,
+    vec: str = "f32",
+    seed: str = "centroid",
+    sample_rows: int | None = None,
 ) -> np.ndarray:
-    """Spherical k-means from seeded rows, a fixed number of steps."""
+    """Spherical k-means from seeded rows, a fixed number of steps over all rows or a stated sample."""
     centroids = seed_centroids(corpus, lists, vec, seed)
-    sample = train_sample(corpus, lists, vec) if steps else None
+    sample = train_sample(corpus, vec, sample_rows) if steps else None
     for _ in range(steps):
         centroids = updated_centroids(lloyd_step(sample, centroids, vec), centroids)
     return centroids
 
 
-def train_kmeans(corpus: DataFrame, lists: int, vec: str = "f32", steps: int = 20, seed: int = 7) -> np.ndarray:
+def train_kmeans(
+    corpus: DataFrame, lists: int, vec: str = "f32", steps: int = 20, seed: int = 7, sample_rows: int | None = None
+) -> np.ndarray:
     """Spherical k-means by Spark ML, for lists of better balance."""
-    sample = train_sample(corpus, lists, vec).select(array_to_vector(vec).alias("features"))
+    sample = train_sample(corpus, vec, sample_rows).select(array_to_vector(vec).alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=steps, distanceMeasure="cosine", initSteps=2).fit(sample)
     return checked(corpus.sparkSession, np.array(model.clusterCenters()))
 
 
 def train_code_centroids(
-    codes: DataFrame, lists: int, nbits: int, steps: int = 1, vec: str = "code_sign", seed: str = "centroid"
+    codes: DataFrame,
+    lists: int,
+    nbits: int,
+    steps: int = 1,
+    vec: str = "code_sign",
+    seed: str = "centroid",
+    sample_rows: int | None = None,
 ) -> np.ndarray:
     """Code centroids: seeded rows, refined by a majority vote on every bit."""
     centroids = seed_centroids(codes, lists, vec, seed)
-    sample = train_sample(codes, lists, vec) if steps else None
+    sample = train_sample(codes, vec, sample_rows) if steps else None
     for _ in range(steps):
         centroids = majority_step(sample, centroids, nbits, vec)
     return centroids

@@ -203,27 +203,3 @@ def approx_percentiles(vectors: DataFrame, probs: list[float], vec: str = "v", a
         .groupBy("d")
         .agg(F.percentile_approx("x", probs, accuracy).alias("cuts"))
     )
-
-
-def nth_smallest(rows: DataFrame, key: str, n: int) -> int | None:
-    """The n-th smallest of a unique integer key, NULL when there are fewer rows.
-
-    Each round counts rows in equal slices of the open range and keeps the slice
-    that holds the rank: a few small aggregates, whatever the table's length.
-    """
-    span = rows.agg(F.count(key).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if span.n <= n:
-        return None
-    low, high, rank = span.low, span.high, n
-    while low < high:
-        step = -(-(high - low + 1) // 1024)
-        inside = rows.filter(F.col(key).between(low, high))
-        slices = (
-            inside.groupBy(F.floor((F.col(key) - F.lit(low)) / F.lit(step)).alias("s")).count().orderBy("s").collect()
-        )
-        for row in slices:
-            if rank <= row["count"]:
-                low, high = low + row["s"] * step, min(high, low + (row["s"] + 1) * step - 1)
-                break
-            rank -= row["count"]
-    return low

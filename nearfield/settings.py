@@ -11,7 +11,6 @@ IVF_LISTS = 100
 IVF_PROBES = 10
 IVF_PROBES_CODES = 50
 GRAPH_DEGREE = 32
-GRAPH_BUILD_WIDTH = 300
 GRAPH_SEARCH_WIDTH = 1500
 GRAPH_SEARCH_WIDTH_MAX = 1000
 RABITQ_LISTS = 1000

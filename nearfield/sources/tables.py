@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +24,7 @@ ELEMENT_BYTES = {"f32": 4, "f16": 2}
 WORD_BYTES = 8
 
 KEY_COLUMNS = ("data_source", "num_vectors", "dimension", "encoder", "threshold_mode", "fingerprint")
+# The metadata columns, then the location of the rows.
 METADATA = (
     "table_name string, data_source string, num_vectors bigint, dimension int, encoder string, "
     "threshold_mode string, fingerprint string, location string, created_at timestamp"
@@ -122,9 +127,14 @@ class TableCatalog:
         last = Window.partitionBy("table_name").orderBy(F.col("created_at").desc(), F.col("location"))
         return rows.withColumn("_at", F.row_number().over(last)).filter("_at = 1").drop("_at")
 
-    def wanted(self, name: str, corpus: DataFrame, dim: int, thresholds: Thresholds, encoding: str, data_source):
+    def wanted(
+        self, name: str, corpus: DataFrame, dim: int, full_dim: int, thresholds: Thresholds, encoding: str, data_source
+    ):
         mark = fingerprint(corpus)
         rows = int(mark.split("-")[0])
+        # Codes depend on the thresholds' values and on the width they were learned at.
+        values = b"".join(np.asarray(part, np.float64).tobytes() for part in thresholds[:3])
+        mark = f"{mark}-{full_dim}-{hashlib.sha256(values).hexdigest()[:16]}"
         mode = f"{thresholds.mode}{'' if thresholds.exact else '-approx'}"
         schema = METADATA.split(", location")[0]
         return self.spark.createDataFrame([(name, data_source, rows, dim, encoding, mode, mark)], schema)
@@ -141,10 +151,10 @@ class TableCatalog:
         skip_if_exists: bool = True,
     ) -> bool:
         """Write table ``name``; False when a stored one already matches."""
-        wanted = self.wanted(name, corpus, dim, thresholds, encoding, data_source)
-        if skip_if_exists and cache_check(self.metadata(), wanted).first().cached:
+        wanted = self.wanted(name, corpus, dim, full_dim, thresholds, encoding, data_source)
+        if skip_if_exists and cache_check(self.metadata(), wanted).first().cached and self._stored(name):
             return False
-        location = scratch_path(self.spark, f"tables/{name}")
+        location = f"{self.root}/tables/{name}-{uuid.uuid4().hex}"
         unified_table(corpus, dim, full_dim, thresholds, encoding).write.parquet(f"{location}/rows")
         thresholds_table(self.spark, thresholds).write.parquet(f"{location}/thresholds")
         entry = wanted.withColumn("location", F.lit(location)).withColumn("created_at", F.current_timestamp())
@@ -157,6 +167,14 @@ class TableCatalog:
             raise ValueError(f"no table named {name}")
         return row.location
 
+    def _stored(self, name: str) -> bool:
+        """Whether the files the log names are still there."""
+        try:
+            self.table(name), self.thresholds(name)
+        except AnalysisException:
+            return False
+        return True
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._location(name)}/rows")
 

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import hash_order, l2_normalize
-from nearfield.operators.quantiles import nth_smallest
-from nearfield.session import cut_lineage
+from nearfield.session import broadcast_limit, cut_lineage
 
 # A partition's running row number is the low part of Spark's monotonic id.
 ROW_BITS = 33
-# Above this many rows an ordered limit would gather too much in one task.
-SMALL_LIMIT = 10_000
-SAMPLE_PREFILTER_ROWS = 1_000_000
+ID_BYTES = 64
 
 
 def width_report(corpus: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -45,15 +42,13 @@ def check_widths(corpus: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 def cap_rows(corpus: DataFrame, n: int, key: str = "vec_id") -> DataFrame:
-    """The ``n`` rows of smallest key, in file order.
+    """The ``n`` rows of smallest key; NULL keys come last, equal keys in the order of a row hash.
 
-    A long cap is a filter on the n-th smallest key, which reaches the scan and
-    gathers no rows.
+    Rows are sorted by ranges and numbered in place, so no task holds the cap.
     """
-    if n <= SMALL_LIMIT:
-        return corpus.orderBy(key).limit(n)
-    cutoff = nth_smallest(corpus, key, n)
-    return corpus if cutoff is None else corpus.filter(F.col(key) <= cutoff)
+    others = [c for c in corpus.columns if c != key]
+    order = (F.col(key).asc_nulls_last(), F.xxhash64(key, *others))
+    return assign_ids(corpus, *order, name="_row").filter(F.col("_row") < n).drop("_row")
 
 
 def gen_vectors(ids: DataFrame, dim: int, seed: str = "gauss", key: str = "vec_id") -> DataFrame:
@@ -76,14 +71,14 @@ def gen_vectors(ids: DataFrame, dim: int, seed: str = "gauss", key: str = "vec_i
     return ids.select(key, l2_normalize(raw).alias("embedding"))
 
 
-def assign_ids(rows: DataFrame, order: str | None = None, name: str = "row_id") -> DataFrame:
+def assign_ids(rows: DataFrame, *order: str | Column, name: str = "row_id") -> DataFrame:
     """Dense ids 0..n-1, in ``order`` when given.
 
     Counts per partition give each partition its first id; only those counts
     reach the driver.  The rows are pinned first, so that counting and numbering
     see the same partitions.
     """
-    pinned = cut_lineage(rows.orderBy(order) if order else rows)
+    pinned = cut_lineage(rows.orderBy(*order) if order else rows)
     numbered = pinned.withColumn("_mid", F.monotonically_increasing_id())
     part = F.shiftrightunsigned("_mid", ROW_BITS)
     counts = numbered.groupBy(part.alias("_part")).count().orderBy("_part").collect()
@@ -102,23 +97,16 @@ def assign_ids(rows: DataFrame, order: str | None = None, name: str = "row_id")
 
 
 def hash_sample(rows: DataFrame, n: int, seed: str, key: str = "vec_id") -> DataFrame:
-    """``n`` seeded pseudo-random rows: those of smallest hash of (seed, key).
+    """The rows of ``n`` seeded pseudo-random ids: those of smallest hash of (seed, key).
 
-    On a long table the ids are drawn first, from a hash threshold that thins
-    them to about twice the rows wanted (or from all, if chance left too few);
-    the vectors are then read by an id filter that reaches the scan.
+    Only ids are drawn and ordered; the rows are then read by a join on the id.
+    Rows that share an id are drawn together, rows without one never.
     """
-    draw = F.col("_draw")
-    total = rows.count()
-    if total <= SAMPLE_PREFILTER_ROWS or n > SMALL_LIMIT:
-        return rows.withColumn("_draw", hash_order(seed, key)).orderBy(draw, key).limit(n).drop("_draw")
-    ids = rows.select(key).withColumn("_draw", hash_order(seed, key))
-    share = (2 * n + 64) / total
-    thinned = ids.filter(draw < f"{int(share * 16**8):08x}") if share < 1 else ids
-    picked = thinned.orderBy(draw, key).limit(n).collect()
-    if len(picked) < n:
-        picked = ids.orderBy(draw, key).limit(n).collect()
-    return rows.filter(F.col(key).isin([row[key] for row in picked]))
+    ids = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    picked = ids.orderBy(hash_order(seed, key), key).limit(n)
+    if n * ID_BYTES <= broadcast_limit(rows.sparkSession):
+        picked = F.broadcast(picked)
+    return rows.join(picked, key, "left_semi")
 
 
 def hash_share(rows: DataFrame, target: int, seed: str, key: str = "vec_id") -> DataFrame:

@@ -63,11 +63,12 @@ def test_an_empty_list_keeps_its_centroid(spark):
     assert moved[1].tolist() == [-1.0, 0.0] and moved[0, 1] > 0
 
 
-def test_training_on_a_share(unit, monkeypatch):
-    monkeypatch.setattr(ivf, "TRAIN_ROWS_MIN", 200)
-    monkeypatch.setattr(ivf, "TRAIN_ROWS_PER_LIST", 1)
-    assert 120 < ivf.train_sample(unit, 10, "f32").count() < 300
-    assert ivf.train_centroids(unit, 10, 1).shape == (10, 64)
+def test_training_reads_all_rows_unless_asked(spark, unit):
+    assert ivf.train_sample(unit, "f32").count() == unit.count()
+    assert 120 < ivf.train_sample(unit, "f32", 200).count() < 300
+    assert ivf.train_centroids(unit, 10, 1, sample_rows=200).shape == (10, 64)
+    long = spark.range(12_000).withColumnRenamed("id", "vec_id").withColumn("f32", F.array(F.lit(1.0)))
+    assert ivf.train_sample(long, "f32").count() == 12_000
 
 
 def test_kmeans_centroids_serve_as_an_index(unit, asked, truth):

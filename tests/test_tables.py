@@ -42,6 +42,10 @@ def test_catalog_rebuilds_only_on_a_new_key(spark, embeddings, thresholds, tmp_p
     assert catalog.table("items_16").inputFiles() != first and spark.read.parquet(*first).count() == 500
     assert catalog.thresholds("items_16").count() == 64
     assert catalog.size_bytes("items_16") > 0
+    moved = thresholds._replace(t4=thresholds.t4 + 0.5)
+    again = lambda cuts: catalog.build("items_16", embeddings, 16, 64, cuts, data_source="moved")
+    assert [again(thresholds), again(thresholds), again(moved), again(moved)] == [True, False, True, False]
+    assert str(tmp_path / "catalog") in catalog.table("items_16").inputFiles()[0]
     with pytest.raises(ValueError, match="no table"):
         catalog.table("items_99")
 

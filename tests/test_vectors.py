@@ -112,19 +112,22 @@ def test_dense_ids(spark):
     assert sorted(r.row_id for r in source.assign_ids(rows).collect()) == list(range(total))
 
 
-def test_cap_by_rank_selection(spark, monkeypatch):
-    rows = spark.range(0, 100_000, 7).withColumnRenamed("id", "vec_id")
-    for n in (1, 123, 5000):
-        assert quantiles.nth_smallest(rows, "vec_id", n) == (n - 1) * 7
-    monkeypatch.setattr(source, "SMALL_LIMIT", 10)
-    assert source.cap_rows(rows, 5000).agg(F.count("*"), F.max("vec_id")).first()[:] == (5000, 4999 * 7)
-    assert source.cap_rows(rows, 10**6).count() == rows.count()
-
-
-def test_sample_is_whole_and_stable(spark, monkeypatch):
+@pytest.mark.parametrize("n", [1, 123, 10_000, 10_001, 10**6])
+def test_cap_is_one_operator_at_every_size(spark, n):
+    rows = spark.range(12_000).select((F.col("id") % 11_000 * 7 - 40).alias("vec_id"), F.col("id").alias("x"))
+    rows = rows.withColumn("vec_id", F.when(F.col("x") % 50 > 0, F.col("vec_id"))).repartition(5)
+    keys = [r.vec_id for r in source.cap_rows(rows, n).collect()]
+    want = sorted((r.vec_id for r in rows.collect()), key=lambda k: (k is None, k or 0))[:n]
+    assert sorted(keys, key=lambda k: (k is None, k or 0)) == want
+    hashed = rows.filter("x < 200").select(F.xxhash64("x").alias("vec_id"), "x")
+    assert source.cap_rows(hashed, n).count() == min(n, 200)
+    named = hashed.select(F.col("vec_id").cast("string").alias("vec_id"), "x")
+    assert sorted(r.vec_id for r in source.cap_rows(named, n).collect()) == sorted(r.vec_id for r in named.collect())[:n]
+
+
+def test_sample_is_whole_and_stable(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "vec_id")
     plain = {r.vec_id for r in source.hash_sample(rows, 50, "s").collect()}
-    monkeypatch.setattr(source, "SAMPLE_PREFILTER_ROWS", 100)
-    thinned = {r.vec_id for r in source.hash_sample(rows.repartition(5), 50, "s").collect()}
-    assert plain == thinned and len(plain) == 50
+    assert plain == {r.vec_id for r in source.hash_sample(rows.repartition(5), 50, "s").collect()} and len(plain) == 50
+    assert source.hash_sample(rows, 12_000, "s").count() == 12_000
     assert abs(source.hash_share(rows, 2000, "t").count() - 2000) < 300
