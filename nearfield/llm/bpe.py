@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.text import in_small_batches
+
 # White space as the split pattern's \s means it.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE_ASCII = r"\t-\r\x20"
@@ -305,6 +307,6 @@ def encode_documents(
             columns |= {"ids": pa.array(ids, pa.binary())} if keep_ids else {}
             yield pa.RecordBatch.from_pydict(columns)
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     schema = "key bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.components import connected
-from nearfield.llm.text import mixed, words
+from nearfield.llm.text import in_small_batches, mixed, words
 from nearfield.session import broadcast_limit, materialise
 
 WIDTH = 5
@@ -280,7 +280,7 @@ def jaccard_join(
     docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = in_small_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     order = frequent(docs, width)
     signed = materialise(signatures(docs, order, percent, width), "signatures")
     known = signed.filter("sig IS NOT NULL AND doc_id IS NOT NULL")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.text import in_small_batches
 from nearfield.session import scratch_path
 
 
@@ -88,7 +89,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["blob", "spans"])
 
-    return blobs.select("blob", "text").mapInArrow(run, f"blob string, spans {FOUND}")
+    return in_small_batches(blobs).select("blob", "text").mapInArrow(run, f"blob string, spans {FOUND}")
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:

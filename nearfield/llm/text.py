@@ -11,8 +11,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+TEXT_ROWS = 1024
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _HASHED_BYTES = 64  # longer words are hashed one by one
 _PRIME = np.uint64(0x100000001B3)
 _SEED = np.uint64(0xCBF29CE484222325)
@@ -22,6 +25,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; its session sends texts to Python ``TEXT_ROWS`` rows at a time, unless it is set lower.
+
+    A batch is held by the JVM and by Python at once, and texts are long.
+    """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_KEY)) <= TEXT_ROWS:
+        conf.set(_ROWS_KEY, TEXT_ROWS)
+    return docs
+
+
 class Words(NamedTuple):
     """Words of some consecutive rows: ``row`` counts from ``first``."""
 

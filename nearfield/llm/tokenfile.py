@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm.text import in_small_batches
 from nearfield.session import scratch_path, shuffle_partitions
 
 MAGIC = b"PFORIDS1"
@@ -271,7 +272,7 @@ def write_tokens(
         if keys:
             yield flush()
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     by = [F.col("key"), F.xxhash64("text")]
     dealt = rows.repartitionByRange(parts or shuffle_partitions(spark), *by)
     written = dealt.sortWithinPartitions(*by).mapInArrow(run, MANIFEST)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.text import words
+from nearfield.llm.text import in_small_batches, words
 
 FEATURES_LOG2 = 18
 BEGINNINGS = (3, 4, 5)  # bytes of a word's start that are features too
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: list[tuple[str, Column]] | No
             )
 
     # At most ``rows`` rows of a few integers each, so they fit every executor.
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", *names)
     schema = "doc_id bigint, features array<int>, " + ", ".join(f"{name} int" for name in names)
     table = sample.mapInArrow(run, schema).toArrow().sort_by("doc_id")
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_i
                 names=["key", *(f"p_{name}" for name in model.names), "rejected"],
             )
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     schema = "key bigint, " + ", ".join(f"p_{name} double" for name in chain.names) + ", rejected boolean"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
@@ -227,4 +227,4 @@ def reject(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
                 kept[first : first + part.count] = probabilities(model, part)[-1] < model.threshold
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.text import in_small_batches
+
 END = 256  # the symbol after the last byte of a word
 END_SUFFIX = "</w>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -140,6 +142,6 @@ def count_pieces(docs: DataFrame, vocabulary_path: str, text: str = "text", key:
                 names=["key", "n_words", "n_pieces"],
             )
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     out = rows.mapInArrow(run, "key bigint, n_words bigint, n_pieces bigint")
     return out.withColumnRenamed("key", key)
