@@ -220,7 +220,20 @@ def search(index: Index, asked: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), v, lists], names=["qkey", "v", "parts"])
 
     routed = asked.select("qkey", "v").mapInArrow(route, "qkey string, v array<double>, parts array<int>")
-    routed = materialise(routed.select("qkey", "v", F.explode("parts").alias("part")), "routed")
+    routed = materialise(routed.select("qkey", "v", F.posexplode("parts").alias("turn", "part")), "routed")
+    best = Window.partitionBy("qkey").orderBy("dist", "first", "vkey")
+    ranked = lambda found: found.withColumn("rk", F.row_number().over(best))
+    # The most probable part first: no later part hands on what is worse than its k + 1 best.
+    near = routed.filter("turn = 0").withColumn("bound", F.lit(None).cast("double"))
+    near = materialise(_cells(index, near, k), "nearest_part")
+    bound = ranked(near).filter(F.col("rk") == k + 1).select("qkey", F.col("dist").alias("bound"))
+    found = near.unionByName(_cells(index, routed.filter("turn > 0").join(bound, "qkey", "left"), k))
+    return ranked(found).filter(F.col("rk") <= k + 1).select("qkey", "vkey", (-F.col("dist")).alias("score"))
+
+
+def _cells(index: Index, routed: DataFrame, k: int) -> DataFrame:
+    """What the cells of each part find for the queries (qkey, v, part, bound) sent there."""
+    parts = len(index.counts)
     asks = np.zeros(parts, np.int64)
     for row in routed.groupBy("part").count().collect():
         asks[row["part"]] = row["count"]
@@ -234,8 +247,8 @@ def search(index: Index, asked: DataFrame, k: int) -> DataFrame:
 
     rows = cell(index.rows.select("part", "vkey", "first", "v"), "vkey", row_cells, ask_cells, ("r", "q"))
     asking = cell(routed, "qkey", ask_cells, row_cells, ("q", "r"))
-    both = rows.select("part", "r", "q", F.lit(False).alias("asks"), "vkey", "first", "v").unionByName(
-        asking.select("part", "r", "q", F.lit(True).alias("asks"), F.col("qkey").alias("vkey"), F.lit(None).cast("bigint").alias("first"), "v")
+    both = rows.select("part", "r", "q", F.lit(False).alias("asks"), "vkey", "first", F.lit(None).cast("double").alias("bound"), "v").unionByName(
+        asking.select("part", "r", "q", F.lit(True).alias("asks"), F.col("qkey").alias("vkey"), F.lit(None).cast("bigint").alias("first"), "bound", "v")
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -246,14 +259,13 @@ def search(index: Index, asked: DataFrame, k: int) -> DataFrame:
         first = np.asarray(table.column("first").combine_chunks().fill_null(0))
         held = held[np.argsort(first[held], kind="stable")]  # ties go to the smaller id
         state = RunningTopK(len(queries), k + 1)
+        state.bound[:] = np.asarray(table.column("bound").combine_chunks().fill_null(np.inf))[queries]
         score_block(v[held], np.arange(len(held)), v[queries], np.arange(len(queries)), state, NegatedDot)
         state.settle()
         at = held[state.ids]
         return pa.table({"qkey": names.take(queries[state.query]), "first": first[at], "vkey": names.take(at), "dist": state.dist})
 
-    found = both.groupBy("part", "r", "q").applyInArrow(run, FOUND)
-    best = Window.partitionBy("qkey").orderBy("dist", "first", "vkey")
-    return found.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k + 1).select("qkey", "vkey", (-F.col("dist")).alias("score"))
+    return both.groupBy("part", "r", "q").applyInArrow(run, FOUND)
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 20, vec: str = "embedding") -> DataFrame:
