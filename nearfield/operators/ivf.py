@@ -108,14 +108,33 @@ def seed_centroids(corpus: DataFrame, lists: int, vec: str = "f32", seed: str =
 def lloyd_step(sample: DataFrame, centroids: np.ndarray, vec: str = "f32") -> DataFrame:
     """(list_id, d, mean): mean vector of every list, not yet of unit length.
 
-    Each task sums its own rows per list first, so a list that holds most rows
-    costs no more than any other.
+    Each task hands on one sum per list it holds rows of, so a list that holds
+    most rows costs no more than any other.
     """
-    assigned = sample.select(nearest_list(sample.sparkSession, vec, centroids).alias("list_id"), vec)
+    shipped = sample.sparkSession.sparkContext.broadcast(checked(sample.sparkSession, centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, rows = np.zeros(shipped.value.shape), np.zeros(len(shipped.value), np.int64)
+        for batch in batches:
+            x, _ = blocks.read_vectors(batch.column(0))
+            if len(x) == 0:
+                continue
+            at = _blockwise(x, shipped.value, metrics.metric_of("cosine"), 1)[:, 0]
+            order = np.argsort(at, kind="stable")
+            held, starts = np.unique(at[order], return_index=True)
+            totals[held] += np.add.reduceat(x[order], starts, axis=0)
+            rows += np.bincount(at, minlength=len(rows))
+        held = np.flatnonzero(rows)
+        sums = blocks.write_vectors(totals[held], np.ones(len(held), bool), pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held.astype(np.int32)), pa.array(rows[held]), sums], names=["list_id", "n", "total"]
+        )
+
+    partial = sample.select(vec).mapInArrow(run, "list_id int, n bigint, total array<double>")
     return (
-        assigned.select("list_id", F.posexplode(vec).alias("d", "x"))
+        partial.select("list_id", "n", F.posexplode("total").alias("d", "x"))
         .groupBy("list_id", "d")
-        .agg(F.avg("x").alias("mean"))
+        .agg((F.sum("x") / F.sum("n")).alias("mean"))
     )
 
 

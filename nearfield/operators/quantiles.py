@@ -1,10 +1,12 @@
 """Exact order statistics without gathering a column.
 
-Means and extremes come from one aggregate.  For percentiles the engine keeps,
-per dimension, the few value ranges that hold a wanted rank, counts rows in
-ever finer bins of those ranges, and reads single values only once few are
+Means and extremes come from one aggregate of per-task sums.  For percentiles the
+engine keeps, per dimension, the few value ranges that hold a wanted rank, counts
+rows in ever finer bins of those ranges, and reads single values only once few are
 left.  A range shrinks to the values it really spans, so a value that a third of
-the rows share is found as fast as any other.
+the rows share is found as fast as any other.  Half of the bins are equally wide
+in value, half in the order of all doubles; the latter end every search after a
+bounded number of passes, however the values are spread.
 """
 
 from __future__ import annotations
@@ -21,19 +23,36 @@ from nearfield.functions import blocks
 
 BINS = 64
 VALUES_LEFT = 1_000_000
-MAX_PASSES = 24
+_LOW_BITS = (1 << 63) - 1
 
 
 def dim_moments(vectors: DataFrame, vec: str = "v") -> DataFrame:
-    """Per dimension: d, n, mean, low, high.  One partial aggregate per task."""
+    """Per dimension: d, n, mean, low, high.  Each task hands on one row per dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, low, high = 0, None, None, None
+        for batch in batches:
+            x, _ = blocks.read_vectors(batch.column(0))
+            if len(x) == 0:
+                continue
+            if n == 0:
+                total, low, high = np.zeros(x.shape[1]), np.full(x.shape[1], np.inf), np.full(x.shape[1], -np.inf)
+            n += len(x)
+            total += x.sum(axis=0)
+            low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        if n:
+            columns = [np.arange(len(total), dtype=np.int32), np.full(len(total), n), total, low, high]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "n", "total", "low", "high"])
+
     return (
-        vectors.select(F.posexplode(vec).alias("d", "x"))
+        vectors.select(vec)
+        .mapInArrow(run, "d int, n bigint, total double, low double, high double")
         .groupBy("d")
         .agg(
-            F.count("x").alias("n"),
-            F.avg("x").alias("mean"),
-            F.min("x").alias("low"),
-            F.max("x").alias("high"),
+            F.sum("n").alias("n"),
+            (F.sum("total") / F.sum("n")).alias("mean"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
         )
     )
 
@@ -52,6 +71,16 @@ def _ranks(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
     return spots
 
 
+def _place(x: float) -> int:
+    """Where a double stands in the order of all doubles."""
+    bits = int(np.float64(x).view(np.int64))
+    return bits if bits >= 0 else bits ^ _LOW_BITS
+
+
+def _at_place(place: int) -> float:
+    return float(np.int64(place if place >= 0 else place ^ _LOW_BITS).view(np.float64))
+
+
 class _Range:
     """Values in [low, high] of one dimension; ``below`` values lie under it."""
 
@@ -62,7 +91,11 @@ class _Range:
 
     def edges(self) -> np.ndarray:
         """Lower edges of its bins, and the first value beyond it."""
-        return np.append(np.linspace(self.low, self.high, BINS + 1)[:-1], np.nextafter(self.high, np.inf))
+        half = BINS // 2
+        wide = np.linspace(self.low, self.high, half + 1)[:-1]
+        first, last = _place(self.low), _place(self.high)
+        dense = [_at_place(first + (last - first) * i // half) for i in range(half)]
+        return np.concatenate([wide, dense, [np.nextafter(self.high, np.inf)]])
 
 
 def _bins(vectors: DataFrame, vec: str, edges: list[np.ndarray]) -> pa.Table:
@@ -165,9 +198,7 @@ def exact_percentiles(
     wanted = {rank for low, high, _ in spots for rank in (low, high)}
     ranges = [[_Range(float(lows[d]), float(highs[d]), 0, n)] for d in range(dims)]
 
-    for _ in range(MAX_PASSES):
-        if sum(r.count for of_dim in ranges for r in of_dim if r.low < r.high) <= values_left:
-            break
+    while sum(r.count for of_dim in ranges for r in of_dim if r.low < r.high) > values_left:
         edges = [np.unique(np.concatenate([r.edges() for r in of_dim])) for of_dim in ranges]
         bins = _bins(vectors, vec, edges)
         firsts = np.searchsorted(bins.column("d").to_numpy(), np.arange(dims + 1))

@@ -608,6 +608,9 @@ def oracle_sql() -> dict[str, str]:
     sql["single_precision_table"] = _with(RAW, UNIT, _sliced(DIM), *CUTS, _codes("thermo4", dim=DIM)) + (
         f"SELECT vec_id, {_half_units(_f16('v'))} AS embedding, {_bits('c_thermo4')} AS code_thermo4 FROM coded"
     )
+    sql["single_precision_table_vector"] = _with(RAW, UNIT, _sliced(DIM), *CUTS, _codes("sign", dim=DIM)) + (
+        f"SELECT vec_id, {_micro(_f32('v'))} AS embedding, {_bits('c_sign')} AS code_sign FROM coded"
+    )
     sql["metadata_upsert"] = _with(LABEL_TABLES) + (
         "SELECT table_name, data_source, num_vectors, CAST(CASE WHEN num_vectors > (SELECT avg(num_vectors) FROM stored) "
         f"THEN {FULL} ELSE dimension END AS INTEGER) AS dimension, encoder FROM stored"
@@ -684,9 +687,14 @@ def oracle_sql() -> dict[str, str]:
         sql[f"hamming_topk_{variant}"] = _hamming(variant)
         for precision in ("f32", "f16"):
             sql[f"rerank_{variant}_{precision}"] = _rerank(variant, precision)
+            sql[f"ivf_rerank_{variant}_{precision}"] = _ivf_rerank(variant, precision)
             if variant != "sign":
-                sql[f"ivf_rerank_{variant}_{precision}"] = _ivf_rerank(variant, precision)
                 sql[f"graph_rerank_{variant}_{precision}"] = _graph_rerank(variant, precision)
+        # A stored index answers as the one it was written from.
+        sql[f"ivf_stored_rerank_{variant}_f32"] = sql[f"ivf_rerank_{variant}_f32"]
+    for precision in ("f32", "f16"):
+        sql[f"ivf_stored_knn_{precision}"] = sql[f"ivf_knn_{precision}"]
+    sql["hamming_topk_onehot8"] = _hamming("onehot8")
     seeded = (RAW, UNIT, _sliced(FULL), _floats("f32"), _seeds(), _assign("assigned0", "seeds", _cosine("f", "cen")))
     sql["ivf_assign_seeded"] = _with(*seeded) + "SELECT vec_id, list_id FROM assigned0"
     sql["ivf_lloyd_step"] = _with(*seeded, LLOYD[0]) + (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import codes, rules, vectors
 from nearfield.operators import evaluate, graph, ivf, knn, prep, quantiles, rabitq, rerank
 from nearfield.plans import grid
-from nearfield.session import attach, materialise
+from nearfield.session import attach, materialise, scratch_path
 from nearfield.sources import tables
 from nearfield.sources import vectors as source
 
@@ -74,6 +74,11 @@ def _table(spark: SparkSession, sf_dir: str, dim: int, *columns: str, keep=("vec
     return prep.represent(raw, dim, FULL, columns, thresholds, keep=keep)
 
 
+def _stored(spark: SparkSession, sf_dir: str, dim: int, *columns: str) -> DataFrame:
+    """The same, encoded once and written: for queries that read it more than once."""
+    return materialise(_table(spark, sf_dir, dim, *columns), "items")
+
+
 def _sample(table: DataFrame) -> DataFrame:
     return source.hash_sample(table, QUERIES, "query")
 
@@ -149,6 +154,12 @@ def single_precision_table(spark, sf_dir):
     )
 
 
+@_query("single_precision_table_vector")
+def single_precision_table_vector(spark, sf_dir):
+    single = tables.single_precision_table(_unified(spark, sf_dir), "vector")
+    return single.select("vec_id", _micro("embedding").alias("embedding"), _bits("code_sign", DIM).alias("code_sign"))
+
+
 def _label_tables(spark, sf_dir) -> DataFrame:
     sized = _raw(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("num_vectors"))
     return sized.select(
@@ -195,12 +206,12 @@ def index_size(spark, sf_dir):
 @_query("results_markdown")
 def results_markdown(spark, sf_dir):
     raw = _raw(spark, sf_dir)
-    full = prep.represent(raw, FULL, FULL, ("f32",))
-    truth = knn.ground_truth(prep.as_queries(_sample(full)), full, K, "f32")
+    full = _stored(spark, sf_dir, FULL, "f32")
+    truth = materialise(knn.ground_truth(prep.as_queries(_sample(full)), full, K, "f32"), "truth")
     estimate = grid.config_grid(raw, [16, DIM, FULL]).filter(F.col("method") == "exact")
     measured = None
     for dim in (16, DIM, FULL):
-        table = prep.represent(raw, dim, FULL, ("f32", "f16"))
+        table = _stored(spark, sf_dir, dim, "f32", "f16")
         sample = _sample(table)
         for precision, storage in grid.STORAGE.items():
             found = knn.exact_knn(prep.as_queries(sample, precision), table, K, precision)
@@ -300,7 +311,7 @@ def vector_text_roundtrip(spark, sf_dir):
 def _pair_query(name: str, column: str, distance: Callable[[Column, Column], Column]) -> None:
     @_query(name)
     def build(spark, sf_dir):
-        table = _table(spark, sf_dir, DIM, column)
+        table = _stored(spark, sf_dir, DIM, column)
         one = source.hash_sample(table, 1, "query").first()[column]
         element = "float" if column == "f32" else "bigint"
         query = F.lit(list(one)).cast(f"array<{element}>")
@@ -375,7 +386,7 @@ def dim_percentiles_approx(spark, sf_dir):
 
 @_query("recall_at_k")
 def recall_at_k(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32", "code_thermo4")
+    table = _stored(spark, sf_dir, FULL, "f32", "code_thermo4")
     sample = _sample(table)
     truth = knn.ground_truth(prep.as_queries(sample), table, K, "f32")
     found = knn.hamming_knn(prep.as_queries(sample, None, "thermo4"), table, K, "thermo4")
@@ -399,7 +410,7 @@ _grid_query("benchmark_results_graph", ["graph", "graph_pruned", "graph_rerank"]
 
 @_query("ground_truth")
 def ground_truth(spark, sf_dir):
-    table = prep.prepare(_raw(spark, sf_dir), FULL, FULL)
+    table = materialise(prep.prepare(_raw(spark, sf_dir), FULL, FULL), "unit")
     asked = _sample(table).select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
     return knn.ground_truth(asked, table, K).select("qid", "rk", "vec_id", _rounded("dot").alias("dot"))
 
@@ -407,7 +418,7 @@ def ground_truth(spark, sf_dir):
 def _one_query(precision: str) -> None:
     @_query(f"exact_knn_{precision}")
     def build(spark, sf_dir):
-        table = _table(spark, sf_dir, DIM, precision)
+        table = _stored(spark, sf_dir, DIM, precision)
         one = source.hash_sample(table, 1, "query").first()[precision]
         return knn.nearest_to(one, table, K, precision).select("vec_id", _rounded("dist").alias("dist"))
 
@@ -418,21 +429,21 @@ _one_query("f16")
 
 @_query("exact_knn_batch")
 def exact_knn_batch(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     return _hits(knn.exact_knn(prep.as_queries(_sample(table)), table, K))
 
 
 def _hamming(variant: str) -> None:
     @_query(f"hamming_topk_{variant}")
     def build(spark, sf_dir):
-        table = _table(spark, sf_dir, FULL, f"code_{variant}")
+        table = _stored(spark, sf_dir, FULL, f"code_{variant}")
         return knn.hamming_knn(prep.as_queries(_sample(table), None, variant), table, K, variant)
 
 
 def _rerank(variant: str, precision: str) -> None:
     @_query(f"rerank_{variant}_{precision}")
     def build(spark, sf_dir):
-        table = _table(spark, sf_dir, DIM, precision, f"code_{variant}")
+        table = _stored(spark, sf_dir, DIM, precision, f"code_{variant}")
         asked = prep.as_queries(_sample(table), precision, variant)
         return _hits(rerank.rerank_knn(asked, table, K, OVERFETCH, variant, precision))
 
@@ -448,21 +459,21 @@ for _variant in ("sign", "mean", "thermo4", "thermo8"):
 
 @_query("ivf_assign_seeded")
 def ivf_assign_seeded(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     index = ivf.ivf_build(table, ivf.seed_centroids(table, LISTS))
     return index.postings.select("vec_id", "list_id")
 
 
 @_query("ivf_lloyd_step")
 def ivf_lloyd_step(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     means = ivf.lloyd_step(table, ivf.seed_centroids(table, LISTS))
     return means.select("list_id", "d", _rounded("mean").alias("mean"))
 
 
 @_query("ivf_train_kmeans")
 def ivf_train_kmeans(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     index = ivf.ivf_build(table, ivf.train_kmeans(table, LISTS))
     return index.postings.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -470,19 +481,49 @@ def ivf_train_kmeans(spark, sf_dir):
 def _ivf(precision: str) -> None:
     @_query(f"ivf_knn_{precision}")
     def build(spark, sf_dir):
-        table = _table(spark, sf_dir, FULL, precision)
+        table = _stored(spark, sf_dir, FULL, precision)
         index = ivf.ivf_build(table, ivf.train_centroids(table, LISTS, 1, precision), precision)
         asked = prep.as_queries(_sample(table), precision)
         return _hits(ivf.ivf_knn(asked, index, K, PROBES, precision))
 
 
-_ivf("f32")
-_ivf("f16")
+def _reread(spark: SparkSession, index: ivf.IvfIndex) -> ivf.IvfIndex:
+    """The index as it is stored: searches read the files of probed lists only."""
+    path = scratch_path(spark, "index")
+    ivf.write_index(index, path)
+    return ivf.read_index(spark, path)
+
+
+def _ivf_stored(precision: str) -> None:
+    @_query(f"ivf_stored_knn_{precision}")
+    def build(spark, sf_dir):
+        table = _stored(spark, sf_dir, FULL, precision)
+        lists = ivf.train_centroids(table, LISTS, 1, precision)
+        index = _reread(spark, ivf.ivf_build(table, lists, precision))
+        return _hits(ivf.ivf_knn(prep.as_queries(_sample(table), precision), index, K, PROBES, precision))
+
+
+def _ivf_stored_rerank(variant: str) -> None:
+    @_query(f"ivf_stored_rerank_{variant}_f32")
+    def build(spark, sf_dir):
+        code = f"code_{variant}"
+        table = _stored(spark, sf_dir, FULL, "f32", code)
+        lists = ivf.train_code_centroids(table, LISTS, ivf.code_bits(FULL, variant), 1, code)
+        index = _reread(spark, ivf.ivf_build(table, lists, code))
+        asked = prep.as_queries(_sample(table), "f32", variant)
+        return _hits(ivf.ivf_rerank(asked, index, K, OVERFETCH, PROBES_CODES, variant, "f32"))
+
+
+for _precision in ("f32", "f16"):
+    _ivf(_precision)
+    _ivf_stored(_precision)
+for _variant in ("sign", "mean", "thermo4", "thermo8"):
+    _ivf_stored_rerank(_variant)
 
 
 @_query("ivf_code_assign")
 def ivf_code_assign(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "code_thermo4")
+    table = _stored(spark, sf_dir, FULL, "code_thermo4")
     bits = ivf.code_bits(FULL, "thermo4")
     lists = ivf.train_code_centroids(table, LISTS, bits, 1, "code_thermo4")
     return ivf.ivf_build(table, lists, "code_thermo4").postings.select("vec_id", "list_id")
@@ -492,7 +533,7 @@ def _ivf_rerank(variant: str, precision: str) -> None:
     @_query(f"ivf_rerank_{variant}_{precision}")
     def build(spark, sf_dir):
         code = f"code_{variant}"
-        table = _table(spark, sf_dir, FULL, precision, code)
+        table = _stored(spark, sf_dir, FULL, precision, code)
         lists = ivf.train_code_centroids(table, LISTS, ivf.code_bits(FULL, variant), 1, code)
         index = ivf.ivf_build(table, lists, code)
         asked = prep.as_queries(_sample(table), precision, variant)
@@ -503,7 +544,7 @@ def _graph_rerank(variant: str, precision: str) -> None:
     @_query(f"graph_rerank_{variant}_{precision}")
     def build(spark, sf_dir):
         code = f"code_{variant}"
-        table = _table(spark, sf_dir, FULL, precision, code)
+        table = _stored(spark, sf_dir, FULL, precision, code)
         links = graph.undirected(graph.knn_graph(table, DEGREE, code), 2 * DEGREE)
         linked = materialise(graph.nodes(links, table, precision, code), "nodes")
         asked = prep.as_queries(_sample(table), precision, variant)
@@ -516,6 +557,9 @@ for _variant in ("mean", "thermo4", "thermo8"):
     for _precision in ("f32", "f16"):
         _ivf_rerank(_variant, _precision)
         _graph_rerank(_variant, _precision)
+for _precision in ("f32", "f16"):
+    _ivf_rerank("sign", _precision)
+_hamming("onehot8")
 
 
 def _rabitq_index(table: DataFrame) -> rabitq.RabitqIndex:
@@ -524,7 +568,7 @@ def _rabitq_index(table: DataFrame) -> rabitq.RabitqIndex:
 
 @_query("rabitq_encode")
 def rabitq_encode(spark, sf_dir):
-    coded = _rabitq_index(_table(spark, sf_dir, FULL, "f32")).ivf.postings
+    coded = _rabitq_index(_stored(spark, sf_dir, FULL, "f32")).ivf.postings
     return coded.select(
         "vec_id",
         "list_id",
@@ -536,21 +580,21 @@ def rabitq_encode(spark, sf_dir):
 
 @_query("rabitq_estimate")
 def rabitq_estimate(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     asked = prep.as_queries(_sample(table))
     return _hits(rabitq.rabitq_estimate(asked, _rabitq_index(table), K, PROBES, EPSILON))
 
 
 @_query("rabitq_knn")
 def rabitq_knn(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     asked = prep.as_queries(_sample(table))
     return _hits(rabitq.rabitq_knn(asked, _rabitq_index(table), K, PROBES, EPSILON))
 
 
 @_query("knn_graph_exact")
 def knn_graph_exact(spark, sf_dir):
-    return graph.edges(graph.knn_graph(_table(spark, sf_dir, FULL, "f32"), DEGREE)).select("src", "dst", "rk")
+    return graph.edges(graph.knn_graph(_stored(spark, sf_dir, FULL, "f32"), DEGREE)).select("src", "dst", "rk")
 
 
 def _blocked(table: DataFrame) -> DataFrame:
@@ -559,12 +603,12 @@ def _blocked(table: DataFrame) -> DataFrame:
 
 @_query("knn_graph_blocked")
 def knn_graph_blocked(spark, sf_dir):
-    return graph.edges(_blocked(_table(spark, sf_dir, FULL, "f32"))).select("src", "dst", "rk")
+    return graph.edges(_blocked(_stored(spark, sf_dir, FULL, "f32"))).select("src", "dst", "rk")
 
 
 @_query("knn_graph_refined")
 def knn_graph_refined(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     rough = graph.knn_graph(table, DEGREE, "f32", ivf.seed_centroids(table, LISTS), 2)
     refined = graph.refine(graph.undirected(rough, 2 * DEGREE), table, DEGREE)
     return graph.edges(refined).select("src", "dst", "rk")
@@ -572,13 +616,13 @@ def knn_graph_refined(spark, sf_dir):
 
 @_query("knn_graph_pruned")
 def knn_graph_pruned(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     return graph.edges(graph.prune(_blocked(table), table, DEGREE)).select("src", "dst", "rk")
 
 
 @_query("graph_knn")
 def graph_knn(spark, sf_dir):
-    table = _table(spark, sf_dir, FULL, "f32")
+    table = _stored(spark, sf_dir, FULL, "f32")
     links = graph.undirected(graph.knn_graph(table, DEGREE), 2 * DEGREE)
     linked = materialise(graph.nodes(links, table, "f32"), "nodes")
     asked = prep.as_queries(_sample(table))
