@@ -118,3 +118,16 @@ def test_threshold_modes(spark, embeddings):
     assert not rough.exact and np.abs(rough.t8 - full.t8).max() < 0.05
     with pytest.raises(ValueError, match="threshold mode"):
         prep.fit_thresholds(embeddings, 64, mode="half")
+
+
+def test_percentiles_of_values_over_many_magnitudes(spark):
+    """Every range ends in single values, with none read to the driver before that."""
+    rng = np.random.default_rng(5)
+    x = rng.choice([-1.0, 1.0], (3000, 2)) * 10.0 ** rng.uniform(-300, 300, (3000, 2))
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "v array<double>")
+    cuts = quantiles.exact_percentiles(df, [0.1, 0.25, 0.9], values_left=0)[1]
+    spots = np.array([0.1, 0.25, 0.9]) * 2999
+    x.sort(axis=0)
+    low, high = x[np.floor(spots).astype(int)], x[np.floor(spots).astype(int) + 1]
+    want = low + (high - low) * (spots - np.floor(spots))[:, None]
+    assert np.allclose(cuts, want.T, rtol=1e-9, atol=0)
