@@ -144,6 +144,12 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def chunks(path: str) -> _Chunks:
+    """What a worker process keeps from task to task; two generations of ``KEPT_CHUNKS`` at most."""
+    return _Chunks(path)
+
+
 # A stop or comma between an ASCII letter and a blank is a piece of its own.
 _AFTER_WORD = re.compile(r"(?<=[A-Za-z])(?=[.,](?:[ \n]|$))")
 
@@ -237,7 +243,7 @@ def write_tokens(
     folder = folder or scratch_path(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = _Chunks(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        coder, end = chunks(tokenizer_path), np.array([end_id], "<u4").tobytes()
         system, where = _open(folder)
         system.create_dir(where, recursive=True)
         part, number, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
