@@ -21,6 +21,7 @@ from nearfield.plans.registry import (
     PROBES,
     PROBES_CODES,
     QUERIES,
+    SHIFT,
 )
 
 PRUNE_ALPHA = 1.2
@@ -302,8 +303,9 @@ HADAMARD = (
 )
 
 
-def _rabitq_base() -> tuple[str, ...]:
-    unit_items = f"items AS MATERIALIZED (SELECT vec_id, f, {_UNIT_OF.format('f')} AS u FROM (SELECT vec_id, {_f32('v')} AS f FROM p))"
+def _rabitq_base(precision: str = "f32") -> tuple[str, ...]:
+    stored = _f32("v") if precision == "f32" else _f16("v")
+    unit_items = f"items AS MATERIALIZED (SELECT vec_id, f, {_UNIT_OF.format('f')} AS u FROM (SELECT vec_id, {stored} AS f FROM p))"
     return (
         *_base(FULL),
         unit_items,
@@ -320,9 +322,9 @@ def _rabitq_base() -> tuple[str, ...]:
     )
 
 
-def _rabitq_scored() -> tuple[str, ...]:
+def _rabitq_scored(precision: str = "f32") -> tuple[str, ...]:
     return (
-        *_rabitq_base(),
+        *_rabitq_base(precision),
         _probed("seeds", _cosine("qf", "cen"), PROBES),
         f"qres AS (SELECT qid, list_id, {_offset('qu', 'cu')} AS r FROM probed JOIN asked USING (qid) JOIN units USING (list_id))",
         _turned("qturned", "qres", "qid, list_id"),
@@ -336,10 +338,10 @@ def _rabitq_estimate() -> str:
     return _with(*_rabitq_scored(), "pairs AS (SELECT qid, vec_id, round(est, 12) AS dist FROM scored)") + _hits("pairs")
 
 
-def _rabitq_knn() -> str:
+def _rabitq_knn(precision: str = "f32") -> str:
     kth = _top("(SELECT qid, vec_id, est + err AS up FROM scored)", "qid", "up, vec_id", K, "qid, up")
     return _with(
-        *_rabitq_scored(),
+        *_rabitq_scored(precision),
         f"kth AS (SELECT qid, up FROM {kth} WHERE rk = {K})",
         f"pairs AS (SELECT s.qid, s.vec_id, {_cosine('i.f', 'a.qf')} AS dist FROM scored s LEFT JOIN kth USING (qid) "
         f"JOIN items i ON i.vec_id = s.vec_id JOIN asked a ON a.qid = s.qid WHERE kth.up IS NULL OR s.est - s.err <= kth.up)",
@@ -411,7 +413,7 @@ def _graph_exact() -> str:
     return _with(RAW, UNIT, _sliced(FULL), _floats("f32")) + f"SELECT src, dst, rk FROM {top}"
 
 
-def _blocked_edges(probes: int = PROBES) -> tuple[str, ...]:
+def _blocked_edges(probes: int = PROBES, precision: str = "f32") -> tuple[str, ...]:
     near = _cosine("f", "cen")
     looked = _top(
         f"(SELECT vec_id, list_id, {near} AS dist FROM items, seeds)", "vec_id", "dist, list_id", probes, "vec_id, list_id"
@@ -426,15 +428,15 @@ def _blocked_edges(probes: int = PROBES) -> tuple[str, ...]:
         "src, dst, dist",
     )
     return (
-        *(RAW, UNIT, _sliced(FULL), _floats("f32"), _seeds()),
+        *(RAW, UNIT, _sliced(FULL), _floats(precision), _seeds()),
         _assign("assigned", "seeds", near),
         f"looked AS {looked}",
         f"near AS MATERIALIZED {top}",
     )
 
 
-def _graph_blocked() -> str:
-    return _with(*_blocked_edges()) + "SELECT src, dst, rk FROM near"
+def _graph_blocked(precision: str = "f32") -> str:
+    return _with(*_blocked_edges(precision=precision)) + "SELECT src, dst, rk FROM near"
 
 
 def _graph_refined() -> str:
@@ -622,6 +624,14 @@ def oracle_sql() -> dict[str, str]:
         "SELECT column_name, present, n AS num_rows, present AS usable FROM (VALUES ('f32', true), ('code_sign', true), "
         "('code_thermo8', false)) AS c(column_name, present), (SELECT count(embedding) AS n FROM embeddings)"
     )
+    sql["table_build_cached"] = _with(RAW, UNIT, *CUTS[:1]) + (
+        ", centre AS (SELECT d, avg(x) AS m FROM spread GROUP BY d), ones AS (SELECT count(DISTINCT vec_id) AS n, "
+        "CAST(sum(CASE WHEN x >= m THEN 1 ELSE 0 END) AS BIGINT) AS plain, "
+        f"CAST(sum(CASE WHEN x >= m + {SHIFT} THEN 1 ELSE 0 END) AS BIGINT) AS shifted FROM "
+        "(SELECT vec_id, d, list_extract(v, CAST(d + 1 AS INTEGER)) AS x FROM unit, unnest(range(len(v))) AS r(d)) JOIN centre USING (d)) "
+        "SELECT step, built, n AS num_vectors, CASE WHEN moved THEN shifted ELSE plain END AS ones FROM ones, "
+        "(VALUES ('build', true, false), ('again', false, false), ('shifted', true, true), ('forced', true, true)) AS s(step, built, moved)"
+    )
     words = {"f32": DIM * 4, "f16": DIM * 2, "code_sign": 8, "code_mean": 8, "code_thermo4": DIM * 4 // 8, "code_thermo8": DIM}
     sql["index_size"] = (
         "SELECT representation, n AS num_rows, n * width AS bytes FROM (VALUES "
@@ -665,6 +675,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, {_rounded('qs[j]', 9)} AS value FROM "
         f"(SELECT d, [{discrete}] AS qs FROM spread GROUP BY d), unnest(range(1, 8)) AS r(j)"
     )
+    # The bound is what is promised, so every row holds.
+    sql["dim_percentiles_rank_error"] = _with(RAW, UNIT, CUTS[0]) + (
+        "SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS cut, true AS within FROM (SELECT DISTINCT d FROM spread), range(7) AS r(c)"
+    )
     truth = _top("(SELECT qid, vec_id, -list_dot_product(f, qf) AS dist FROM asked, items)", "qid", "dist, vec_id", K, "qid, vec_id")
     found = _top(f"(SELECT qid, vec_id, {_differ('c', 'qc')} AS dist FROM asked, items)", "qid", "dist, vec_id", K, "qid, vec_id")
     sql["recall_at_k"] = _with(*_coded("thermo4", FULL), f"truth AS {truth}", f"found AS {found}") + (
@@ -706,8 +720,10 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["rabitq_estimate"] = _rabitq_estimate()
     sql["rabitq_knn"] = _rabitq_knn()
+    sql["rabitq_knn_f16"] = _rabitq_knn("f16")
     sql["knn_graph_exact"] = _graph_exact()
     sql["knn_graph_blocked"] = _graph_blocked()
+    sql["knn_graph_blocked_f16"] = _graph_blocked("f16")
     sql["knn_graph_refined"] = _graph_refined()
     sql["knn_graph_pruned"] = _graph_pruned()
     sql["graph_knn"] = _graph_knn()

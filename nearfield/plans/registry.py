@@ -25,6 +25,8 @@ DEGREE = 8
 EF, HOPS, ENTRIES = 20, 3, 20
 CAP = 400
 EPSILON = 1.9
+ACCURACY = 100  # of the approximate percentiles whose rank error is checked
+SHIFT = 0.05  # of mean thresholds, for a table that must be built again
 GRID_PROFILE = grid.Profile(
     k=K,
     overfetch=OVERFETCH,
@@ -198,6 +200,24 @@ def table_check(spark, sf_dir):
     )
 
 
+@_query("table_build_cached")
+def table_build_cached(spark, sf_dir):
+    """Build, skip, rebuild under other thresholds, forced rebuild; the ones of the mean code tell the tables apart."""
+    raw = _raw(spark, sf_dir)
+    cuts = prep.fit_thresholds(raw, FULL)
+    shifted = cuts._replace(mean=cuts.mean + SHIFT)
+    catalog = tables.TableCatalog(spark)
+    steps = [("build", cuts, True), ("again", cuts, True), ("shifted", shifted, True), ("forced", shifted, False)]
+    out = None
+    for step, thresholds, skip in steps:
+        built = catalog.build("items", raw, FULL, FULL, thresholds, data_source="embeddings", skip_if_exists=skip)
+        ones = F.length(F.replace(_bits("code_mean", FULL), F.lit("0"), F.lit("")))
+        row = catalog.table("items").agg(F.count(F.lit(1)).alias("num_vectors"), F.sum(ones).alias("ones"))
+        row = row.select(F.lit(step).alias("step"), F.lit(built).alias("built"), "num_vectors", "ones")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @_query("index_size")
 def index_size(spark, sf_dir):
     return tables.index_size(_unified(spark, sf_dir))
@@ -384,6 +404,27 @@ def dim_percentiles_approx(spark, sf_dir):
     )
 
 
+@_query("dim_percentiles_rank_error")
+def dim_percentiles_rank_error(spark, sf_dir):
+    """Whether each approximate percentile's rank is off by no more than its sketch allows, at any table size."""
+    unit = materialise(prep.prepare(_raw(spark, sf_dir), FULL, FULL), "unit")
+    cuts = F.broadcast(quantiles.approx_percentiles(unit, prep.EIGHTHS, accuracy=ACCURACY))
+    values = unit.select(F.posexplode("v").alias("d", "x")).join(cuts, "d")
+    ranks = [
+        F.struct(
+            F.sum((F.col("x") < F.col("cuts")[i]).cast("bigint")).alias("below"),
+            F.sum((F.col("x") <= F.col("cuts")[i]).cast("bigint")).alias("upto"),
+            F.lit(p).alias("p"),
+        )
+        for i, p in enumerate(prep.EIGHTHS)
+    ]
+    ranked = values.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.array(*ranks).alias("ranks"))
+    ranked = ranked.select("d", "n", F.posexplode("ranks").alias("cut", "r"))
+    wanted, slack = F.col("r.p") * F.col("n"), F.ceil(F.col("n") / ACCURACY)
+    within = (F.col("r.below") - slack <= wanted) & (wanted <= F.col("r.upto") + slack)
+    return ranked.select("d", "cut", within.alias("within"))
+
+
 @_query("recall_at_k")
 def recall_at_k(spark, sf_dir):
     table = _stored(spark, sf_dir, FULL, "f32", "code_thermo4")
@@ -562,8 +603,8 @@ for _precision in ("f32", "f16"):
 _hamming("onehot8")
 
 
-def _rabitq_index(table: DataFrame) -> rabitq.RabitqIndex:
-    return rabitq.rabitq_build(ivf.ivf_build(table, ivf.seed_centroids(table, LISTS)))
+def _rabitq_index(table: DataFrame, vec: str = "f32") -> rabitq.RabitqIndex:
+    return rabitq.rabitq_build(ivf.ivf_build(table, ivf.seed_centroids(table, LISTS, vec), vec), vec=vec)
 
 
 @_query("rabitq_encode")
@@ -592,13 +633,20 @@ def rabitq_knn(spark, sf_dir):
     return _hits(rabitq.rabitq_knn(asked, _rabitq_index(table), K, PROBES, EPSILON))
 
 
+@_query("rabitq_knn_f16")
+def rabitq_knn_f16(spark, sf_dir):
+    table = _stored(spark, sf_dir, FULL, "f16")
+    asked = prep.as_queries(_sample(table), "f16")
+    return _hits(rabitq.rabitq_knn(asked, _rabitq_index(table, "f16"), K, PROBES, EPSILON, "f16"))
+
+
 @_query("knn_graph_exact")
 def knn_graph_exact(spark, sf_dir):
     return graph.edges(graph.knn_graph(_stored(spark, sf_dir, FULL, "f32"), DEGREE)).select("src", "dst", "rk")
 
 
-def _blocked(table: DataFrame) -> DataFrame:
-    return graph.knn_graph(table, DEGREE, "f32", ivf.seed_centroids(table, LISTS), PROBES)
+def _blocked(table: DataFrame, vec: str = "f32") -> DataFrame:
+    return graph.knn_graph(table, DEGREE, vec, ivf.seed_centroids(table, LISTS, vec), PROBES)
 
 
 @_query("knn_graph_blocked")
@@ -606,6 +654,11 @@ def knn_graph_blocked(spark, sf_dir):
     return graph.edges(_blocked(_stored(spark, sf_dir, FULL, "f32"))).select("src", "dst", "rk")
 
 
+@_query("knn_graph_blocked_f16")
+def knn_graph_blocked_f16(spark, sf_dir):
+    return graph.edges(_blocked(_stored(spark, sf_dir, FULL, "f16"), "f16")).select("src", "dst", "rk")
+
+
 @_query("knn_graph_refined")
 def knn_graph_refined(spark, sf_dir):
     table = _stored(spark, sf_dir, FULL, "f32")
