@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row
@@ -30,6 +31,7 @@ FLOAT_METHODS = {
 CODE_METHODS = ["graph_rerank", "ivf_rerank", "exact_rerank"]
 CODE_VARIANTS = ["mean", "thermo8", "thermo4"]
 STORAGE = {"f32": "float32", "f16": "float16"}
+CELL_KEYS = [("dimension", "int"), ("storage", "string"), ("method", "string"), ("variant", "string")]
 RESULTS = (
     "dimension int, storage string, method string, variant string, build_time_s double, index_bytes bigint, "
     "storage_mb double, latency_s double, recall double, status string"
@@ -177,6 +179,62 @@ def _timed(action: Callable[[], object]) -> tuple[object, float]:
     return value, time.perf_counter() - start
 
 
+def _by_index(corpus: DataFrame, dims: list[int], methods: list[str] | None) -> list[list[Row]]:
+    """The wanted cells, those of one index together."""
+    grid = [c for c in config_grid(corpus, dims).collect() if not methods or c.method in methods]
+    unknown = set(methods or []) - {cell.method for cell in grid}
+    if unknown:
+        raise ValueError(f"unknown method: {', '.join(sorted(unknown))}")
+    groups: dict[tuple, list[Row]] = {}
+    for spec in grid:
+        groups.setdefault((spec.dimension, spec.method, spec.variant or spec.storage), []).append(spec)
+    return list(groups.values())
+
+
+def _prepared(
+    corpus: DataFrame, query_ids: DataFrame, dims: list[int], full_dim: int, profile: Profile
+) -> tuple[DataFrame, DataFrame, dict[int, DataFrame]]:
+    """Query ids, truth over full-width vectors and the encoded table of each dimension."""
+    thresholds = fit_thresholds(corpus, full_dim)
+    full = represent(corpus, full_dim, full_dim, ("f32",))
+    wanted = query_ids.select("vec_id")
+    asked = as_queries(full.join(wanted, "vec_id", "left_semi"))
+    truth = cut_lineage(knn.ground_truth(asked, full, profile.k, "f32"))
+    columns = ("f32", "f16", *[f"code_{v}" for v in CODE_VARIANTS])
+    tables = {
+        dim: materialise(represent(corpus, dim, full_dim, columns, thresholds), f"items_{dim}") for dim in dims
+    }
+    return wanted, truth, tables
+
+
+def _cell_of(spec: Row, table: DataFrame, wanted: DataFrame, profile: Profile) -> _Cell:
+    precision = next(p for p, name in STORAGE.items() if name == spec.storage)
+    sample = table.join(wanted, "vec_id", "left_semi")
+    return _cell(spec.method, precision, spec.variant, table, sample, profile)
+
+
+def recall_grid(
+    corpus: DataFrame,
+    query_ids: DataFrame,
+    dims: list[int],
+    full_dim: int = settings.FULL_DIM,
+    profile: Profile = Profile(),
+    methods: list[str] | None = None,
+) -> DataFrame:
+    """(dimension, storage, method, variant, recall) of every cell, without timings; a failed cell raises."""
+    by_index = _by_index(corpus, dims, methods)
+    wanted, truth, tables = _prepared(corpus, query_ids, dims, full_dim, profile)
+    parts = []
+    for cells in by_index:
+        index = None
+        for spec in cells:
+            cell = _cell_of(spec, tables[spec.dimension], wanted, profile)
+            index = cell.build() if index is None else index
+            names = [F.lit(spec[name]).cast(kind).alias(name) for name, kind in CELL_KEYS]
+            parts.append(cut_lineage(mean_recall(cell.search(index), truth).select(*names, "recall")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def run_grid(
     corpus: DataFrame,
     query_ids: DataFrame,
@@ -199,30 +257,16 @@ def run_grid(
     both float precisions.
     """
     spark = corpus.sparkSession
-    grid = [c for c in config_grid(corpus, dims).collect() if not methods or c.method in methods]
-    unknown = set(methods or []) - {cell.method for cell in grid}
-    if unknown:
-        raise ValueError(f"unknown method: {', '.join(sorted(unknown))}")
-    thresholds = fit_thresholds(corpus, full_dim)
-    full = represent(corpus, full_dim, full_dim, ("f32",))
-    wanted = query_ids.select("vec_id")
-    asked = as_queries(full.join(wanted, "vec_id", "left_semi"))
-    truth = cut_lineage(knn.ground_truth(asked, full, profile.k, "f32"))
-    columns = ("f32", "f16", *[f"code_{v}" for v in CODE_VARIANTS])
-    tables = {
-        dim: materialise(represent(corpus, dim, full_dim, columns, thresholds), f"items_{dim}") for dim in dims
-    }
+    by_index = _by_index(corpus, dims, methods)
+    wanted, truth, tables = _prepared(corpus, query_ids, dims, full_dim, profile)
 
     def run(cells: list[Row]) -> list[tuple]:
         """The cells of one index: built for the first, searched for each."""
         rows, built = [], None
         for spec in cells:
-            precision = next(p for p, name in STORAGE.items() if name == spec.storage)
-            table = tables[spec.dimension]
             build_s = latency = recall = size = None
             try:
-                sample = table.join(wanted, "vec_id", "left_semi")
-                cell = _cell(spec.method, precision, spec.variant, table, sample, profile)
+                cell = _cell_of(spec, tables[spec.dimension], wanted, profile)
                 built = built or _timed(cell.build)
                 index, build_s = built
                 size = cell.nbytes(index)
@@ -237,11 +281,8 @@ def run_grid(
             rows.append((spec.dimension, spec.storage, spec.method, spec.variant, *measured))
         return rows
 
-    by_index: dict[tuple, list[Row]] = {}
-    for spec in grid:
-        by_index.setdefault((spec.dimension, spec.method, spec.variant or spec.storage), []).append(spec)
     with ThreadPoolExecutor(parallel) as pool:
-        results = [row for rows in pool.map(run, by_index.values()) for row in rows]
+        results = [row for rows in pool.map(run, by_index) for row in rows]
     table = spark.createDataFrame(results, RESULTS)
     if sink:
         table.write.mode("append").parquet(sink)

@@ -542,6 +542,55 @@ def _config_grid() -> str:
     )
 
 
+def _recall_cell(dim: int, precision: str, method: str, variant: str | None) -> str:
+    """One row of the recall grid: mean share of the full-width neighbours found."""
+    if method == "exact":
+        final = f"final AS (SELECT qid, vec_id, {_cosine('f', 'qf')} AS dist FROM asked, items)"
+        parts = (*_base(dim), _floats(precision), ASKED_F, final)
+    else:
+        pairs = f"pairs AS (SELECT qid, vec_id, {_differ('c', 'qc')} AS dist FROM asked, items)"
+        parts = _coded(variant, dim, precision)
+        if method == "ivf_rerank":
+            parts = (
+                *parts,
+                _seeds("c"),
+                _assign("assigned", "seeds", _differ("c", "cen")),
+                _probed("seeds", _differ("qc", "cen"), PROBES_CODES),
+            )
+            pairs = (
+                f"pairs AS (SELECT qid, vec_id, {_differ('c', 'qc')} AS dist FROM probed JOIN asked USING (qid) "
+                f"JOIN assigned USING (list_id) JOIN items USING (vec_id))"
+            )
+        best = _top("pairs", "qid", "dist, vec_id", K * OVERFETCH, "qid, vec_id")
+        parts = (*parts, pairs, f"best AS {best}", _reranked("best"))
+    whole = f"whole AS (SELECT vec_id, {_f32('v')} AS g FROM unit)"
+    true = _top(
+        "(SELECT q.vec_id AS qid, w.vec_id, -list_dot_product(q.g, w.g) AS dist FROM whole q, whole w WHERE q.vec_id IN (SELECT vec_id FROM picked))",
+        "qid",
+        "dist, vec_id",
+        K,
+        "qid, vec_id",
+    )
+    hits = _top("final", "qid", "dist, vec_id", K, "qid, vec_id")
+    one = _with(*parts, whole, f"truth AS {true}", f"hits AS {hits}") + (
+        "SELECT avg(share) AS recall FROM (SELECT t.qid, avg(CASE WHEN h.vec_id IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM truth t "
+        "LEFT JOIN hits h ON h.qid = t.qid AND h.vec_id = t.vec_id GROUP BY t.qid)"
+    )
+    storage = {"f32": "float32", "f16": "float16"}[precision]
+    name = "NULL" if variant is None else f"'{variant}'"
+    return (
+        f"SELECT CAST({dim} AS INTEGER) AS dimension, '{storage}' AS storage, '{method}' AS method, "
+        f"CAST({name} AS VARCHAR) AS variant, round(recall, 6) AS recall FROM ({one})"
+    )
+
+
+def _recall_grid() -> str:
+    cells = [("exact", None)] + [(m, v) for m in ("exact_rerank", "ivf_rerank") for v in ("mean", "thermo8", "thermo4")]
+    return "\nUNION ALL\n".join(
+        _recall_cell(dim, precision, *cell) for dim in (16, DIM, FULL) for cell in cells for precision in ("f32", "f16")
+    )
+
+
 def _ivf_params() -> str:
     within = "least(greatest({0}, {1}), {2})"
     lists = within.format("n // 200", 50, 500)
@@ -658,6 +707,7 @@ def oracle_sql() -> dict[str, str]:
     sql["vector_text_roundtrip"] = f"SELECT vec_id, true AS same, {_micro('embedding')} AS v FROM embeddings"
     for kind in ("cosine_distance", "inner_product", "hamming_distance"):
         sql[kind] = _pair(kind)
+    sql["benchmark_recall"] = _recall_grid()
     sql["ivf_params"] = _ivf_params()
     mb = "round(CAST(n AS DOUBLE) * dims * {0} * 1.1 / 1048576, 9)"
     sql["storage_estimate"] = (

@@ -50,3 +50,20 @@ def test_entry(spark):
 def test_kmeans_covers_the_corpus(spark):
     rows = QUERIES["ivf_train_kmeans"](spark, SF_DIR).collect()
     assert sum(r.n for r in rows) == 500
+
+
+def test_registered_grids_have_every_dimension(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry.grid, "run_grid", lambda corpus, ids, dims, *rest, **named: asked.append((dims, rest, named)))
+    for name in ("benchmark_results", "benchmark_results_graph"):
+        QUERIES[name](spark, SF_DIR)
+    held = {m for _, rest, _ in asked for m in rest[2]}
+    assert held == {*registry.grid.FLOAT_METHODS, *registry.grid.CODE_METHODS}
+    assert all(dims == [16, registry.DIM, registry.FULL] for dims, _, _ in asked)
+    # Latencies are measured warm and alone.
+    assert all(named.get("warm_up", True) and named.get("parallel", 1) == 1 for _, _, named in asked)
+
+
+def test_recall_grid_cells(db):
+    rows = db.execute(ORACLES["benchmark_recall"]).df()
+    assert len(rows) == 42 and rows.groupby("dimension").size().to_dict() == {16: 14, registry.DIM: 14, registry.FULL: 14}
