@@ -6,8 +6,8 @@ models are trained on out-of-fold probabilities, from models that never saw the
 row, since at scoring time no row has been seen either.  A document is toxic if
 its last probability reaches a threshold, chosen on out-of-fold predictions.
 
-Only the fit uses a sample: at most ``rows`` labelled rows, the first by a hash
-of their id.  Scoring reads every word of every row.  A NULL or empty text has
+Only the fit uses a sample: at most ``rows`` labelled documents, the first by a
+hash of their id, with one text of each, however many rows an id has.  Scoring reads every word of every row.  A NULL or empty text has
 no words and gets the intercept alone; without labelled rows of both classes a
 category's probability is its share in the sample and nothing is rejected for it.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.text import in_small_batches, words
+from nearfield.session import materialise
 
 FEATURES_LOG2 = 18
 BEGINNINGS = (3, 4, 5)  # bytes of a word's start that are features too
@@ -146,44 +147,80 @@ def fit_rows(rows: Rows, labels: np.ndarray, names: list[str], fold: np.ndarray)
     return Chain(names, models, best_threshold(outside[-1], labels[:, -1].astype(bool)))
 
 
+def one_text_each(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(doc_id, text, labels...): of the rows of a picked id one text, the first by hash.
+
+    Ids and hashes are grouped first, task by task, so an id of many rows costs
+    one row per task.
+    """
+    names = picked.columns[1:]
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    # One row of integers per picked id, so both broadcasts are small.
+    chosen = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", *names).agg(F.min("hash").alias("hash"))
+    same = texts.join(F.broadcast(chosen), ["doc_id", "hash"])
+    return same.groupBy("doc_id", *names).agg(F.min("text").alias("text")).select("doc_id", "text", *names)
+
+
+def frequent(held: DataFrame) -> np.ndarray:
+    """Whether each feature is in ``LEAST_DOCS`` or more rows; counted on Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FEATURES_LOG2, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["feature", "n"])
+
+    counted = held.select("features").mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << FEATURES_LOG2, bool)
+    out[counted.filter(F.col("n") >= LEAST_DOCS).select("feature").toArrow().column(0).to_numpy()] = True
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, chain: list[tuple[str, Column]] | None = None, rows: int = TRAIN_ROWS) -> Chain:
-    """Fit on at most ``rows`` labelled documents; several labels of one id count as their largest."""
+    """Fit on at most ``rows`` labelled documents, one text of each id; several labels of one id count as their largest."""
     chain = chain or categories()
     names = [name for name, _ in chain]
     marked = labels.select("doc_id", *(value.cast("int").alias(name) for name, value in chain))
     marked = marked.na.drop().groupBy("doc_id").agg(*(F.max(name).alias(name) for name in names))
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = picked.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.int32)] * batch.num_rows
             for first, part in features(batch.column(1)):
-                cuts = np.searchsorted(part.row, np.arange(part.count + 1))
-                for i in range(part.count):
-                    found[first + i] = part.feature[cuts[i] : cuts[i + 1]].astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int32), *found])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, *batch.columns[2:]], names=["doc_id", "features", *names]
-            )
+                cuts = np.searchsorted(part.row, np.arange(part.count + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(part.feature.astype(np.int32)))
+                here = batch.slice(first, part.count)
+                yield pa.RecordBatch.from_arrays(
+                    [here.column(0), lists, *here.columns[2:]], names=["doc_id", "features", *names]
+                )
 
-    # At most ``rows`` rows of a few integers each, so they fit every executor.
-    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", *names)
     schema = "doc_id bigint, features array<int>, " + ", ".join(f"{name} int" for name in names)
-    table = sample.mapInArrow(run, schema).toArrow().sort_by("doc_id")
-    held = table.column("features").combine_chunks()
+    held = materialise(one_text_each(docs, picked).mapInArrow(run, schema), "toxicity")
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent(held))  # of fixed size
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy()
+            often = shipped.value[flat]
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[often]
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat[often]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), kept, *batch.columns[2:]], names=batch.schema.names)
+
+    # At most ``rows`` rows, each with those of its features that other documents have too.
+    table = held.mapInArrow(keep, schema).toArrow().sort_by("doc_id")
     if table.num_rows == 0:
         empty = Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
         return fit_rows(empty, np.zeros((0, len(names)), int), names, np.zeros(0, int))
-    size = held.value_lengths().to_numpy(zero_copy_only=False)
-    feature = held.flatten().to_numpy()
-    often = (np.bincount(feature, minlength=1 << FEATURES_LOG2) >= LEAST_DOCS)[feature]
-    row = np.repeat(np.arange(table.num_rows, dtype=np.int32), size)[often]
-    matrix = Rows(row, feature[often], table.num_rows)
+    lists = table.column("features").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(table.num_rows, dtype=np.int32), size)
+    matrix = Rows(row, lists.flatten().to_numpy(), table.num_rows)
     marks = np.stack([table.column(name).to_numpy() for name in names], axis=1)
-    # Rows of one document stay in one fold.
     fold = table.column("doc_id").to_numpy() // 7 % FOLDS
     return fit_rows(matrix, marks, names, fold)
 

@@ -290,6 +290,26 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.reject(odd, toxicity.fit(odd, labels.limit(0))).count() == odd.count()
 
 
+def test_toxicity_fit_takes_one_row_of_an_id(spark, monkeypatch):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{TESTDATA}/sf0.01/labels.parquet")
+    hot = docs.join(labels, "doc_id").filter("toxic = 1").orderBy("doc_id").select("doc_id", "text").limit(1)
+    many = docs.unionByName(hot.crossJoin(spark.range(docs.count() // 2)).select("doc_id", "text"))
+    fetched, real = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: fetched.append(real(self)) or fetched[-1])
+    plain, skewed = toxicity.fit(docs, labels), toxicity.fit(many, labels)
+    assert plain.threshold == skewed.threshold
+    for a, b in zip(plain.models, skewed.models, strict=True):
+        assert np.array_equal(a.weights, b.weights) and np.array_equal(a.earlier, b.earlier) and a.bias == b.bias
+    tables = [t for t in fetched if "features" in t.column_names]
+    assert len(tables) == 2
+    for table in tables:
+        ids = table.column("doc_id").to_pylist()
+        assert len(ids) == len(set(ids)) <= labels.select("doc_id").distinct().count()
+        held = table.column("features").combine_chunks().flatten().to_numpy()
+        assert np.unique(held, return_counts=True)[1].min() >= toxicity.LEAST_DOCS
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 
