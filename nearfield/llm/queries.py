@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, jaccard, mixing, neardup, neighbours, secret_scan, tokenfile, toxicity, urls, wordpiece
+from nearfield.llm import (
+    bpe,
+    jaccard,
+    mixing,
+    neardup,
+    neighbours,
+    secret_scan,
+    sharding,
+    spelling,
+    tokenfile,
+    toxicity,
+    urls,
+    whitening,
+    wordpiece,
+)
 from nearfield.session import attach
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +86,26 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    placed = sharding.shard(docs, keep=["doc_id", "text_crc32"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     named = [op1_jaccard_join, op2_learned_partitions, op3_url_filter, op4_byte_bpe, op5_toxicity_chain]
     named += [op6_token_files, op7_tile_near_duplicates, op8_blob_ledger, op9_temperature_mix, op10_piece_counts]
+    named += [op11_polarised_whitening, op12_histogram_shards, op13_spelling_variants]
     return {query.__name__: query for query in named}
