@@ -181,6 +181,19 @@ SAME_LENGTH = list(combinations(range(GROUPS), 2))
 FAMILIES = [*SAME_LENGTH, *((g,) for g in range(GROUPS))]
 
 
+def first_families() -> np.ndarray:
+    """The first family in which a pair meets, by difference of lengths and bit mask of the groups that differ; else -1."""
+    out = np.full((2, 1 << GROUPS), -1)
+    for number, left_out in reversed(list(enumerate(FAMILIES))):
+        hidden = sum(1 << g for g in left_out)
+        masks = [mask for mask in range(1, 1 << GROUPS) if mask & ~hidden == 0]
+        out[0 if len(left_out) == 2 else 1, masks] = number
+    return out
+
+
+FIRST_FAMILY = first_families()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Every bit of a 64-bit value spread over all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -209,27 +222,22 @@ def block_keys(words: Words, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def near_pairs(words: Words, block: np.ndarray, family: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): near pairs of one block, each in its first family; j is no shorter."""
-    counts = words.counts.astype(np.float32 if words.lengths.max(initial=0) < 2048 else np.float64)
+    used = np.flatnonzero(words.counts.any(axis=0))
+    counts = words.counts[:, used].astype(np.float32 if words.lengths.max(initial=0) < 2048 else np.float64)
     norms = np.einsum("ij,ij->i", counts, counts)
     # -(squared distance) of all pairs in one product, the norms as two more columns.
     left = np.column_stack([2 * counts, -norms, np.ones_like(norms)])
     right = np.column_stack([counts, np.ones_like(norms), -norms])
-    i, j = np.nonzero(left @ right.T >= -2)
-    swap = (words.lengths[i] > words.lengths[j]) | ((words.lengths[i] == words.lengths[j]) & (i > j))
-    fits = ~swap & (i != j) & (block[i] == block[j])
-    i, j = i[fits], j[fits]
+    product = left @ right.T
+    # Equal counts are never one edit apart.
+    i, j = np.divmod(np.flatnonzero((product >= -2) & (product < 0)), len(product))
     gap = words.lengths[j] - words.lengths[i]
-    of_kind = gap == (family[i] >= len(SAME_LENGTH))
-    i, j = i[of_kind], j[of_kind]
+    fits = (gap == (family[i] >= len(SAME_LENGTH))) & ((gap > 0) | (i < j)) & (block[i] == block[j])
+    i, j, gap = i[fits], j[fits], gap[fits]
     # Which groups differ tells the first family in which the pair meets.
-    differ = words.counts[i] != words.counts[j]
-    touched = np.stack([differ[:, groups == g].any(axis=1) for g in range(GROUPS)], axis=1)
-    first = np.full(len(i), -1)
-    for number, left_out in reversed(list(enumerate(FAMILIES))):
-        others = [g for g in range(GROUPS) if g not in left_out]
-        of_length = (words.lengths[j] == words.lengths[i]) == (len(left_out) == 2)
-        first[of_length & touched.any(axis=1) & ~touched[:, others].any(axis=1)] = number
-    own = first == family[i]
+    of_group = (groups[used][:, None] == np.arange(GROUPS)).astype(np.float32)
+    touched = ((counts[i] != counts[j]).astype(np.float32) @ of_group > 0) @ (1 << np.arange(GROUPS))
+    own = FIRST_FAMILY[gap, touched] == family[i]
     i, j = i[own], j[own]
     real = words.edited_once(i, j)
     return i[real], j[real]
