@@ -6,15 +6,18 @@ after the characters before it: every order's counts are smoothed by the next
 lower one, in proportion to how many different characters followed the context
 (Witten-Bell), down to a uniform start.  A URL's score is the mean over its
 characters of log P(accepted) - log P(rejected); pages without a rule are allowed
-from a threshold on, which is set where held-out examples are told apart best.
+from a threshold on.  It is set by cross-fitting: the examples are dealt into folds,
+each fold is scored by models of the others, and the cut is where all of them
+together are told apart best.  The models that judge are counted over all examples.
 
-Everything is DataFrame operations.  URLs are lower-cased, digits count as one
-symbol and rare ones as another, so the table of n-grams has at most
-``SYMBOLS ** (order + 1)`` rows whatever the input.
+Everything is DataFrame operations.  URLs are lower-cased and keep all their
+characters, so the table of n-grams grows with the input; it is broadcast under the
+size limit and joined otherwise.  A URL is cut once into pieces of bounded length,
+so its n-grams cost in proportion to its length.
 
 A URL without ``://`` (or NULL) has an empty host and path and fits no rule; it is
-scored as a whole, a NULL or empty one scores 0.  Rows are never merged: a
-repeated page is judged each time.
+scored as a whole, a NULL or empty one scores 0.  Examples of fewer than two classes
+leave the cut at 0.  Rows are never merged: a repeated page is judged each time.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from nearfield.session import broadcast_limit, materialise
 
 ORDER = 3
 PAD = "^"
-PLAIN = r"[^a-z0/.\-_?=&:%#+]"
-SYMBOLS = 26 + 1 + 12 + 1 + 1  # letters, digit, listed marks, any other, start
-GRAM_BYTES = 64
+PIECE = 256  # characters of a URL that are handled as one row
+GRAM_BYTES = 96
 FOLDS = 5
+ALL = -1  # in place of the fold that a model leaves out
 BIN = 0.01
 CLIP = 20.0
 
@@ -81,65 +84,86 @@ def rule_column(host: Column, path: Column, field: str, rules: tuple[Rule, ...]
 
 def symbols(url: Column) -> Column:
     """The string that the models read."""
-    body = F.lower(F.coalesce(_rest(url), url, F.lit("")))
-    return F.regexp_replace(F.translate(body, "123456789", "000000000"), PLAIN, "~")
+    return F.lower(F.coalesce(_rest(url), url, F.lit("")))
 
 
 def grams(strings: DataFrame, order: int) -> DataFrame:
-    """One row per character: ``g`` is the character after its ``order`` predecessors."""
-    padded = F.concat(F.lit(PAD * order), F.col("s"))
-    at = F.when(F.length("s") > 0, F.sequence(F.lit(1), F.length("s"))).otherwise(F.array().cast("array<int>"))
-    return strings.withColumn("at", F.explode(at)).withColumn("g", F.substring(padded, F.col("at"), F.lit(order + 1)))
+    """One row per character: ``g`` is the character after its ``order`` predecessors.
 
-
-def gram_scores(counts: DataFrame, order: int) -> DataFrame:
-    """(g, llr) from (g, accepted, rejected): the log ratio of the two smoothed models."""
+    A string (``s``, which isn't carried on) is cut into pieces in one sweep; each piece
+    is led by the last characters of the one before.
+    """
+    kept = [c for c in strings.columns if c != "s"]
+    pieces = F.regexp_extract_all("s", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    lead = lambda i: F.when(i == 0, F.lit(PAD * order)).otherwise(F.right(F.get(F.col("_pieces"), i - 1), F.lit(order)))
+    led = F.transform("_pieces", lambda piece, i: F.concat(lead(i), piece))
+    cut = strings.withColumn("_pieces", pieces).select(*kept, F.explode(led).alias("_piece"))
+    each = cut.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_piece") - order)))
+    return each.select(*kept, F.substring("_piece", F.col("_at"), F.lit(order + 1)).alias("g"))
+
+
+def without_folds(counts: DataFrame) -> DataFrame:
+    """(model, g, accepted, rejected) from (g, fold, accepted, rejected): all counts, and for each fold those of the others."""
+    every = counts.groupBy("g").agg(*(F.sum(c).alias(c) for c in ("accepted", "rejected")))
+    models = every.withColumn("model", F.explode(F.array(*map(F.lit, [ALL, *range(FOLDS)]))))
+    own = counts.select("g", F.col("fold").alias("model"), *(F.col(c).alias(f"own_{c}") for c in ("accepted", "rejected")))
+    left = lambda c: (F.col(c) - F.coalesce(f"own_{c}", F.lit(0))).alias(c)
+    return models.join(own, ["g", "model"], "left").select("model", "g", left("accepted"), left("rejected"))
+
+
+def gram_scores(counts: DataFrame, order: int, symbols_in_use: int) -> DataFrame:
+    """(model, g, llr) from (model, g, accepted, rejected): the log ratio of the two smoothed models of each ``model``."""
     lower = None
     for k in range(order + 1):
         own = F.substring("g", order + 1 - k, k + 1)
-        table = counts.groupBy(own.alias("g")).agg(*(F.sum(c).alias(c) for c in ("accepted", "rejected")))
+        table = counts.groupBy("model", own.alias("g")).agg(*(F.sum(c).alias(c) for c in ("accepted", "rejected")))
         context = F.substring("g", 1, k)
-        total = table.groupBy(context.alias("ctx")).agg(
+        total = table.groupBy("model", context.alias("ctx")).agg(
             *(F.sum(c).alias(f"{c}_n") for c in ("accepted", "rejected")),
             *(F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_t") for c in ("accepted", "rejected")),
         )
-        table = table.withColumn("ctx", context).join(total, "ctx")
+        table = table.withColumn("ctx", context).join(total, ["model", "ctx"])
         if lower is None:
-            shorter = {c: F.lit(1.0 / SYMBOLS) for c in ("accepted", "rejected")}
+            shorter = {c: F.lit(1.0 / symbols_in_use) for c in ("accepted", "rejected")}
         else:
-            table = table.withColumn("tail", F.substring("g", 2, k)).join(lower, "tail")
+            table = table.withColumn("tail", F.substring("g", 2, k)).join(lower, ["model", "tail"])
             shorter = {c: F.col(f"{c}_lower") for c in ("accepted", "rejected")}
 
         def smoothed(c: str) -> Column:
             # With nothing after this context the lower order stands alone; order 0 keeps all symbols possible.
             seen = F.col(f"{c}_t") if lower is not None else F.col(f"{c}_t") + 1
-            p = (F.col(c) + seen * shorter[c]) / (F.col(f"{c}_n") + seen)  # noqa: B023
-            return F.when(F.col(f"{c}_n") + seen > 0, p).otherwise(shorter[c])  # noqa: B023
+            p = F.try_divide(F.col(c) + seen * shorter[c], F.col(f"{c}_n") + seen)  # noqa: B023
+            return F.coalesce(p, shorter[c])  # noqa: B023
 
-        now = table.select("g", *(smoothed(c).alias(f"p_{c}") for c in ("accepted", "rejected")))
-        lower = now.select(F.col("g").alias("tail"), *(F.col(f"p_{c}").alias(f"{c}_lower") for c in ("accepted", "rejected")))
-    return now.select("g", (F.log("p_accepted") - F.log("p_rejected")).alias("llr"))
+        now = table.select("model", "g", *(smoothed(c).alias(f"p_{c}") for c in ("accepted", "rejected")))
+        renamed = [F.col(f"p_{c}").alias(f"{c}_lower") for c in ("accepted", "rejected")]
+        lower = now.select("model", F.col("g").alias("tail"), *renamed)
+    return now.select("model", "g", (F.log("p_accepted") - F.log("p_rejected")).alias("llr"))
 
 
 def threshold(scored: DataFrame) -> float:
     """Cut of the largest difference between the shares kept of both classes.
 
-    ``scored`` has (score, verdict, n) of held-out examples; scores are counted in
-    bins, so what is compared has at most ``2 * CLIP / BIN`` rows.  Without both
-    classes the cut is 0.
+    ``scored`` has (score, allow, block) of examples; scores are counted in bins, so
+    what is compared has at most ``2 * CLIP / BIN`` rows.  Without both classes the
+    cut is 0.
     """
     low, high = F.lit(-CLIP), F.lit(CLIP)
     binned = F.floor(F.least(F.greatest("score", low), high) / BIN).alias("bin")
     counts = scored.groupBy(binned).agg(
-        F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("bad"),
+        F.sum("allow").alias("good"),
+        F.sum("block").alias("bad"),
     )
     above = Window.orderBy(F.desc("bin"))
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = lambda c: F.sum(c).over(above) / F.sum(c).over(every)
-    best = counts.withColumn("gain", share("good") - share("bad")).filter("gain IS NOT NULL")
-    first = best.orderBy(F.desc("gain"), F.desc("bin")).select("bin").first()
-    return first["bin"] * BIN if first else 0.0
+    share = lambda c: F.try_divide(F.sum(c).over(above), F.sum(c).over(every))
+    best = counts.withColumns({"gain": share("good") - share("bad"), "below": F.lead("bin").over(Window.orderBy(F.desc("bin")))})
+    first = best.filter("gain IS NOT NULL").orderBy(F.desc("gain"), F.desc("bin")).first()
+    if first is None:
+        return 0.0
+    # Halfway to the next bin below that holds an example.
+    below = first["bin"] if first["below"] is None else first["below"] + 1
+    return (first["bin"] + below) / 2 * BIN
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER, url: str = "url") -> DataFrame:
@@ -150,22 +174,26 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER,
     rows = pages.drop("host", "path", "rule", "score", "verdict").withColumns(made)
     rows = rows.withColumn("rule", rule_column(F.col("host"), F.col("path"), "name", rules))
     rows = rows.withColumn("_given", rule_column(F.col("host"), F.col("path"), "verdict", rules))
-    # One row per string the models read and given verdict, with how often it occurs.
-    strings = rows.groupBy(F.col("_s").alias("s"), F.col("_given").alias("verdict")).agg(F.count("*").alias("n"))
-    strings = materialise(strings.withColumn("held_out", F.pmod(F.xxhash64("s"), F.lit(FOLDS)) == 0), "urls")
-    chars = grams(strings, order)
-    taught = lambda v: F.sum(F.when((F.col("verdict") == v) & ~F.col("held_out"), F.col("n")).otherwise(0))
-    counts = materialise(
-        chars.groupBy("g").agg(taught("allow").alias("accepted"), taught("block").alias("rejected")), "grams"
-    )
-    model = materialise(gram_scores(counts, order), "model")
-    if min(model.count(), SYMBOLS ** (order + 1)) * GRAM_BYTES <= broadcast_limit(spark):
+    # One row per string the models read, with how often it is allowed and blocked by a rule.
+    times = lambda v: F.sum(F.when(F.col("_given") == v, 1).otherwise(0))
+    strings = rows.groupBy(F.col("_s").alias("s")).agg(times("allow").alias("allow"), times("block").alias("block"))
+    fold = F.pmod(F.xxhash64("s"), F.lit(FOLDS)).cast("int")
+    # Characters are counted under a number of their string, which is fixed when it is written.
+    strings = materialise(strings.withColumns({"fold": fold, "sid": F.monotonically_increasing_id()}), "urls")
+    counts = grams(strings, order).groupBy("g", "fold")
+    counts = materialise(counts.agg(F.sum("allow").alias("accepted"), F.sum("block").alias("rejected")), "grams")
+    symbols_in_use = counts.select(F.right("g", F.lit(1))).distinct().count()
+    model = materialise(gram_scores(without_folds(counts), order, max(1, symbols_in_use)), "model")
+    if model.count() * GRAM_BYTES <= broadcast_limit(spark):
         model = F.broadcast(model)
-    distinct = strings.select("s").distinct()
-    scores = grams(distinct, order).join(model, "g").groupBy("s").agg((F.sum("llr") / F.count("*")).alias("score"))
-    scores = materialise(scores, "scores")
-    known = strings.filter("held_out AND verdict IS NOT NULL").join(scores, "s")
-    cut = threshold(known)
+    # Examples are scored by the models without their fold, all strings by those of all examples.
+    examples = strings.filter("allow + block > 0")
+    asked = strings.select("sid", "s", F.lit(ALL).alias("model"))
+    asked = asked.unionByName(examples.select("sid", "s", F.col("fold").alias("model")))
+    mean = (F.sum("llr") / F.count("*")).alias("score")
+    scored = materialise(grams(asked, order).join(model, ["model", "g"]).groupBy("sid", "model").agg(mean), "scores")
+    cut = threshold(examples.withColumnRenamed("fold", "model").join(scored, ["sid", "model"]))
+    scores = scored.filter(F.col("model") == ALL).join(strings, "sid").select("s", "score")
     out = rows.join(scores.withColumnRenamed("s", "_s"), "_s", "left")
     out = out.withColumn("score", F.coalesce("score", F.lit(0.0)))
     own = F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))
