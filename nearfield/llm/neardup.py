@@ -14,8 +14,9 @@ A group hands on link counts per class and a spanning forest of its links, never
 the links, so a task's output is no longer than its input.
 
 NULL labels, NULL, zero or non-finite vectors and vectors with NULL components
-link with nothing.  Vectors of different width never link.  Repeated rows count
-as further vectors.
+link with nothing.  Vectors of different width never link.  Repeated rows, and rows
+that share a ``vec_id`` under other vectors or labels, are vectors of their own.  A
+row with a NULL ``vec_id`` links with nothing; its component_id and kept are NULL.
 """
 
 from __future__ import annotations
@@ -134,9 +135,10 @@ def near_duplicates(
     sound = F.col("vkey").isNotNull() & F.col("_label").isNotNull() & F.col("vec_id").isNotNull()
     keyed = materialise(keyed.withColumn("grp", F.when(sound, group)).drop("_label"), "vectors")
     classes = keyed.filter("grp IS NOT NULL").groupBy("grp", "vkey").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")
+        F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")
     )
-    classes = materialise(classes, "classes")
+    # A class has a number of its own, as ids may occur in several classes; it is fixed when it is written.
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     sizes = classes.groupBy("grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = classes.join(sizes, "grp").withColumn("t", F.pmod(F.xxhash64("vkey"), F.col("tiles")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")
@@ -167,12 +169,13 @@ def near_duplicates(
     found = materialise(cells.groupBy("grp", "lo", "hi").applyInArrow(run, CELL), "cells")
     links = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected(found.filter("other IS NOT NULL"), "node", "other")
-    result = classes.select("grp", "vkey", "rep", "n").join(links.withColumnRenamed("node", "rep"), "rep", "left")
+    result = classes.select("grp", "vkey", "rep", "least", "n").join(links.withColumnRenamed("node", "rep"), "rep", "left")
     result = result.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    result = result.select(
-        "grp", "vkey", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
-    )
+    result = materialise(result.withColumn("component", F.coalesce("component", "rep")).drop("rep"), "linked")
+    named = result.groupBy("component").agg(F.min("least").alias("component_id"))
+    result = result.join(named, "component").select(
+        "grp", "vkey", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
+    )
     out = keyed.select("vec_id", "grp", "vkey").join(result, ["grp", "vkey"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
