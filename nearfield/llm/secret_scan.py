@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.text import in_small_batches
-from nearfield.session import scratch_path
+from nearfield.session import broadcast_limit, scratch_path
 
 
 class Rule(NamedTuple):
@@ -47,6 +47,8 @@ RULES = (
 )
 KINDS = tuple(rule.kind for rule in RULES)
 FOUND = "array<struct<kind:string,start:bigint,end:bigint>>"
+BLOB_BYTES = 160
+SPAN_BYTES = 64
 LEDGER = f"blob string, rule_version string, spans {FOUND}"
 
 
@@ -104,40 +106,43 @@ def open_ledger(spark: SparkSession, ledger: str | None = None) -> str:
 
 
 def update_ledger(
-    docs: DataFrame, ledger: str, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES
+    docs: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES
 ) -> None:
     """Scan the blobs of ``docs`` that the ledger lacks under these rules, and append them.
 
-    A blob is read from its row of smallest key: the rows are picked on (key,
-    blob) alone and meet their text by both, so copies never gather in a task.
-    Without a key, a row goes by its content.
+    One row of each blob is scanned.  Tasks keep one row per blob before anything is
+    shuffled, so copies never gather; known blobs go first where the ledger is small
+    enough to be shipped, else afterwards.
     """
     version = rule_version(rules)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(F.sha2(body.cast("binary"), 256).alias("blob"), F.col(key).cast("string").alias("_key"), body.alias("text"))
-    texts = texts.withColumn("_key", F.coalesce("_key", "blob"))
+    texts = docs.select(F.sha2(body.cast("binary"), 256).alias("blob"), body.alias("text"))
     known = read_ledger(docs.sparkSession, ledger).filter(F.col("rule_version") == version).select("blob")
-    todo = texts.groupBy("blob").agg(F.min("_key").alias("_key")).join(known, "blob", "left_anti")
-    fresh = scan(texts.join(todo, ["blob", "_key"]), rules).dropDuplicates(["blob"])
+    if known.count() * BLOB_BYTES <= broadcast_limit(docs.sparkSession):
+        todo = texts.join(F.broadcast(known), "blob", "left_anti").dropDuplicates(["blob"])
+    else:
+        todo = texts.dropDuplicates(["blob"]).join(known, "blob", "left_anti")
+    fresh = scan(todo, rules)
     fresh = fresh.withColumn("rule_version", F.lit(version)).select("blob", "rule_version", "spans")
     fresh.write.mode("append").parquet(ledger)
 
 
 def _hits(spark: SparkSession, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """Blobs with findings."""
+    """Blobs with findings, shipped to all tasks where they are few."""
     done = read_ledger(spark, ledger).filter(F.col("rule_version") == rule_version(rules))
-    return done.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
+    hits = done.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
+    size = hits.agg(F.count("*") * BLOB_BYTES + F.sum(F.size("spans")) * SPAN_BYTES).first()[0] or 0
+    return F.broadcast(hits) if size <= broadcast_limit(spark) else hits
 
 
 def scan_paths(
     docs: DataFrame,
     ledger: str,
     text: str = "text",
-    key: str = "doc_id",
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
     """``docs`` without ``text`` plus ``blob`` and ``spans``, one row per row of ``docs``."""
-    update_ledger(docs, ledger, text, key, rules)
+    update_ledger(docs, ledger, text, rules)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     paths = docs.withColumn("blob", F.sha2(body.cast("binary"), 256)).drop(text, "spans")
     out = paths.join(_hits(docs.sparkSession, ledger, rules), F.col("blob") == F.col("_blob"), "left").drop("_blob")
