@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from llm_rows import SF_DIR, TESTDATA, documents, none, odd, shared_folder  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearfield.llm import components, jaccard, mixing, neardup, neighbours, queries, toxicity, urls
+from nearfield.llm import components, jaccard, mixing, neardup, neighbours, oracles, queries, toxicity, urls
 
 
 
@@ -160,6 +163,28 @@ def test_near_duplicates(spark, tile):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_ids_of_several_vectors_and_labels(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 0), (3, [0.0, 1.0], 0)]
+    rows += [(3, [1.0, 0.0], 1), (None, [1.0, 0.0], 0), (9, [5.0, 0.1], 1), (1, [1.0, 0.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = Counter(tuple(r) for r in neardup.near_duplicates(table).collect())
+    want = Counter()
+    for a, (i, x, la) in enumerate(rows):
+        seen, todo = {a}, [a]
+        links = lambda p: [
+            q for q, (j, y, lb) in enumerate(rows)
+            if q != p and None not in (rows[p][0], j) and lb == rows[p][2]
+            and np.dot(rows[p][1], y) / np.linalg.norm(rows[p][1]) / np.linalg.norm(y) >= 0.98
+        ]
+        while todo:
+            fresh = set(links(todo.pop())) - seen
+            seen |= fresh
+            todo += fresh
+        least = i if i is None else min(rows[q][0] for q in seen)
+        want[i, len(links(a)), least, None if i is None else least == i] += 1
+    assert got == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(200, 1500)), rng.normal(size=(150, 1500))
@@ -252,11 +277,94 @@ def test_hosts_and_rules(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
-def test_models_are_distributions_and_tell_urls_apart(spark):
+def plain_models(examples, alphabet, order):
+    """P(character | context) of both classes from [(string, verdict, times)], smoothed by the next lower order."""
+    counts = {v: Counter() for v in ("allow", "block")}
+    for text, verdict, times in examples:
+        padded = urls.PAD * order + text
+        for i in range(len(text)):
+            for k in range(order + 1):
+                counts[verdict][padded[i + order - k : i + order + 1]] += times
+
+    def probability(verdict, gram):
+        p = 1.0 / alphabet
+        for k in range(len(gram)):
+            context = gram[len(gram) - 1 - k : len(gram) - 1]
+            follow = {g: n for g, n in counts[verdict].items() if len(g) == k + 1 and g[:k] == context}
+            n, kinds = sum(follow.values()), len(follow) + (k == 0)
+            if n + kinds:
+                p = (counts[verdict][gram[len(gram) - 1 - k :]] + kinds * p) / (n + kinds)
+        return p
+
+    return probability
+
+
+def plain_score(text, probability, order):
+    padded, total = urls.PAD * order + text, 0.0
+    for i in range(len(text)):
+        gram = padded[i : i + order + 1]
+        total += math.log(probability("allow", gram)) - math.log(probability("block", gram))
+    return total / len(text) if text else 0.0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_equal_plain_models(spark, seed):
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abé7Z"), int(rng.integers(1, 7))))
+    made = [f"http://{word()}.{end}{word()}" for end in ("org/fr/", "net/", "info/") for _ in range(14)]
+    pages = [(i, u) for i, u in enumerate([*made, *made[:5], "", None, "plain"])]
+    judged = urls.judge(spark.createDataFrame(pages, "page_id bigint, url string"), order=2).collect()
+    text = lambda u: (u or "").split("://", 1)[-1].lower()
+    rule = lambda u: plain_rule(*plain_host(u))
+    times = Counter((text(u), rule(u).verdict) for _, u in pages if rule(u))
+    alphabet = len({c for _, u in pages for c in text(u)})
+    model = plain_models([(*key, n) for key, n in times.items()], alphabet, 2)
+    for r in judged:
+        assert abs(r.score - plain_score(text(r.url), model, 2)) < 1e-9
+    # The cut is the best one on scores of the models without an example's fold.
+    folds = {r.s: r.f for r in spark.createDataFrame([(t,) for t, _ in times], "s string").select("s", F.expr(f"pmod(xxhash64(s), {urls.FOLDS})").alias("f")).collect()}
+    left = {f: plain_models([(*key, n) for key, n in times.items() if folds[key[0]] != f], alphabet, 2) for f in set(folds.values())}
+    held = [(math.floor(plain_score(t, left[folds[t]], 2) / urls.BIN), v, n) for (t, v), n in times.items()]
+    share = lambda v, cut: sum(n for b, w, n in held if w == v and b >= cut) / sum(n for _, w, n in held if w == v)
+    best = max({b for b, _, _ in held}, key=lambda c: (round(share("allow", c) - share("block", c), 12), c))
+    cut = (best + max([b + 1 for b, _, _ in held if b < best], default=best)) / 2 * urls.BIN
+    for r in judged:
+        given = rule(r.url)
+        assert r.verdict == (given.verdict if given else "allow" if r.score >= cut else "block")
+
+
+@pytest.mark.parametrize(
+    "addresses",
+    [
+        [f"http://h{i}.net/x{i}" for i in range(300)] + ["http://x.info/"],
+        [f"http://h{i}.org/fr/{i}" for i in range(30)] + ["http://x.info/"],
+        ["http://a.net", "http://b.org/fr/", "http://x.info"],
+        ["http://a.net"],
+        ["http://x.info", None, ""],
+    ],
+)
+def test_examples_of_few_classes(spark, addresses):
+    pages = spark.createDataFrame(list(enumerate(addresses)), "page_id bigint, url string")
+    for r in urls.judge(pages).collect():
+        rule = plain_rule(*plain_host(r.url))
+        assert r.verdict == rule.verdict if rule else r.verdict in ("allow", "block")
+
+
+def test_grams_of_long_urls(spark):
+    texts = ["", "a", "abc", "é" * 255 + "xyz", "".join(chr(97 + i % 26) for i in range(1025)), "\n" * 300 + "😀" * 300]
+    table = spark.createDataFrame(list(enumerate(texts)), "sid int, s string")
+    want = Counter((k, ("^^" + t)[i : i + 3]) for k, t in enumerate(texts) for i in range(len(t)))
+    assert Counter((r.sid, r.g) for r in urls.grams(table, 2).collect()) == want
+    long = spark.createDataFrame([(1, "http://x.info/" + "abcdefghij" * 100_000)], "page_id bigint, url string")
+    start = time.perf_counter()
+    assert urls.judge(long).count() == 1 and time.perf_counter() - start < 60
+
+
+def test_models_tell_urls_apart(spark):
     rows = [(f"{'ab' * 6}{i % 10}", 5, 0) for i in range(40)] + [(f"{'xy' * 6}{i % 10}", 0, 5) for i in range(40)]
     strings = spark.createDataFrame(rows, "s string, accepted bigint, rejected bigint")
     counts = urls.grams(strings, 2).groupBy("g").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
-    llr = {r.g: r.llr for r in urls.gram_scores(counts, 2).collect()}
+    llr = {r.g: r.llr for r in urls.gram_scores(counts.withColumn("model", F.lit(0)), 2, 14).collect()}
     assert llr["aba"] > 1 and llr["xyx"] < -1
     pages = [(i, f"http://h{i}.org/fr/{'good' * 3}{i}") for i in range(60)] + [(100 + i, f"http://h{i}.net/{'bad' * 4}{i}") for i in range(60)]
     pages += [(200, "http://z.info/goodgoodgood"), (201, "http://z.info/badbadbadbad")]
@@ -313,45 +421,86 @@ def test_toxicity_fit_takes_one_row_of_an_id(spark, monkeypatch):
 # --- mixing -----------------------------------------------------------------------------
 
 
-def plain_mix(items, exponent, budget):
-    """Copies per id by walking the permutations."""
-    import hashlib
+def digest(*parts):
+    return hashlib.md5(":".join("" if p is None else str(p) for p in parts).encode()).hexdigest()
 
-    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+
+def plain_mix(items, exponent, budget, repeats=None):
+    """Copies per (source, id) by walking the permutations."""
     by_source = defaultdict(list)
     for key, source, tokens in items:
-        place = digest(f"document:{'' if key is None else key}")
-        source = mixing.NO_SOURCE if source is None else source
-        by_source[source].append((digest(f"block:{source}:{place[: mixing.BLOCKS_HEX]}"), place, key, tokens))
-    totals = {s: sum(r[3] for r in rows) for s, rows in by_source.items()}
+        by_source[mixing.NO_SOURCE if source is None else source].append((key, tokens))
+    totals = {s: sum(t for _, t in rows) for s, rows in by_source.items()}
     z = sum(t**exponent for t in totals.values() if t)
     out = {}
     for source, rows in by_source.items():
         if not totals[source]:
-            out |= {(source, r[1]): 1 for r in rows}
+            out |= {(source, key): 1 for key, _ in rows}
             continue
-        epochs, rest = divmod(round(totals[source] ** exponent / z * budget), totals[source])
+        quota = round(totals[source] ** exponent / z * budget)
+        if repeats is not None:
+            quota = min(quota, math.floor(totals[source] * repeats))
+        epochs, rest = divmod(quota, totals[source])
         grouped = defaultdict(int)
-        for turn, place, _, tokens in rows:
-            grouped[turn, place] += tokens
+        for key, tokens in rows:
+            block = digest("member", key)[: mixing.BLOCKS_HEX]
+            grouped[digest("block", source, block, epochs), digest("document", key, epochs), key] += tokens
         taken, go = 0, rest > 0
-        for turn, place in sorted(grouped):
-            taken += grouped[turn, place]
+        for turn, place, key in sorted(grouped, key=lambda k: k[:2]):
+            taken += grouped[turn, place, key]
             go = go and taken <= rest
-            out[source, place] = epochs + go
+            out[source, key] = epochs + go
     return out
 
 
+def mix_items(docs):
+    return [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
+
+
 def test_mixing_walk(spark, odd, documents):
     for docs in (documents, odd):
-        items = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
+        items = mix_items(docs)
         budget = sum(i[2] for i in items)
-        mix = mixing.plan_mix(docs, mixing.Target(entropy=0.999), budget)
-        want = plain_mix(items, mix.exponent, budget)
-        got = mixing.copies(docs, mix).collect()
-        assert len(got) == len(items)
-        for r in got:
-            assert r.copies == want[mixing.NO_SOURCE if r.source is None else r.source, r.place]
+        for target in (mixing.Target(entropy=0.999), mixing.Target(repeats=2)):
+            mix = mixing.plan_mix(docs, target, budget)
+            want = plain_mix(items, mix.exponent, budget, target.repeats)
+            got = mixing.copies(docs, mix).collect()
+            assert len(got) == len(items)
+            for r in got:
+                assert r.copies == want[mixing.NO_SOURCE if r.source is None else r.source, r.doc_id]
+
+
+def test_a_limit_holds_with_a_budget(spark, documents):
+    items = mix_items(documents)
+    total, by_source = sum(i[2] for i in items), Counter()
+    for _, source, tokens in items:
+        by_source[source] += tokens
+    for budget in (total // 2, total, int(1.5 * total), 2 * total):
+        mix = mixing.plan_mix(documents, mixing.Target(repeats=2), budget)
+        taken, spent = mixing.copies(documents, mix).collect(), 0
+        assert max(r.copies for r in taken) <= 2
+        spent = sum(r.quota for r in mix.plan.collect())
+        assert abs(spent - budget) <= len(by_source)
+    with pytest.raises(ValueError, match="repeats"):
+        mixing.plan_mix(documents, mixing.Target(repeats=2), 10 * total)
+
+
+def test_copies_stand_in_permuted_blocks(spark, documents):
+    docs = documents.select("doc_id", "source", "text")
+    mix = mixing.plan_mix(docs, mixing.Target(repeats=4))
+    placed = mixing.with_positions(docs, mix, 1).collect()
+    orders = defaultdict(list)
+    for r in sorted(placed, key=lambda r: (r._turn, r._place)):
+        assert r._turn == digest("block", r.source, digest("member", r.doc_id)[: mixing.BLOCKS_HEX], r._epoch)
+        assert r._place == digest("document", r.doc_id, r._epoch)
+        orders[r.source, r._epoch].append(r.doc_id)
+    twice = [s for s, e in orders if e == 1]
+    assert twice and all(orders[s, 0] != orders[s, 1] for s in twice if len(orders[s, 0]) > 3)
+    # A source's copies come in the order of their epochs, its epochs over the whole corpus.
+    place = {(r.doc_id, r._epoch): (r._at, r._turn, r._place) for r in placed}
+    want = [key[0] for key in sorted(place, key=place.get)]
+    out = mixing.repeated(docs, mix, 1)
+    assert [r.doc_id for r in out.collect()] == want and out.columns == docs.columns
 
 
 def test_targets(spark):
@@ -409,3 +558,15 @@ def test_stages_take_odd_rows(spark, odd, none, empty):
     if not empty:
         kept = {r.doc_id for r in docs.collect()}
         assert kept >= {1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14} and not kept & {2, 8}
+
+
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    folder = f"{TESTDATA}/sf0.01"
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got, want = queries.queries()[name](spark, folder).toPandas(), con.execute(oracles.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert got[columns].sort_values(columns).values.tolist() == want[columns].sort_values(columns).values.tolist()

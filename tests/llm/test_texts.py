@@ -215,6 +215,22 @@ def test_ledger_scans_each_blob_and_version_once(spark, documents):
     assert secret_scan.read_ledger(spark, ledger).groupBy("rule_version").count().count() == 2
 
 
+def test_one_row_of_a_blob_is_scanned(spark, monkeypatch, conf):
+    scanned, real = [], secret_scan.scan
+    monkeypatch.setattr(secret_scan, "scan", lambda blobs, rules: scanned.append(blobs.count()) or real(blobs, rules))
+    rows = [(7, "token = abcdefgh12")] * 500 + [(i, f"secret: {i:08d}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    more = docs.union(spark.createDataFrame([(1, "fresh")] * 3, docs.schema))
+    for limit in (1 << 20, 0):
+        conf("nearfield.maxBroadcastBytes", limit)
+        ledger = secret_scan.open_ledger(spark)
+        secret_scan.update_ledger(docs, ledger)
+        secret_scan.update_ledger(more, ledger)
+        found = secret_scan.digest(secret_scan.scan_paths(more, ledger))
+        assert found.filter("n_assign = 1").count() == 510 and found.count() == 513
+    assert scanned == [11, 1, 0] * 2
+
+
 def test_redaction(spark, odd):
     ledger = secret_scan.open_ledger(spark)
     secret_scan.update_ledger(odd, ledger)
