@@ -297,16 +297,20 @@ def by_list(list_ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(list_ids[rows[0]]), rows
 
 
-def scan_probed(index: IvfIndex, block: QueryBlock, probes: Probes, k: int, vec: str) -> DataFrame:
-    """Per-task k best rows of the probed lists."""
+def scan_probed(
+    index: IvfIndex, block: QueryBlock, probes: Probes, k: int, vec: str, bound: np.ndarray | None = None
+) -> DataFrame:
+    """Per-task k best rows of the probed lists; rows beyond ``bound``, a distance per query, are not handed on."""
     measure, dtype = metrics.metric_of(index.metric), metrics.DTYPES[index.metric]
-    shipped = index.postings.sparkSession.sparkContext.broadcast((block, probes.by_list))
+    shipped = index.postings.sparkSession.sparkContext.broadcast((block, probes.by_list, bound))
 
     index_metric, lists = index.metric, len(index.centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, wanted = shipped.value
+        local, wanted, known = shipped.value
         q, state = local.side(index_metric), RunningTopK(len(local.ids), k)
+        if known is not None:
+            state.bound[:] = known
         everyone = np.arange(len(local.ids))
         meets = np.zeros((lists, len(everyone)), bool)
         for one, asking in wanted.items():

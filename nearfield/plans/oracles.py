@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from nearfield.plans.registry import (
     CAP,
+    COARSE,
+    COARSE_PROBES,
     DEGREE,
     DIM,
     EF,
@@ -21,6 +23,7 @@ from nearfield.plans.registry import (
     PROBES,
     PROBES_CODES,
     QUERIES,
+    ROWS_PER_LIST,
     SHIFT,
 )
 
@@ -252,6 +255,41 @@ def _ivf(precision: str) -> str:
     ) + _hits("pairs")
 
 
+def _two_level() -> tuple[str, ...]:
+    """Rows under the nearest fine centroid of their nearest coarse one."""
+    near = _cosine("f", "cen")
+    least = _top("hashed", "list_id", "h, vec_id", 1, "list_id, vec_id")
+    return (
+        *_base(FULL),
+        _floats("f32"),
+        ASKED_F,
+        _seeds().replace(f"LIMIT {LISTS}", f"LIMIT {COARSE}"),
+        _assign("coarse", "seeds", near),
+        f"sizes AS (SELECT list_id, count(*) AS n, CAST(ceil(count(*) / {ROWS_PER_LIST}.0) AS BIGINT) AS m FROM coarse GROUP BY list_id)",
+        "hashed AS (SELECT vec_id, list_id, CAST('0x' || substr(md5('fine|' || vec_id), 1, 8) AS BIGINT) AS h FROM coarse)",
+        f"least AS (SELECT list_id, vec_id FROM {least})",
+        "fine AS MATERIALIZED (SELECT h.list_id AS coarse_id, h.vec_id AS fine_id, i.f AS fc FROM hashed h JOIN sizes s USING (list_id) "
+        "JOIN items i ON i.vec_id = h.vec_id LEFT JOIN least l ON l.list_id = h.list_id AND l.vec_id = h.vec_id "
+        "WHERE h.h < (s.m * 4294967296) // s.n OR l.vec_id IS NOT NULL)",
+        "met AS (SELECT c.vec_id, c.list_id AS coarse_id, fine_id, " + _cosine("i.f", "fc") + " AS dist FROM coarse c "
+        "JOIN items i ON i.vec_id = c.vec_id JOIN fine ON fine.coarse_id = c.list_id)",
+        f"assigned AS MATERIALIZED (SELECT vec_id, coarse_id, fine_id AS list_id FROM {_top('met', 'vec_id', 'dist, fine_id', 1, 'vec_id, coarse_id, fine_id')})",
+    )
+
+
+def _two_level_knn() -> str:
+    asked_fine = (
+        f"(SELECT qid, fine_id, {_cosine('qf', 'fc')} AS dist FROM probed JOIN asked USING (qid) JOIN fine ON fine.coarse_id = probed.list_id)"
+    )
+    return _with(
+        *_two_level(),
+        _probed("seeds", _cosine("qf", "cen"), COARSE_PROBES),
+        f"looked AS MATERIALIZED (SELECT qid, fine_id AS list_id FROM {_top(asked_fine, 'qid', 'dist, fine_id', PROBES, 'qid, fine_id')})",
+        f"pairs AS (SELECT qid, vec_id, {_cosine('f', 'qf')} AS dist FROM looked JOIN asked USING (qid) "
+        f"JOIN assigned USING (list_id) JOIN items USING (vec_id))",
+    ) + _hits("pairs")
+
+
 def _code_lists(variant: str, precision: str = "f32") -> tuple[str, ...]:
     near = _differ("c", "cen")
     return (
@@ -759,6 +797,10 @@ def oracle_sql() -> dict[str, str]:
     for precision in ("f32", "f16"):
         sql[f"ivf_stored_knn_{precision}"] = sql[f"ivf_knn_{precision}"]
     sql["hamming_topk_onehot8"] = _hamming("onehot8")
+    sql["hamming_topk_radius"] = sql["hamming_topk_thermo4"]
+    sql["exact_knn_certified"] = sql["exact_knn_batch"]
+    sql["ivf_two_level_assign"] = _with(*_two_level()) + "SELECT vec_id, coarse_id, list_id FROM assigned"
+    sql["ivf_two_level_knn"] = _two_level_knn()
     seeded = (RAW, UNIT, _sliced(FULL), _floats("f32"), _seeds(), _assign("assigned0", "seeds", _cosine("f", "cen")))
     sql["ivf_assign_seeded"] = _with(*seeded) + "SELECT vec_id, list_id FROM assigned0"
     sql["ivf_lloyd_step"] = _with(*seeded, LLOYD[0]) + (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import codes, rules, vectors
-from nearfield.operators import evaluate, graph, ivf, knn, prep, quantiles, rabitq, rerank
+from nearfield.operators import certified, evaluate, graph, ivf, knn, prep, quantiles, rabitq, radius, rerank, two_level
 from nearfield.plans import grid
 from nearfield.session import attach, materialise, scratch_path
 from nearfield.sources import tables
@@ -21,6 +21,7 @@ K = 10
 OVERFETCH = 10
 QUERIES = 10
 LISTS, PROBES, PROBES_CODES = 50, 8, 24
+COARSE, COARSE_PROBES, ROWS_PER_LIST = 8, 4, 16
 DEGREE = 8
 EF, HOPS, ENTRIES = 20, 3, 20
 CAP = 400
@@ -571,6 +572,36 @@ for _variant in ("sign", "mean", "thermo4", "thermo8"):
     _ivf_stored_rerank(_variant)
 
 
+@_query("hamming_topk_radius")
+def hamming_topk_radius(spark, sf_dir):
+    table = _stored(spark, sf_dir, FULL, "code_thermo4")
+    return radius.hamming_radius_knn(prep.as_queries(_sample(table), None, "thermo4"), table, K, "thermo4")
+
+
+@_query("exact_knn_certified")
+def exact_knn_certified(spark, sf_dir):
+    table = _stored(spark, sf_dir, FULL, "f32")
+    index = _reread(spark, ivf.ivf_build(table, ivf.train_centroids(table, LISTS, 1)))
+    return _hits(certified.certified_knn(prep.as_queries(_sample(table)), index, certified.list_spread(index), K))
+
+
+def _two_level(spark, sf_dir) -> tuple[DataFrame, two_level.TwoLevelIndex]:
+    table = _stored(spark, sf_dir, FULL, "f32")
+    coarse = ivf.seed_centroids(table, COARSE)
+    return table, two_level.two_level_build(table, coarse, rows_per_list=ROWS_PER_LIST)
+
+
+@_query("ivf_two_level_assign")
+def ivf_two_level_assign(spark, sf_dir):
+    return _two_level(spark, sf_dir)[1].postings.select("vec_id", "coarse_id", "list_id")
+
+
+@_query("ivf_two_level_knn")
+def ivf_two_level_knn(spark, sf_dir):
+    table, index = _two_level(spark, sf_dir)
+    return _hits(two_level.two_level_knn(prep.as_queries(_sample(table)), index, K, COARSE_PROBES, PROBES))
+
+
 @_query("ivf_code_assign")
 def ivf_code_assign(spark, sf_dir):
     table = _stored(spark, sf_dir, FULL, "code_thermo4")
