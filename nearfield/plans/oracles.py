@@ -719,6 +719,19 @@ def oracle_sql() -> dict[str, str]:
         "SELECT step, built, n AS num_vectors, CASE WHEN moved THEN shifted ELSE plain END AS ones FROM ones, "
         "(VALUES ('build', true, false), ('again', false, false), ('shifted', true, true), ('forced', true, true)) AS s(step, built, moved)"
     )
+    labelled = "labelled AS (SELECT vec_id, v, label, label = (SELECT min(label) FROM raw) AS low, label = (SELECT max(label) FROM raw) AS high FROM unit JOIN raw USING (vec_id))"
+    positive = "len(list_filter(v, lambda x: x > 0))"
+    negative = "len(list_filter(v, lambda x: x < 0))"
+    sql["table_delta_build"] = _with(RAW, UNIT, labelled) + (
+        "SELECT CAST(1 AS INTEGER) AS version, count(*) AS num_vectors, count(*) AS encoded, CAST(0 AS BIGINT) AS removed, "
+        f"CAST(sum(CASE WHEN low THEN {negative} ELSE {positive} END) AS BIGINT) AS ones FROM labelled WHERE NOT high UNION ALL "
+        "SELECT CAST(2 AS INTEGER), count(*), count(*) FILTER (low OR high), count(*) FILTER (low AND NOT high), "
+        f"CAST(sum({positive}) AS BIGINT) FROM labelled"
+    )
+    sql["table_drop_versions"] = _with(RAW, UNIT, labelled) + (
+        "SELECT CAST(version AS INTEGER) AS version, version = 3 AS kept, CASE WHEN version = 3 THEN n END AS num_vectors "
+        "FROM range(1, 4) AS r(version), (SELECT count(*) AS n FROM labelled WHERE NOT low)"
+    )
     words = {"f32": DIM * 4, "f16": DIM * 2, "code_sign": 8, "code_mean": 8, "code_thermo4": DIM * 4 // 8, "code_thermo8": DIM}
     sql["index_size"] = (
         "SELECT representation, n AS num_rows, n * width AS bytes FROM (VALUES "

@@ -11,7 +11,7 @@ from nearfield.functions import codes, rules, vectors
 from nearfield.operators import certified, evaluate, graph, ivf, knn, prep, quantiles, rabitq, radius, rerank, two_level
 from nearfield.plans import grid
 from nearfield.session import attach, materialise, scratch_path
-from nearfield.sources import tables
+from nearfield.sources import tables, versions
 from nearfield.sources import vectors as source
 
 # Profile of the supplied table (64-dimensional vectors).
@@ -219,6 +219,44 @@ def table_build_cached(spark, sf_dir):
     return out
 
 
+def _versions(spark, sf_dir) -> tuple[DataFrame, versions.VersionedTable]:
+    """Two versions: all labels but the last, the first one's vectors turned round; then the whole table."""
+    raw = _raw(spark, sf_dir).select("vec_id", "embedding", "label")
+    cuts = prep.fit_thresholds(raw, FULL)
+    span = raw.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    turned = F.transform("embedding", lambda x: -x)
+    early = raw.filter(F.col("label") != span.high)
+    early = early.withColumn("embedding", F.when(F.col("label") == span.low, turned).otherwise(F.col("embedding")))
+    made = versions.VersionedTable(spark)
+    for corpus in (early, raw):
+        made.build(corpus, FULL, FULL, cuts)
+    return raw, made
+
+
+@_query("table_delta_build")
+def table_delta_build(spark, sf_dir):
+    _, made = _versions(spark, sf_dir)
+    ones = F.length(F.replace(_bits("code_sign", FULL), F.lit("0"), F.lit("")))
+    out = None
+    for version in (1, 2):
+        row = made.table(version).agg(F.sum(ones).alias("ones")).withColumn("version", F.lit(version))
+        out = row if out is None else out.unionByName(row)
+    return made.versions().join(out, "version").select("version", "num_vectors", "encoded", "removed", "ones")
+
+
+@_query("table_drop_versions")
+def table_drop_versions(spark, sf_dir):
+    raw, made = _versions(spark, sf_dir)
+    low = raw.agg(F.min("label")).first()[0]
+    made.build(raw.filter(F.col("label") != low), FULL, FULL, prep.fit_thresholds(raw, FULL))
+    known = materialise(made.versions().select("version"), "versions")
+    made.drop_versions(keep=1)
+    left = made.table().agg(F.count(F.lit(1)).alias("num_vectors"))
+    left = left.select("num_vectors", F.lit(made.versions().first().version).alias("version"), F.lit(True).alias("kept"))
+    kept = materialise(left, "kept")
+    return known.join(kept, "version", "left").select("version", F.coalesce("kept", F.lit(False)).alias("kept"), "num_vectors")
+
+
 @_query("index_size")
 def index_size(spark, sf_dir):
     return tables.index_size(_unified(spark, sf_dir))
