@@ -729,7 +729,7 @@ def oracle_sql() -> dict[str, str]:
         f"CAST(sum({positive}) AS BIGINT) FROM labelled"
     )
     sql["table_drop_versions"] = _with(RAW, UNIT, labelled) + (
-        "SELECT CAST(version AS INTEGER) AS version, version = 3 AS kept, CASE WHEN version = 3 THEN n END AS num_vectors "
+        "SELECT CAST(version AS INTEGER) AS version, version = 3 AS kept, CASE WHEN version = 3 THEN n ELSE 0 END AS num_vectors "
         "FROM range(1, 4) AS r(version), (SELECT count(*) AS n FROM labelled WHERE NOT low)"
     )
     words = {"f32": DIM * 4, "f16": DIM * 2, "code_sign": 8, "code_mean": 8, "code_thermo4": DIM * 4 // 8, "code_thermo8": DIM}

@@ -254,7 +254,8 @@ def table_drop_versions(spark, sf_dir):
     left = made.table().agg(F.count(F.lit(1)).alias("num_vectors"))
     left = left.select("num_vectors", F.lit(made.versions().first().version).alias("version"), F.lit(True).alias("kept"))
     kept = materialise(left, "kept")
-    return known.join(kept, "version", "left").select("version", F.coalesce("kept", F.lit(False)).alias("kept"), "num_vectors")
+    out = known.join(kept, "version", "left")
+    return out.select("version", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("num_vectors", F.lit(0)).alias("num_vectors"))
 
 
 @_query("index_size")
