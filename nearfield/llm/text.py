@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 TEXT_ROWS = 1024
+TEXT_BYTES = 4 << 20
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BYTES_DEFAULT = "67108864b"
 _HASHED_BYTES = 64  # longer words are hashed one by one
 _PRIME = np.uint64(0x100000001B3)
 _SEED = np.uint64(0xCBF29CE484222325)
@@ -26,13 +29,15 @@ _LOWER[65:91] += 32
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``; its session sends texts to Python ``TEXT_ROWS`` rows at a time, unless it is set lower.
+    """``docs``; its session sends texts to Python ``TEXT_ROWS`` rows or ``TEXT_BYTES`` bytes at a time, unless it is set lower.
 
     A batch is held by the JVM and by Python at once, and texts are long.
     """
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get(_ROWS_KEY)) <= TEXT_ROWS:
         conf.set(_ROWS_KEY, TEXT_ROWS)
+    if conf.get(_BYTES_KEY) == _BYTES_DEFAULT:
+        conf.set(_BYTES_KEY, TEXT_BYTES)
     return docs
 
 
