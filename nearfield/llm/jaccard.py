@@ -17,6 +17,10 @@ takes every remaining pair whose members are not yet in one class.  Thousands of
 near copies thus cost about as many comparisons as there are copies, and no link
 between different classes is lost.
 
+In the second round a group meets only groups of a size that its place of the
+shingle still allows.  Documents that share a passage too short to link them hold
+its shingles too far back for any partner of their size, so they never meet.
+
 Only the order uses estimates: the most frequent shingles are found by bounded
 counts per task.  Any order gives the same result; this one keeps common passages
 out of the prefixes.  Shingles are told apart by 64-bit hashes, sets by 128 bits.
@@ -27,13 +31,14 @@ nothing and have a NULL component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.components import connected
@@ -47,6 +52,7 @@ FREQUENT_IN_TASK = 1 << 14
 _COUNTED = 1 << 20
 KEPT_GROUPS = 1 << 18
 ID_BYTES = 16
+SIZE_STEPS = 4  # classes of size between a set and the largest that it can link with
 
 
 class Order(NamedTuple):
@@ -205,6 +211,28 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return sizes & ((100 + percent) * common >= percent * (n1 + n2))
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """Number of a geometric class of set sizes."""
+    step = max(math.log(100 / percent) / SIZE_STEPS, 0.01)
+    return F.floor(F.log(n.cast("double")) / F.lit(step))
+
+
+def meetings(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x``, ``y`` of postings of a token in which ``y`` is no smaller and within the sizes that ``x`` allows.
+
+    With ``n - pos`` shingles left, ``x`` has at most so many in common with ``y``,
+    which bounds the size of ``y``; where the bound lies below its own size, ``x``
+    meets nothing larger.
+    """
+    n, left = F.col("n"), F.col("n") - F.col("pos")
+    most = F.least(F.floor(100 * n / percent), F.floor((100 + percent) * left / percent) - n)
+    small = postings.withColumn("most", most).filter("most >= n")
+    small = small.withColumn("class", F.explode(F.sequence(size_class(n, percent), size_class(F.col("most"), percent))))
+    large = postings.withColumn("class", size_class(n, percent))
+    larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.grp") < F.col("y.grp")))
+    return small.alias("x").join(large.alias("y"), ["token", "class"]).filter(larger & (F.col("y.n") <= F.col("x.most")))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order, percent: int, width: int) -> DataFrame:
     """(a, b) of the pairs (sa, sb) of set signatures that link, as documents.
 
@@ -245,7 +273,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), lists], names=["sig", "tokens"])
 
     rows = docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("text")
-    made = rows.mapInArrow(make, "sig binary, tokens array<bigint>")
+    made = rows.mapInArrow(make, "sig binary, tokens array<bigint>").dropDuplicates(["sig"])
+    made = materialise(made, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,8 +298,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order
         left = pairs.join(made.withColumnsRenamed({"sig": "sb", "tokens": "tb"}), "sb")
     left = left.select("sa", "sb", "tb")
     both = left.join(made.withColumnsRenamed({"sig": "sa", "tokens": "ta"}), "sa").select("sa", "sb", "ta", "tb")
-    # Rows with the same text give the same set, so a pair may come several times.
-    links = both.mapInArrow(compare, "sa binary, sb binary").distinct()
+    links = both.mapInArrow(compare, "sa binary, sb binary")
     names = classes.select("sig", "rep")
     links = links.join(names.withColumnsRenamed({"sig": "sa", "rep": "a"}), "sa")
     return links.join(names.withColumnsRenamed({"sig": "sb", "rep": "b"}), "sb").select("a", "b")
@@ -287,11 +315,12 @@ def jaccard_join(
     classes = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("grp", "n", "bits")))
     classes = materialise(classes, "classes")
     # Groups by shingle; a shingle of one group joins nothing.
-    held = signed.filter(F.size("prefix") > 0).select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    whole = Window.partitionBy("token")
-    held = held.withColumn("lo", F.min("grp").over(whole)).withColumn("hi", F.max("grp").over(whole))
-    held = held.filter("lo < hi").select("token", "grp", "n", "pos")
-    held = materialise(held.dropDuplicates(["token", "grp"]), "postings")
+    prefixes = signed.filter(F.size("prefix") > 0)
+    group = F.xxhash64("grp")
+    shared = prefixes.select(group.alias("g"), F.explode("prefix").alias("token")).groupBy("token")
+    shared = shared.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")
+    held = prefixes.select("grp", "n", F.posexplode("prefix").alias("pos", "token")).join(shared, "token", "left_semi")
+    held = materialise(held.select("token", "grp", "n", "pos").dropDuplicates(["token", "grp"]), "postings")
 
     # Round one: each group with the foremost group of a shingle, and members with their group's first.
     foremost = held.groupBy("token").agg(F.min(F.struct("pos", "grp", "n")).alias("c"))
@@ -320,8 +349,8 @@ def jaccard_join(
     open_ = held.join(across, "grp")
     mixed_ = open_.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("token")
     open_ = materialise(open_.join(mixed_, "token"), "open")
-    apart = (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")) & (F.col("x.grp") < F.col("y.grp"))
-    rest = open_.alias("x").join(open_.alias("y"), "token").filter(apart & may_link("x", "y", percent))
+    apart = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
+    rest = meetings(open_, percent).filter(apart & may_link("x", "y", percent))
     rest = rest.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("c")).distinct()
     own = across.filter("lo < hi").select(F.col("grp").alias("g"), F.col("grp").alias("c"))
     of = placed.select("grp", "sig", "component")

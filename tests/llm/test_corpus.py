@@ -116,6 +116,42 @@ def test_join_of_near_copies(spark):
     assert got == want
 
 
+def test_join_of_a_shared_passage(spark):
+    """Documents of one passage that is too short to link them, a third of the rows under one id."""
+    rng = np.random.default_rng(12)
+    word = lambda: "w" + str(rng.integers(0, 10**6))
+    passage = [word() for _ in range(84)]
+    rows = [(i, " ".join([*(word() for _ in range(20)), *passage])) for i in range(200)]
+    rows += [(7, " ".join([*(word() for _ in range(3 + i % 5)), *passage])) for i in range(50)] + [(7, rows[7][1])] * 50
+    rows += [(900 + i, " ".join([word(), *passage])) for i in range(20)]
+    got, want = both(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_meetings_of_postings(spark, percent):
+    """Pairs that may link all meet; equal sizes that hold a shingle too far back do not."""
+    rng = np.random.default_rng(percent)
+    rows = []
+    for i in range(400):
+        n = int(rng.integers(1, 60))
+        rows.append((int(rng.integers(0, 3)), f"g{i}".encode(), n, int(rng.integers(0, n))))
+    postings = spark.createDataFrame(rows, "token bigint, grp binary, n bigint, pos int")
+    links = jaccard.may_link("x", "y", percent)
+    met = jaccard.meetings(postings, percent).filter(links).select("x.grp", "y.grp").toDF("a", "b").collect()
+    want = set()
+    for i, (token, a, n1, p1) in enumerate(rows):
+        for other, b, n2, p2 in rows[:i]:
+            common = min(n1 - p1, n2 - p2)
+            sizes = 100 * min(n1, n2) >= percent * max(n1, n2)
+            if token == other and sizes and (100 + percent) * common >= percent * (n1 + n2):
+                want.add(frozenset([a, b]))
+    assert len(met) == len(want) and {frozenset([bytes(r.a), bytes(r.b)]) for r in met} == want
+    crowd = spark.range(3000).select(F.lit(1).alias("token"), F.col("id").cast("string").cast("binary").alias("grp"), F.lit(100).alias("n"), F.lit(20).alias("pos"))
+    if percent == 75:
+        assert jaccard.meetings(crowd, percent).count() == 0
+
+
 @pytest.mark.parametrize("percent", [50, 90, 100])
 def test_other_thresholds(spark, percent):
     rng = np.random.default_rng(percent)
