@@ -7,6 +7,7 @@ Statements are assembled from named common table expressions.
 from __future__ import annotations
 
 from nearfield.plans.registry import (
+    ACCURACY,
     CAP,
     COARSE,
     COARSE_PROBES,
@@ -776,9 +777,18 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, {_rounded('qs[j]', 9)} AS value FROM "
         f"(SELECT d, [{discrete}] AS qs FROM spread GROUP BY d), unnest(range(1, 8)) AS r(j)"
     )
-    # The bound is what is promised, so every row holds.
-    sql["dim_percentiles_rank_error"] = _with(RAW, UNIT, CUTS[0]) + (
-        "SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS cut, true AS within FROM (SELECT DISTINCT d FROM spread), range(7) AS r(c)"
+    slack = f"CAST(ceil(n / {ACCURACY}.0) AS BIGINT)"
+    lowest = f"greatest(0, CAST(floor((c + 1) * n / 8.0) AS BIGINT) - {slack} - 1)"
+    highest = f"least(n - 1, CAST(ceil((c + 1) * n / 8.0) AS BIGINT) + {slack})"
+    # That the approximate value lies between these two is what is promised.
+    sql["dim_percentiles_rank_error"] = _with(
+        RAW,
+        UNIT,
+        CUTS[0],
+        "ranked AS (SELECT d, x, row_number() OVER (PARTITION BY d ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY d) AS n FROM spread)",
+        f"ends AS (SELECT d, c, min(x) FILTER (place = {lowest}) AS lo, min(x) FILTER (place = {highest}) AS hi FROM ranked, range(7) AS r(c) GROUP BY d, c)",
+    ) + (
+        f"SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS cut, {_rounded('lo')} AS lowest, {_rounded('hi')} AS highest, true AS within FROM ends"
     )
     truth = _top("(SELECT qid, vec_id, -list_dot_product(f, qf) AS dist FROM asked, items)", "qid", "dist, vec_id", K, "qid, vec_id")
     found = _top(f"(SELECT qid, vec_id, {_differ('c', 'qc')} AS dist FROM asked, items)", "qid", "dist, vec_id", K, "qid, vec_id")
@@ -811,6 +821,7 @@ def oracle_sql() -> dict[str, str]:
         sql[f"ivf_stored_knn_{precision}"] = sql[f"ivf_knn_{precision}"]
     sql["hamming_topk_onehot8"] = _hamming("onehot8")
     sql["hamming_topk_radius"] = sql["hamming_topk_thermo4"]
+    sql["hamming_mih_knn"] = sql["hamming_topk_sign"]
     sql["exact_knn_certified"] = sql["exact_knn_batch"]
     sql["ivf_two_level_assign"] = _with(*_two_level()) + "SELECT vec_id, coarse_id, list_id FROM assigned"
     sql["ivf_two_level_knn"] = _two_level_knn()

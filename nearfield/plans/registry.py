@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import codes, rules, vectors
-from nearfield.operators import certified, evaluate, graph, ivf, knn, prep, quantiles, rabitq, radius, rerank, two_level
+from nearfield.operators import certified, evaluate, graph, ivf, knn, multi_index, prep, quantiles, rabitq, radius, rerank, two_level
 from nearfield.plans import grid
 from nearfield.session import attach, materialise, scratch_path
 from nearfield.sources import tables, versions
@@ -446,23 +447,23 @@ def dim_percentiles_approx(spark, sf_dir):
 
 @_query("dim_percentiles_rank_error")
 def dim_percentiles_rank_error(spark, sf_dir):
-    """Whether each approximate percentile's rank is off by no more than its sketch allows, at any table size."""
+    """The values between which each approximate percentile must lie by its sketch's rank error, and whether it does."""
     unit = materialise(prep.prepare(_raw(spark, sf_dir), FULL, FULL), "unit")
-    cuts = F.broadcast(quantiles.approx_percentiles(unit, prep.EIGHTHS, accuracy=ACCURACY))
-    values = unit.select(F.posexplode("v").alias("d", "x")).join(cuts, "d")
-    ranks = [
-        F.struct(
-            F.sum((F.col("x") < F.col("cuts")[i]).cast("bigint")).alias("below"),
-            F.sum((F.col("x") <= F.col("cuts")[i]).cast("bigint")).alias("upto"),
-            F.lit(p).alias("p"),
-        )
-        for i, p in enumerate(prep.EIGHTHS)
-    ]
-    ranked = values.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.array(*ranks).alias("ranks"))
-    ranked = ranked.select("d", "n", F.posexplode("ranks").alias("cut", "r"))
-    wanted, slack = F.col("r.p") * F.col("n"), F.ceil(F.col("n") / ACCURACY)
-    within = (F.col("r.below") - slack <= wanted) & (wanted <= F.col("r.upto") + slack)
-    return ranked.select("d", "cut", within.alias("within"))
+    schema = "d int, cut int, lowest double, highest double"
+    n = unit.filter("v IS NOT NULL").count()
+    slack = -(-n // ACCURACY)
+    ranks = [max(0, math.floor(p * n) - slack - 1) for p in prep.EIGHTHS]
+    ranks += [min(n - 1, math.ceil(p * n) + slack) for p in prep.EIGHTHS]
+    rows = []
+    if n:
+        _, values = quantiles.exact_percentiles(unit, [r / max(1, n - 1) for r in ranks])
+        half = len(prep.EIGHTHS)
+        rows = [(d, i, float(x[i]), float(x[half + i])) for d, x in enumerate(values) for i in range(half)]
+    bounds = F.broadcast(spark.createDataFrame(rows, schema))  # a row for each dimension and cut
+    cuts = quantiles.approx_percentiles(unit, prep.EIGHTHS, accuracy=ACCURACY)
+    found = cuts.select("d", F.posexplode("cuts").alias("cut", "x")).join(bounds, ["d", "cut"])
+    within = (F.col("lowest") <= F.col("x")) & (F.col("x") <= F.col("highest"))
+    return found.select("d", "cut", _rounded("lowest").alias("lowest"), _rounded("highest").alias("highest"), within.alias("within"))
 
 
 @_query("recall_at_k")
@@ -617,6 +618,13 @@ def hamming_topk_radius(spark, sf_dir):
     return radius.hamming_radius_knn(prep.as_queries(_sample(table), None, "thermo4"), table, K, "thermo4")
 
 
+@_query("hamming_mih_knn")
+def hamming_mih_knn(spark, sf_dir):
+    table = _stored(spark, sf_dir, FULL, "code_sign")
+    index = multi_index.build(table, "sign", ivf.code_bits(FULL, "sign"))
+    return multi_index.hamming_mih_knn(prep.as_queries(_sample(table), None, "sign"), index, K)
+
+
 @_query("exact_knn_certified")
 def exact_knn_certified(spark, sf_dir):
     table = _stored(spark, sf_dir, FULL, "f32")

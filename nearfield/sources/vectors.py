@@ -44,11 +44,26 @@ def check_widths(corpus: DataFrame, vec: str = "embedding") -> DataFrame:
 def cap_rows(corpus: DataFrame, n: int, key: str = "vec_id") -> DataFrame:
     """The ``n`` rows of smallest key; NULL keys come last, equal keys in the order of a row hash.
 
-    Rows are sorted by ranges and numbered in place, so no task holds the cap.
+    Only keys and hashes are sorted and numbered; the last of them is the cut by
+    which the table is then filtered, so no other column moves.  Of equal rows at
+    the cut as many are kept as are missing.
     """
-    others = [c for c in corpus.columns if c != key]
-    order = (F.col(key).asc_nulls_last(), F.xxhash64(key, *others))
-    return assign_ids(corpus, *order, name="_row").filter(F.col("_row") < n).drop("_row")
+    row_hash = F.xxhash64(key, *(c for c in corpus.columns if c != key))
+    keys = corpus.select(F.col(key).alias("_key"), row_hash.alias("_hash"))
+    numbered = assign_ids(keys, F.col("_key").asc_nulls_last(), "_hash", name="_row")
+    cut = numbered.filter(F.col("_row") == n - 1).first()
+    if cut is None:
+        return corpus if n > 0 else corpus.limit(0)
+    last = F.lit(cut["_key"])
+    at_cut = F.col(key).eqNullSafe(last)
+    nearer = F.col(key).isNotNull() if cut["_key"] is None else F.coalesce(F.col(key) < last, F.lit(False))
+    before = numbered.filter(F.col("_key").eqNullSafe(last) & (F.col("_hash") == cut["_hash"]))
+    spare, equal = before.agg(n - F.min("_row"), F.count("*")).first()
+    kept = corpus.filter(nearer | (at_cut & (row_hash < cut["_hash"])))
+    tied = corpus.filter(at_cut & (row_hash == cut["_hash"]))
+    if equal > spare:
+        tied = assign_ids(tied, name="_row").filter(F.col("_row") < spare).drop("_row")
+    return kept.unionByName(tied)
 
 
 def gen_vectors(ids: DataFrame, dim: int, seed: str = "gauss", key: str = "vec_id") -> DataFrame:
@@ -72,13 +87,13 @@ def gen_vectors(ids: DataFrame, dim: int, seed: str = "gauss", key: str = "vec_i
 
 
 def assign_ids(rows: DataFrame, *order: str | Column, name: str = "row_id") -> DataFrame:
-    """Dense ids 0..n-1, in ``order`` when given.
+    """Dense ids 0..n-1, in ``order`` when given, ties of it in the order of a row hash.
 
     Counts per partition give each partition its first id; only those counts
     reach the driver.  The rows are pinned first, so that counting and numbering
     see the same partitions.
     """
-    pinned = cut_lineage(rows.orderBy(*order) if order else rows)
+    pinned = cut_lineage(rows.orderBy(*order, F.xxhash64(*rows.columns)) if order else rows)
     numbered = pinned.withColumn("_mid", F.monotonically_increasing_id())
     part = F.shiftrightunsigned("_mid", ROW_BITS)
     counts = numbered.groupBy(part.alias("_part")).count().orderBy("_part").collect()
