@@ -13,6 +13,7 @@ from nearfield.functions import blocks
 from nearfield.functions.codes import Thresholds, code_rows
 from nearfield.functions.vectors import prepared
 from nearfield.operators.quantiles import dim_moments, exact_percentiles
+from nearfield.operators.sketched import exact_percentiles_sketched
 from nearfield.session import broadcast_limit
 
 EIGHTHS = [i / 8 for i in range(1, 8)]
@@ -30,9 +31,14 @@ def prepare(corpus: DataFrame, dim: int, full_dim: int, vec: str = "embedding")
 
 
 def fit_thresholds(
-    corpus: DataFrame, full_dim: int, dim: int | None = None, mode: str = "full", vec: str = "embedding"
+    corpus: DataFrame,
+    full_dim: int,
+    dim: int | None = None,
+    mode: str = "full",
+    vec: str = "embedding",
+    sketched: bool = False,
 ) -> Thresholds:
-    """Means and percentile cut points of every dimension.
+    """Means and percentile cut points of every dimension; ``sketched`` finds the same in fewer reads.
 
     ``full`` learns on the full-width vectors, ``slice`` on the renormalised
     ``dim`` prefix the codes are taken from.
@@ -40,7 +46,8 @@ def fit_thresholds(
     if mode not in ("full", "slice"):
         raise ValueError(f"unknown threshold mode: {mode}")
     width = full_dim if mode == "full" else (dim or full_dim)
-    means, cuts = exact_percentiles(prepare(corpus, width, full_dim, vec), EIGHTHS)
+    vectors = prepare(corpus, width, full_dim, vec)
+    means, cuts = exact_percentiles_sketched(vectors, EIGHTHS, width=width) if sketched else exact_percentiles(vectors, EIGHTHS)
     return Thresholds(means, cuts[:, QUARTERS], cuts, mode)
 
 

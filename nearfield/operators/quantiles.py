@@ -198,18 +198,38 @@ def exact_percentiles(
     wanted = {rank for low, high, _ in spots for rank in (low, high)}
     ranges = [[_Range(float(lows[d]), float(highs[d]), 0, n)] for d in range(dims)]
 
-    while sum(r.count for of_dim in ranges for r in of_dim if r.low < r.high) > values_left:
-        edges = [np.unique(np.concatenate([r.edges() for r in of_dim])) for of_dim in ranges]
+    ranges = narrowed(vectors, vec, ranges, wanted, values_left)
+    table = _values_left(vectors, vec, ranges).toArrow()
+    return moments.column("mean").to_numpy(), cuts_within(table, ranges, spots)
+
+
+def narrowed(
+    vectors: DataFrame,
+    vec: str,
+    ranges: list[list[_Range]],
+    wanted: set[int],
+    values_left: int,
+    edges: list[np.ndarray] | None = None,
+) -> list[list[_Range]]:
+    """Ranges that hold the wanted ranks and few values; the first pass counts between ``edges`` where given."""
+    while edges is not None or sum(r.count for of_dim in ranges for r in of_dim if r.low < r.high) > values_left:
+        if edges is None:
+            edges = [np.unique(np.concatenate([r.edges() for r in of_dim])) for of_dim in ranges]
         bins = _bins(vectors, vec, edges)
-        firsts = np.searchsorted(bins.column("d").to_numpy(), np.arange(dims + 1))
+        firsts = np.searchsorted(bins.column("d").to_numpy(), np.arange(len(edges) + 1))
         ranges = [
-            _refine(bins.slice(firsts[d], firsts[d + 1] - firsts[d]), len(edges[d]), wanted) for d in range(dims)
+            _refine(bins.slice(firsts[d], firsts[d + 1] - firsts[d]), len(edges[d]), wanted) for d in range(len(edges))
         ]
+        edges = None
+    return ranges
 
-    table = _values_left(vectors, vec, ranges).toArrow().sort_by([("d", "ascending"), ("x", "ascending")])
+
+def cuts_within(table: pa.Table, ranges: list[list[_Range]], spots: list[tuple[int, int, float]]) -> np.ndarray:
+    """Percentiles from the distinct values (d, x, n) inside the ranges."""
+    table = table.sort_by([("d", "ascending"), ("x", "ascending")])
     d_col, x_col, n_col = (table.column(c).to_numpy() for c in ("d", "x", "n"))
-    cuts = np.empty((dims, len(probs)))
-    for d in range(dims):
+    cuts = np.empty((len(ranges), len(spots)))
+    for d in range(len(ranges)):
         first, last = np.searchsorted(d_col, [d, d + 1])
         values, counts = x_col[first:last], n_col[first:last]
 
@@ -224,7 +244,7 @@ def exact_percentiles(
         for i, (low, high, weight) in enumerate(spots):
             a, b = value_at(low), value_at(high)
             cuts[d, i] = a + (b - a) * weight
-    return moments.column("mean").to_numpy(), cuts
+    return cuts
 
 
 def approx_percentiles(vectors: DataFrame, probs: list[float], vec: str = "v", accuracy: int = 10000) -> DataFrame:

@@ -772,6 +772,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, {_rounded('[q1, q2, q3, q4, q5, q6, q7][j]', 9)} AS eighth, "
         f"{_rounded('[q2, q4, q6][j]', 9)} AS quarter FROM cuts, unnest(range(1, 8)) AS r(j)"
     )
+    sql["dim_percentiles_two_pass"] = sql["dim_percentiles"]
     discrete = ", ".join(f"quantile_disc(x, {i / 8})" for i in range(1, 8))
     sql["dim_percentiles_approx"] = _with(RAW, UNIT, CUTS[0]) + (
         f"SELECT CAST(d AS INTEGER) AS d, CAST(j - 1 AS INTEGER) AS cut, {_rounded('qs[j]', 9)} AS value FROM "

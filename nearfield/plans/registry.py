@@ -428,7 +428,15 @@ def dim_means(spark, sf_dir):
 
 @_query("dim_percentiles")
 def dim_percentiles(spark, sf_dir):
-    learned = prep.thresholds_table(spark, prep.fit_thresholds(_raw(spark, sf_dir), FULL))
+    return _cuts(prep.thresholds_table(spark, prep.fit_thresholds(_raw(spark, sf_dir), FULL)))
+
+
+@_query("dim_percentiles_two_pass")
+def dim_percentiles_two_pass(spark, sf_dir):
+    return _cuts(prep.thresholds_table(spark, prep.fit_thresholds(_raw(spark, sf_dir), FULL, sketched=True)))
+
+
+def _cuts(learned: DataFrame) -> DataFrame:
     return learned.select("d", F.posexplode("t8").alias("cut", "value"), "t4").select(
         "d",
         "cut",
