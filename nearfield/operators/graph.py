@@ -241,6 +241,17 @@ def prune(graph: DataFrame, corpus: DataFrame, degree: int, alpha: float = PRUNE
     return chosen.select(F.col("src").alias("vec_id"), F.transform("keep", link).alias("nbrs"))
 
 
+def two_sided(
+    graph: DataFrame, corpus: DataFrame, degree: int, candidates: int, alpha: float = PRUNE_ALPHA, vec: str = "f32"
+) -> DataFrame:
+    """(vec_id, nbrs): at most ``degree`` spread edges, chosen from the links to a row as well as its own.
+
+    Links both ways are the candidates of the pruning rule, ``candidates`` of them at
+    most, so that the rule, not nearness, bounds the degree.
+    """
+    return prune(undirected(graph, candidates), corpus, degree, alpha, vec)
+
+
 def refine(graph: DataFrame, corpus: DataFrame, degree: int, vec: str = "f32") -> DataFrame:
     """(vec_id, nbrs) after one round of NN-Descent: neighbours meet each other.
 

@@ -492,14 +492,14 @@ def _graph_refined() -> str:
     )
 
 
-def _graph_pruned() -> str:
-    """Keep a neighbour unless an earlier kept one lies ALPHA times closer to it."""
+def _alpha_rule(near: str, many: int) -> tuple[str, ...]:
+    """flagged (src, dst, spot): a neighbour is kept unless an earlier kept one lies ALPHA times closer to it."""
     listed = (
         "listed AS MATERIALIZED (SELECT n.src, list(n.dst ORDER BY n.rk) AS dsts, list(n.dist ORDER BY n.rk) AS ds, "
-        "list(i.f ORDER BY n.rk) AS fs FROM near n JOIN items i ON i.vec_id = n.dst GROUP BY n.src)"
+        f"list(i.f ORDER BY n.rk) AS fs FROM {near} n JOIN items i ON i.vec_id = n.dst GROUP BY n.src)"
     )
     steps = []
-    for i in range(1, DEGREE + 1):
+    for i in range(1, many + 1):
         source = "listed" if i == 1 else f"keep{i - 1}"
         covered = " OR ".join(
             f"(k{j} AND {PRUNE_ALPHA} * ({_cosine(f'fs[{j}]', f'fs[{i}]')}) <= ds[{i}])" for j in range(1, i)
@@ -507,16 +507,30 @@ def _graph_pruned() -> str:
         steps.append(
             f"keep{i} AS MATERIALIZED (SELECT *, len(dsts) >= {i} AND NOT coalesce({covered or 'false'}, false) AS k{i} FROM {source})"
         )
-    flags = ", ".join(f"k{i}" for i in range(1, DEGREE + 1))
+    flags = ", ".join(f"k{i}" for i in range(1, many + 1))
     rows = (
-        f"flagged AS (SELECT src, dsts[spot] AS dst, spot FROM (SELECT src, dsts, [{flags}] AS flags FROM keep{DEGREE}), "
-        f"unnest(range(1, {DEGREE + 1})) AS r(spot) WHERE flags[spot])"
+        f"flagged AS (SELECT src, dsts[spot] AS dst, spot FROM (SELECT src, dsts, [{flags}] AS flags FROM keep{many}), "
+        f"unnest(range(1, {many + 1})) AS r(spot) WHERE flags[spot])"
     )
-    return _with(*_blocked_edges(), listed, *steps, rows) + (
+    return listed, *steps, rows
+
+
+def _graph_pruned() -> str:
+    return _with(*_blocked_edges(), *_alpha_rule("near", DEGREE)) + (
         "SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY spot) AS INTEGER) AS rk FROM flagged"
     )
 
 
+def _graph_two_sided() -> str:
+    """The rule over links both ways, of which it keeps DEGREE."""
+    ways = "ways AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM near UNION ALL SELECT dst, src, dist FROM near) GROUP BY src, dst)"
+    wide = f"wide AS MATERIALIZED {_top('ways', 'src', 'dist, dst', 2 * DEGREE, 'src, dst, dist')}"
+    return _with(*_blocked_edges(), ways, wide, *_alpha_rule("wide", 2 * DEGREE)) + (
+        "SELECT src, dst, rk FROM (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY spot) AS INTEGER) AS rk FROM flagged) "
+        f"WHERE rk <= {DEGREE}"
+    )
+
+
 # --- small statements ----------------------------------------------------------------
 
 LABEL_TABLES = (
@@ -843,5 +857,6 @@ def oracle_sql() -> dict[str, str]:
     sql["knn_graph_blocked_f16"] = _graph_blocked("f16")
     sql["knn_graph_refined"] = _graph_refined()
     sql["knn_graph_pruned"] = _graph_pruned()
+    sql["knn_graph_two_sided"] = _graph_two_sided()
     sql["graph_knn"] = _graph_knn()
     return sql

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import codes, rules, vectors
-from nearfield.operators import certified, evaluate, graph, ivf, knn, multi_index, prep, quantiles, rabitq, radius, rerank, two_level
+from nearfield.operators import certified, descent, evaluate, graph, ivf, knn, multi_index, prep, quantiles, rabitq, radius, rerank, two_level
 from nearfield.plans import grid
 from nearfield.session import attach, materialise, scratch_path
 from nearfield.sources import tables, versions
@@ -768,6 +768,17 @@ def knn_graph_pruned(spark, sf_dir):
     return graph.edges(graph.prune(_blocked(table), table, DEGREE)).select("src", "dst", "rk")
 
 
+@_query("knn_graph_two_sided")
+def knn_graph_two_sided(spark, sf_dir):
+    table = _stored(spark, sf_dir, FULL, "f32")
+    return graph.edges(graph.two_sided(_blocked(table), table, DEGREE, 2 * DEGREE)).select("src", "dst", "rk")
+
+
+@_query("knn_graph_descent")
+def knn_graph_descent(spark, sf_dir):
+    return graph.edges(descent.knn_graph_descent(_stored(spark, sf_dir, FULL, "f32"), DEGREE)).select("src", "dst", "rk")
+
+
 @_query("graph_knn")
 def graph_knn(spark, sf_dir):
     table = _stored(spark, sf_dir, FULL, "f32")
