@@ -2,6 +2,10 @@
 
 Method of Gao and Long, "RaBitQ" (SIGMOD 2024).  Vectors are rotated by random
 signs and a Hadamard transform, so the rotation needs no stored matrix.
+
+A query may itself be quantised, to ``PLANES`` bits per dimension.  Its inner product
+with a code is then a few counts of common bits on packed words, and the rounding of
+the query, which is known exactly, widens the bound.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield import settings
 from nearfield.functions import blocks
 from nearfield.operators import metrics
 from nearfield.operators.ivf import IvfIndex, Probes, by_list, probe_lists
@@ -22,6 +27,7 @@ from nearfield.operators.knn import HITS, QueryBlock, hits_batch, per_block
 from nearfield.operators.topk import RunningTopK, merge_salts, top_k
 
 
+PLANES = 4
 # Offsets below this are rounding noise of a vector that is its own centroid.
 NO_LENGTH = 1e-9
 
@@ -118,12 +124,53 @@ class _ListScore:
         estimate = (norms[:, None] ** 2 + self.norms[None, :] ** 2 - 2.0 * reach * aligned) / 2.0
         return estimate, reach * spread[:, None]
 
+    def of_codes(self, codes: np.ndarray, norms: np.ndarray, dots: np.ndarray):
+        return self.parts(_signs(codes, self.turned.shape[1]), norms, dots)
+
+
+class _PlaneScore(_ListScore):
+    """The same from queries of ``PLANES`` bits per dimension; codes stay packed."""
+
+    def __init__(self, queries: np.ndarray, centroid: np.ndarray | None, epsilon: float):
+        super().__init__(queries, centroid, epsilon)
+        self.low = self.turned.min(axis=1)
+        step = (self.turned.max(axis=1) - self.low) / ((1 << PLANES) - 1)
+        self.step = np.where(step == 0, 1.0, step)
+        level = np.floor((self.turned - self.low[:, None]) / self.step[:, None] + 0.5).astype(np.int64)
+        self.planes = [blocks.pack_bits((level >> p & 1).astype(np.uint8)) for p in range(PLANES)]
+        kept = self.low[:, None] + self.step[:, None] * level
+        self.total = kept.sum(axis=1)
+        # No signs can turn the rounding into more than this.
+        self.rounding = np.abs(self.turned - kept).sum(axis=1)
+
+    def common(self, codes: np.ndarray) -> np.ndarray:
+        """Sum of the levels at the set bits of each code, rows x queries."""
+        out = np.zeros((len(codes), len(self.low)), np.int64)
+        for p, plane in enumerate(self.planes):
+            for w in range(codes.shape[1]):
+                both = codes[:, w][:, None] & plane[:, w][None, :]
+                out += np.bitwise_count(both.view(np.uint64)).astype(np.int64) << p
+        return out
+
+    def of_codes(self, codes: np.ndarray, norms: np.ndarray, dots: np.ndarray):
+        width = self.turned.shape[1]
+        ones = np.bitwise_count(codes.view(np.uint64)).astype(np.int64).sum(axis=1)
+        at_ones = self.low[None, :] * ones[:, None] + self.step[None, :] * self.common(codes)
+        scale = np.sqrt(width) * dots[:, None]
+        aligned = (2.0 * at_ones - self.total[None, :]) / scale
+        spread = self.epsilon * np.sqrt((1.0 - dots**2).clip(0.0) / dots**2) / np.sqrt(self.dim - 1)
+        reach = norms[:, None] * self.norms[None, :]
+        estimate = (norms[:, None] ** 2 + self.norms[None, :] ** 2 - 2.0 * reach * aligned) / 2.0
+        return estimate, reach * (spread[:, None] + self.rounding[None, :] / scale)
+
 
 def _signs(codes: np.ndarray, width: int) -> np.ndarray:
     return blocks.unpack_bits(codes, width) * 2.0 - 1.0
 
 
-def _scan(index: RabitqIndex, block: QueryBlock, probes: Probes, epsilon: float, k: int, vec: str, pick) -> DataFrame:
+def _scan(
+    index: RabitqIndex, block: QueryBlock, probes: Probes, epsilon: float, k: int, vec: str, pick, scoring=_ListScore
+) -> DataFrame:
     """Run ``pick`` on every (list, rows) of the probed postings.
 
     ``pick(state, queries, list_queries, rows, estimate, error)`` offers what it
@@ -148,12 +195,12 @@ def _scan(index: RabitqIndex, block: QueryBlock, probes: Probes, epsilon: float,
                     continue
                 if one not in scores:
                     centre = centres[one] if residual else None
-                    scores[one] = _ListScore(local.floats[wanted[one]], centre, epsilon)
-                score = scores[one]
-                signs = _signs(codes[rows], score.turned.shape[1])
-                estimate, error = score.parts(signs, norms[rows], dots[rows])
-                part = x[rows] if vec else None
-                pick(state, local, wanted[one], ids[rows], part, estimate, error)
+                    scores[one] = scoring(local.floats[wanted[one]], centre, epsilon)
+                step = max(1, settings.BLOCK_CELLS // max(1, len(wanted[one])))
+                for some in np.split(rows, range(step, len(rows), step)):
+                    estimate, error = scores[one].of_codes(codes[some], norms[some], dots[some])
+                    part = x[some] if vec else None
+                    pick(state, local, wanted[one], ids[some], part, estimate, error)
         yield hits_batch(state, local.ids)
 
     rows = probes.only(postings, len(centroids)).select(*columns)
@@ -182,21 +229,22 @@ def rabitq_estimate(
 
 
 def rabitq_knn(
-    queries: DataFrame, index: RabitqIndex, k: int, probes: int, epsilon: float = 1.9, vec: str = "f32"
+    queries: DataFrame, index: RabitqIndex, k: int, probes: int, epsilon: float = 1.9, vec: str = "f32", planes: bool = False
 ) -> DataFrame:
     """k nearest rows among those whose lower bound may still reach the top k.
 
     The first pass reads codes and finds, per query, the k-th smallest upper
     bound.  The second drops every row whose lower bound lies above it and
-    scores the rest exactly where they are.
+    scores the rest exactly where they are.  ``planes`` quantises the queries.
     """
+    scoring = _PlaneScore if planes else _ListScore
 
     def uppers(state, local, columns, ids, x, estimate, error):
         _offer(state, columns, ids, estimate + error)
 
     def answer(block: QueryBlock) -> DataFrame:
         probed = probe_lists(block, index.ivf, probes)
-        upper = top_k(_scan(index, block, probed, epsilon, k, "", uppers), k)
+        upper = top_k(_scan(index, block, probed, epsilon, k, "", uppers, scoring), k)
         kth = upper.filter(F.col("rk") == k).select("qid", "dist").toArrow()
         order = np.argsort(block.ids)
         limit = np.full(len(block.ids), np.inf)
@@ -208,7 +256,7 @@ def rabitq_knn(
             dist = metrics.Cosine.exact(x, local.floats[columns], rows, cols)
             state.offer(columns[cols], dist, ids[rows])
 
-        hits = _scan(index, block, probed, epsilon, k, vec, survivors)
+        hits = _scan(index, block, probed, epsilon, k, vec, survivors, scoring)
         return top_k(hits, k, salts=merge_salts(hits, len(block.ids)))
 
     return per_block(queries, answer).select("qid", "rk", "vec_id", "dist")

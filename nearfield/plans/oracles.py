@@ -377,10 +377,27 @@ def _rabitq_estimate() -> str:
     return _with(*_rabitq_scored(), "pairs AS (SELECT qid, vec_id, round(est, 12) AS dist FROM scored)") + _hits("pairs")
 
 
-def _rabitq_knn(precision: str = "f32") -> str:
+def _rabitq_planes() -> tuple[str, ...]:
+    """Scores of queries rounded to 16 levels between their least and largest element."""
+    low, step = "list_min(t)", "(list_max(t) - list_min(t)) / 15.0"
+    kept = "list_transform(t, lambda x: low + step * floor((x - low) / step + 0.5))"
+    moved = "list_sum(list_transform(list_zip(t, kept), lambda p: abs(p[1] - p[2])))"
+    alone = f"(sqrt({FULL}.0) * c.dot)"
+    return (
+        *_rabitq_scored()[:-1],
+        f"levels AS (SELECT *, {low} AS low, CASE WHEN {step} = 0 THEN 1.0 ELSE {step} END AS step FROM qturned)",
+        f"kepts AS (SELECT *, {kept} AS kept FROM levels)",
+        f"planes AS MATERIALIZED (SELECT *, {moved} AS moved FROM kepts)",
+        f"scored AS MATERIALIZED (SELECT q.qid, c.vec_id, (c.n * c.n + q.n * q.n - 2 * c.n * q.n * list_dot_product(c.sgn, q.kept) / {alone}) / 2 AS est, "
+        f"c.n * q.n * ({EPSILON} * sqrt(greatest(1 - c.dot * c.dot, 0) / (c.dot * c.dot)) / sqrt({FULL - 1}.0) + q.moved / {alone}) AS err "
+        f"FROM planes q JOIN coded c USING (list_id))",
+    )
+
+
+def _rabitq_knn(precision: str = "f32", scored: tuple[str, ...] | None = None) -> str:
     kth = _top("(SELECT qid, vec_id, est + err AS up FROM scored)", "qid", "up, vec_id", K, "qid, up")
     return _with(
-        *_rabitq_scored(precision),
+        *(scored or _rabitq_scored(precision)),
         f"kth AS (SELECT qid, up FROM {kth} WHERE rk = {K})",
         f"pairs AS (SELECT s.qid, s.vec_id, {_cosine('i.f', 'a.qf')} AS dist FROM scored s LEFT JOIN kth USING (qid) "
         f"JOIN items i ON i.vec_id = s.vec_id JOIN asked a ON a.qid = s.qid WHERE kth.up IS NULL OR s.est - s.err <= kth.up)",
@@ -852,6 +869,7 @@ def oracle_sql() -> dict[str, str]:
     sql["rabitq_estimate"] = _rabitq_estimate()
     sql["rabitq_knn"] = _rabitq_knn()
     sql["rabitq_knn_f16"] = _rabitq_knn("f16")
+    sql["rabitq_bits_knn"] = _rabitq_knn(scored=_rabitq_planes())
     sql["knn_graph_exact"] = _graph_exact()
     sql["knn_graph_blocked"] = _graph_blocked()
     sql["knn_graph_blocked_f16"] = _graph_blocked("f16")

@@ -735,6 +735,13 @@ def rabitq_knn_f16(spark, sf_dir):
     return _hits(rabitq.rabitq_knn(asked, _rabitq_index(table, "f16"), K, PROBES, EPSILON, "f16"))
 
 
+@_query("rabitq_bits_knn")
+def rabitq_bits_knn(spark, sf_dir):
+    table = _stored(spark, sf_dir, FULL, "f32")
+    asked = prep.as_queries(_sample(table))
+    return _hits(rabitq.rabitq_knn(asked, _rabitq_index(table), K, PROBES, EPSILON, planes=True))
+
+
 @_query("knn_graph_exact")
 def knn_graph_exact(spark, sf_dir):
     return graph.edges(graph.knn_graph(_stored(spark, sf_dir, FULL, "f32"), DEGREE)).select("src", "dst", "rk")

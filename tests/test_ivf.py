@@ -175,6 +175,33 @@ def test_rabitq_bounds_hold_mostly(unit, index, asked, residual):
     assert 0 <= low / total < 0.05
 
 
+@pytest.mark.parametrize("residual", [True, False])
+def test_rabitq_planes(unit, index, asked, truth, residual):
+    coded = rabitq.rabitq_build(index, residual)
+    every = recall(rabitq.rabitq_knn(asked, coded, 10, 50, planes=True), truth)
+    assert every >= recall(rabitq.rabitq_knn(asked, coded, 10, 50), truth) - 0.01 and every >= 0.98
+    assert recall(rabitq.rabitq_knn(asked, coded, 10, 50, epsilon=50.0, planes=True), truth) == 1.0
+
+
+@pytest.mark.parametrize("dim", [5, 64, 130])
+def test_rabitq_planes_stay_within_their_rounding(dim):
+    rng = np.random.default_rng(dim)
+    q = blocks.unit_rows(rng.normal(size=(7, dim)))
+    q[3] = 0.0  # no direction
+    turned, norms = rabitq._direction(rng.normal(size=(40, dim)))
+    codes = blocks.pack_bits((turned > 0).astype(np.uint8))
+    dots = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
+    plain = rabitq._ListScore(q, None, 1.9).of_codes(codes, norms, dots)
+    score = rabitq._PlaneScore(q, None, 1.9)
+    estimate, error = score.of_codes(codes, norms, dots)
+    level = sum(blocks.unpack_bits(plane, turned.shape[1]).astype(int) << p for p, plane in enumerate(score.planes))
+    bits = blocks.unpack_bits(codes, turned.shape[1]).astype(int)
+    assert (score.common(codes) == bits @ level.T).all()
+    # What the rounding moves an estimate by lies within what it adds to the bound.
+    assert (np.abs(estimate - plain[0]) <= error - plain[1] + 1e-12).all()
+    assert (np.abs(estimate - plain[0])[:, :3] > 0).any()
+
+
 def test_rabitq_of_copies_and_centroids(spark):
     x = np.tile(np.array([[0.6, 0.8, 0.0, 0.0]], np.float32), (50, 1))
     x[10:20] = [[0.0, 0.6, 0.8, 0.0]]
