@@ -59,7 +59,7 @@ def nearest_rows(x: np.ndarray, centroids: np.ndarray, metric, count: int) -> np
     return state.settle().ids.reshape(len(x), count).astype(np.int32)
 
 
-def _blockwise(x: np.ndarray, centroids: np.ndarray, metric, count: int) -> np.ndarray:
+def blockwise(x: np.ndarray, centroids: np.ndarray, metric, count: int) -> np.ndarray:
     step = max(1, settings.BLOCK_CELLS // len(centroids))
     parts = [nearest_rows(x[i : i + step], centroids, metric, count) for i in range(0, len(x), step)]
     return np.concatenate(parts) if parts else np.zeros((0, count), np.int32)
@@ -74,7 +74,7 @@ def nearest_list(spark: SparkSession, vec: Column | str, centroids: np.ndarray,
     def assign(column: pa.Array) -> pa.Array:
         x, valid = blocks.read_vectors(column, dtype)
         out = np.zeros(len(valid), np.int32)
-        out[valid] = _blockwise(x, shipped.value, measure, 1)[:, 0]
+        out[valid] = blockwise(x, shipped.value, measure, 1)[:, 0]
         return pa.array(out, mask=~valid)
 
     return assign(vec)
@@ -90,7 +90,7 @@ def nearest_lists(
     @F.arrow_udf("array<int>")
     def assign(column: pa.Array) -> pa.Array:
         x, valid = blocks.read_vectors(column, dtype)
-        lists = _blockwise(x, shipped.value, measure, min(count, len(shipped.value)))
+        lists = blockwise(x, shipped.value, measure, min(count, len(shipped.value)))
         return blocks.write_vectors(lists, valid, pa.int32())
 
     return assign(vec)
@@ -119,7 +119,7 @@ def lloyd_step(sample: DataFrame, centroids: np.ndarray, vec: str = "f32") -> Da
             x, _ = blocks.read_vectors(batch.column(0))
             if len(x) == 0:
                 continue
-            at = _blockwise(x, shipped.value, metrics.metric_of("cosine"), 1)[:, 0]
+            at = blockwise(x, shipped.value, metrics.metric_of("cosine"), 1)[:, 0]
             order = np.argsort(at, kind="stable")
             held, starts = np.unique(at[order], return_index=True)
             totals[held] += np.add.reduceat(x[order], starts, axis=0)
@@ -204,7 +204,7 @@ def bit_votes(sample: DataFrame, centroids: np.ndarray, nbits: int, vec: str) ->
         rows = np.zeros(len(shipped.value), np.int64)
         for batch in batches:
             x, _ = blocks.read_vectors(batch.column(0), np.int64)
-            at = _blockwise(x, shipped.value, metrics.Hamming, 1)[:, 0]
+            at = blockwise(x, shipped.value, metrics.Hamming, 1)[:, 0]
             bits = blocks.unpack_bits(x, nbits)
             for one in np.unique(at):
                 votes[one] += bits[at == one].sum(axis=0, dtype=np.int64)
@@ -284,7 +284,7 @@ def probe_lists(block: QueryBlock, index: IvfIndex, probes: int) -> Probes:
     q, measure = block.side(index.metric), metrics.metric_of(index.metric)
     if len(block.ids) == 0:
         return Probes({})
-    lists = _blockwise(q, index.centroids, measure, min(probes, len(index.centroids)))
+    lists = blockwise(q, index.centroids, measure, min(probes, len(index.centroids)))
     query, flat = np.repeat(np.arange(len(q)), lists.shape[1]), lists.ravel()
     return Probes({int(one): query[flat == one] for one in np.unique(flat)})
 

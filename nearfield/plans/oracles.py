@@ -25,6 +25,7 @@ from nearfield.plans.registry import (
     PROBES_CODES,
     QUERIES,
     ROWS_PER_LIST,
+    SEED_ROUNDS,
     SHIFT,
 )
 
@@ -256,6 +257,34 @@ def _ivf(precision: str) -> str:
     ) + _hits("pairs")
 
 
+def _seed_parallel() -> str:
+    """Two rounds of oversampling: rows drawn by hash where it lies below their share of all distances."""
+    first = f"(SELECT vec_id FROM items ORDER BY {_hashed('parallel')}, vec_id LIMIT 1)"
+    parts = [f"centres0 AS MATERIALIZED (SELECT vec_id, f AS cen, 0 AS found_in, '' AS draw FROM items WHERE vec_id = {first})"]
+    for turn in range(1, SEED_ROUNDS + 1):
+        seed = _hashed(f"parallel{turn}", "i.vec_id")
+        share = f"CAST('0x' || substr({seed}, 1, 8) AS BIGINT) / 4294967296.0"
+        near = f"min({_cosine('i.f', 'c.cen')})"
+        parts += [
+            f"left{turn} AS MATERIALIZED (SELECT vec_id, CASE WHEN dist < 1e-9 THEN 0.0 ELSE dist END AS dist FROM "
+            f"(SELECT i.vec_id, {near} AS dist FROM items i, centres{turn - 1} c GROUP BY i.vec_id))",
+            f"centres{turn} AS MATERIALIZED (SELECT * FROM centres{turn - 1} UNION ALL SELECT i.vec_id, i.f, {turn}, {seed} "
+            f"FROM items i JOIN left{turn} l USING (vec_id) WHERE {share} < l.dist / (SELECT sum(dist) FROM left{turn}) * {2.0 * LISTS} "
+            f"AND i.vec_id NOT IN (SELECT vec_id FROM centres{turn - 1}))",
+        ]
+    return _with(
+        *_base(FULL),
+        f"items AS MATERIALIZED (SELECT vec_id, {_f32('v')} AS f FROM p)",
+        *parts,
+        f"seeds AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY found_in, draw, vec_id) - 1 AS INTEGER) AS list_id, vec_id AS seed_id, cen, "
+        f"found_in FROM centres{SEED_ROUNDS})",
+        _assign("assigned", "seeds", _cosine("f", "cen")),
+    ) + (
+        "SELECT s.list_id, s.seed_id AS vec_id, CAST(s.found_in AS INTEGER) AS found_in, count(a.vec_id) AS n FROM seeds s LEFT JOIN assigned a "
+        "ON a.list_id = s.list_id GROUP BY s.list_id, s.seed_id, s.found_in"
+    )
+
+
 def _two_level() -> tuple[str, ...]:
     """Rows under the nearest fine centroid of their nearest coarse one."""
     near = _cosine("f", "cen")
@@ -863,6 +892,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT list_id, CAST(d AS INTEGER) AS d, {_rounded('mean')} AS mean FROM means"
     )
     sql["ivf_code_assign"] = _with(*_code_lists("thermo4")) + "SELECT vec_id, list_id FROM assigned"
+    sql["ivf_seed_parallel"] = _seed_parallel()
     sql["rabitq_encode"] = _with(*_rabitq_base()) + (
         f"SELECT vec_id, list_id, {_bits('bits')} AS code, {_rounded('n')} AS norm, {_rounded('dot')} AS dot FROM coded"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import codes, rules, vectors
-from nearfield.operators import certified, descent, evaluate, graph, ivf, knn, multi_index, prep, quantiles, rabitq, radius, rerank, two_level
+from nearfield.operators import certified, descent, evaluate, graph, ivf, knn, multi_index, prep, quantiles, rabitq, radius, rerank, seeding, two_level
 from nearfield.plans import grid
 from nearfield.session import attach, materialise, scratch_path
 from nearfield.sources import tables, versions
@@ -23,6 +23,7 @@ OVERFETCH = 10
 QUERIES = 10
 LISTS, PROBES, PROBES_CODES = 50, 8, 24
 COARSE, COARSE_PROBES, ROWS_PER_LIST = 8, 4, 16
+SEED_ROUNDS = 2
 DEGREE = 8
 EF, HOPS, ENTRIES = 20, 3, 20
 CAP = 400
@@ -570,6 +571,16 @@ def ivf_lloyd_step(spark, sf_dir):
     return means.select("list_id", "d", _rounded("mean").alias("mean"))
 
 
+@_query("ivf_seed_parallel")
+def ivf_seed_parallel(spark, sf_dir):
+    table = _stored(spark, sf_dir, FULL, "f32")
+    centres = seeding.draw_centres(table, LISTS, rounds=SEED_ROUNDS)
+    names = [(i, int(v), int(r)) for i, (v, r) in enumerate(zip(centres.ids, centres.rounds, strict=True))]
+    drawn = spark.createDataFrame(names, "list_id int, vec_id bigint, found_in int")
+    n = seeding.weights(table, centres).select("list_id", "n")
+    return drawn.join(n, "list_id", "left").select("list_id", "vec_id", "found_in", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 @_query("ivf_train_kmeans")
 def ivf_train_kmeans(spark, sf_dir):
     table = _stored(spark, sf_dir, FULL, "f32")
