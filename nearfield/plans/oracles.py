@@ -892,6 +892,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT list_id, CAST(d AS INTEGER) AS d, {_rounded('mean')} AS mean FROM means"
     )
     sql["ivf_code_assign"] = _with(*_code_lists("thermo4")) + "SELECT vec_id, list_id FROM assigned"
+    sql["rerank_late_f32"] = _rerank("thermo8", "f32")
     sql["ivf_seed_parallel"] = _seed_parallel()
     sql["rabitq_encode"] = _with(*_rabitq_base()) + (
         f"SELECT vec_id, list_id, {_bits('bits')} AS code, {_rounded('n')} AS norm, {_rounded('dot')} AS dot FROM coded"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import codes, rules, vectors
-from nearfield.operators import certified, descent, evaluate, graph, ivf, knn, multi_index, prep, quantiles, rabitq, radius, rerank, seeding, two_level
+from nearfield.operators import certified, descent, evaluate, graph, ivf, knn, late, multi_index, prep, quantiles, rabitq, radius, rerank, seeding, two_level
 from nearfield.plans import grid
 from nearfield.session import attach, materialise, scratch_path
 from nearfield.sources import tables, versions
@@ -554,6 +554,16 @@ for _variant in ("sign", "mean", "thermo4", "thermo8"):
         _rerank(_variant, _precision)
 
 
+@_query("rerank_late_f32")
+def rerank_late_f32(spark, sf_dir):
+    table = _stored(spark, sf_dir, DIM, "f32", "code_thermo8")
+    path = scratch_path(spark, "sorted")
+    late.write_sorted(table, ivf.seed_centroids(table, LISTS), path)
+    stored = late.read_sorted(spark, path)
+    asked = prep.as_queries(_sample(stored), "f32", "thermo8")
+    return _hits(late.rerank_late(asked, stored, K, OVERFETCH, "thermo8", "f32"))
+
+
 # --- approximate search --------------------------------------------------------------
 
 
