@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from nearfield import settings
 from nearfield.functions import blocks
 from nearfield.operators import metrics
+from nearfield.operators.cells import nearest_in_cell
 from nearfield.operators.ivf import nearest_list, nearest_lists
 from nearfield.operators.knn import QueryBlock, per_block, scan_block, score_block
 from nearfield.operators.rerank import CANDIDATE_BYTES, pair_distance, rerank
@@ -27,6 +28,7 @@ from nearfield.session import broadcast_limit, cut_lineage
 from nearfield.sources.vectors import hash_sample
 
 COPY_SALTS = 16
+CELL_PARTITIONS = 2000
 PRUNE_ALPHA = 1.2
 
 
@@ -71,6 +73,17 @@ def _sides(corpus: DataFrame, vec: str, crowd: DataFrame, crowd_rows: int) -> tu
     return targets.select("vec_id", "vec"), sources.select("vec_id", "vec")
 
 
+def _cell_edge(lists: pa.Table) -> int:
+    """Rows of one side of a cell: as many as fit, as every cell more repeats rows and hands on k of each.
+
+    Few rows are dealt to enough cells for the cluster.
+    """
+    pairs = pc.sum(pc.multiply(pc.cast(lists["s"], "double"), pc.cast(lists["t"], "double"))).as_py() or 0.0
+    fits = settings.CELL_BYTES // max(1, 8 * (pc.max(lists["width"]).as_py() or 1))
+    wanted = int((pairs / settings.CELLS_LEAST) ** 0.5)
+    return max(1, min(fits, settings.CELL_ROWS_MOST, max(wanted, settings.CELL_ROWS)))
+
+
 def _sliced(rows: DataFrame, sizes: pa.Table, own: str, other: str, is_target: bool) -> DataFrame:
     """Rows with their slice, repeated once for every slice of the other side."""
     if sizes.num_rows == 1:
@@ -88,31 +101,36 @@ def _sliced(rows: DataFrame, sizes: pa.Table, own: str, other: str, is_target: b
     )
 
 
-def cell_top_k(sources: DataFrame, targets: DataFrame, k: int, metric: str, cell_rows: int) -> DataFrame:
+def cell_top_k(
+    sources: DataFrame, targets: DataFrame, k: int, metric: str, cell_rows: int | None = None
+) -> DataFrame:
     """(src, dst, dist): k best targets of every source among its lists.
 
     Both sides carry (list_id, vec_id, vec); a source may sit in several lists.
     """
 
-    sides = sources.select("list_id", F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(
-        targets.select("list_id", F.lit(0).alias("s"), F.lit(1).alias("t"))
+    width = F.size("vec").alias("width")
+    sides = sources.select("list_id", F.lit(1).alias("s"), F.lit(0).alias("t"), width).unionByName(
+        targets.select("list_id", F.lit(0).alias("s"), F.lit(1).alias("t"), width)
     )
-    slices = [F.ceil(F.sum(side) / cell_rows).cast("int").alias(side) for side in ("s", "t")]
+    totals = [F.sum("s").alias("s"), F.sum("t").alias("t"), F.max("width").alias("width")]
     # One row per list; the number of lists is a parameter of the build.
-    counted = sides.groupBy("list_id").agg(*slices).filter((F.col("s") > 0) & (F.col("t") > 0))
-    sizes = counted.toArrow()
+    lists = sides.groupBy("list_id").agg(*totals).filter((F.col("s") > 0) & (F.col("t") > 0)).toArrow()
+    edge = cell_rows or _cell_edge(lists)
+    slices = {side: pa.array([-(-n // edge) for n in lists[side].to_pylist()], pa.int32()) for side in ("s", "t")}
+    sizes = pa.table({"list_id": lists["list_id"], **slices})
     cells = _sliced(sources, sizes, "s", "t", False).unionByName(_sliced(targets, sizes, "t", "s", True))
-    measure, dtype = metrics.metric_of(metric), metrics.DTYPES[metric]
+    # As many partitions as there are cells: small ones are not put together again, as time goes by pairs.
+    count = pc.sum(pc.multiply(sizes["s"], sizes["t"])).as_py() or 1
+    cells = cells.repartition(min(2 * count, CELL_PARTITIONS), "list_id", "s", "t")
+    dtype = metrics.DTYPES[metric]
 
     def best(cell: pa.Table) -> pa.Table:
         is_target = cell.column("is_target").to_numpy()
         ids = cell.column("vec_id").to_numpy()
         x, _ = blocks.read_vectors(cell.column("vec"), dtype)
-        src, dst = np.flatnonzero(~is_target), np.flatnonzero(is_target)
-        state = RunningTopK(len(src), k)
-        score_block(x[dst], ids[dst], x[src], np.arange(len(src)), state, measure)
-        state.settle()
-        return pa.table({"src": ids[src][state.query], "dst": state.ids, "dist": state.dist})
+        at, dst, dist = nearest_in_cell(x[~is_target], x[is_target], ids[is_target], k, metric)
+        return pa.table({"src": ids[~is_target][at], "dst": dst, "dist": dist})
 
     found = cells.groupBy("list_id", "s", "t").applyInArrow(best, "src bigint, dst bigint, dist double")
     # Lists are disjoint, so a pair meets in one cell only.
@@ -129,7 +147,7 @@ def knn_graph(
     vec: str = "f32",
     centroids: np.ndarray | None = None,
     probes: int = 1,
-    cell_rows: int = settings.CELL_ROWS,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """(vec_id, nbrs): the ``degree`` nearest other rows, nearest first.
 

@@ -25,5 +25,9 @@ QUERY_CHUNK_DEFAULT = 8192
 
 # Rows x queries scored at once inside a task; bounds the task's memory.
 BLOCK_CELLS = 1 << 21
-# Rows of one side of a graph-building cell; bounds one group of a shuffle.
+# One side of a graph-building cell, one group of a shuffle: rows it has at least
+# where there are more, rows and bytes it has at most, and cells it shall leave.
 CELL_ROWS = 4096
+CELL_ROWS_MOST = 32768
+CELL_BYTES = 1 << 25
+CELLS_LEAST = 96
