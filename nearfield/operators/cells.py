@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from nearfield.functions import blocks
 from nearfield.operators import metrics
 from nearfield.operators.topk import RunningTopK
 
@@ -16,20 +17,45 @@ FIRST_ROWS = 512  # targets that give the first thresholds
 CROWDED = 4  # times k: more rows of a source within rounding of its k-th are measured at once
 
 
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    """Unit rows in single precision; NaN where a row has no direction."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+
+
+def _rounding(dim: int) -> float:
+    """Products and sums of unit rows are off by (dim + 4) * 2**-24 at most; this is twice that and more."""
+    return (dim + 8) * 2.0**-23
+
+
+class ListDistances:
+    """Distances inside many short lists of rows at once, off by ``slack`` at most; NaN without a direction."""
+
+    def __init__(self, x: np.ndarray, metric: str):
+        self.coded = metric == "hamming"
+        self.rows = x.view(np.uint64) if self.coded else _unit_rows(x)
+        self.slack = 0.0 if self.coded else _rounding(x.shape[1])
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """(lists, places, places) of the rows ``at`` (lists, places)."""
+        rows = self.rows[at]
+        if not self.coded:
+            return np.float32(1) - rows @ rows.swapaxes(1, 2)
+        total = np.zeros((*at.shape, at.shape[1]), np.uint32)
+        for w in range(rows.shape[2]):
+            total += np.bitwise_count(rows[:, :, None, w] ^ rows[:, None, :, w])
+        return total
+
+
 class _FloatTiles:
     """Cosine distances of unit rows in single precision, off by ``slack`` at most."""
 
     shape = (256, 2048)
 
     def __init__(self, targets: np.ndarray, sources: np.ndarray):
-        self.targets, self.sources = (self._unit(x) for x in (targets, sources))
+        self.targets, self.sources = (_unit_rows(x) for x in (targets, sources))
         self._own = np.empty(self.shape[0] * self.shape[1], np.float32)
-        # Products and sums of d terms are off by (d + 4) * 2**-24 at most; twice that and more is allowed.
-        self.slack = (targets.shape[1] + 8) * 2.0**-23
-
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
-        return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+        self.slack = _rounding(targets.shape[1])
 
     def tile(self, strip: slice, part: slice) -> np.ndarray:
         mine, theirs = self.sources[strip], self.targets[part]
@@ -41,23 +67,37 @@ class _FloatTiles:
 class _CodeTiles:
     """Differing bits; exact."""
 
-    shape = (256, 4096)
+    shape = (256, 8192)
+    step = 32  # sources whose words are compared at once
     slack = 0.0
 
     def __init__(self, targets: np.ndarray, sources: np.ndarray):
+        targets, sources = self._varying(targets, sources)
         self.targets = np.ascontiguousarray(targets.view(np.uint64).T)
         self.sources = np.ascontiguousarray(sources.view(np.uint64).T)
         count = np.uint16 if 64 * targets.shape[1] < 2**16 else np.uint32
-        self._own = [np.empty(self.shape[0] * self.shape[1], kind) for kind in (count, np.uint64, np.uint8)]
+        cells = self.step * self.shape[1]
+        self._own = np.empty(self.shape[0] * self.shape[1], count), np.empty(cells, np.uint64), np.empty(cells, np.uint8)
+
+    @staticmethod
+    def _varying(*sides: np.ndarray) -> list[np.ndarray]:
+        """Codes without the bits that all rows share, as the unused ones of thermometers."""
+        some, every = (one(np.stack([one(x, axis=0) for x in sides]), axis=0) for one in (np.bitwise_or.reduce, np.bitwise_and.reduce))
+        nbits = 64 * len(some)
+        varying = blocks.unpack_bits((some & ~every)[None, :], nbits)[0].astype(bool)
+        return [blocks.pack_bits(blocks.unpack_bits(x, nbits)[:, varying]) for x in sides]
 
     def tile(self, strip: slice, part: slice) -> np.ndarray:
         mine, theirs = self.sources[:, strip], self.targets[:, part]
-        shape = (mine.shape[1], theirs.shape[1])
-        total, differ, ones = (own[: shape[0] * shape[1]].reshape(shape) for own in self._own)
+        rows, cols = mine.shape[1], theirs.shape[1]
+        total = self._own[0][: rows * cols].reshape(rows, cols)
         total[:] = 0
-        for a, b in zip(mine, theirs, strict=True):
-            np.bitwise_xor(a[:, None], b, out=differ)
-            np.add(total, np.bitwise_count(differ, out=ones), out=total)
+        for start in range(0, rows, self.step):
+            some = total[start : start + self.step]
+            differ, ones = (own[: some.size].reshape(some.shape) for own in self._own[1:])
+            for a, b in zip(mine[:, start : start + self.step], theirs, strict=True):
+                np.bitwise_xor(a[:, None], b, out=differ)
+                np.add(some, np.bitwise_count(differ, out=ones), out=some)
         return total
 
 
