@@ -8,7 +8,7 @@ import pytest
 
 from nearfield import settings
 from nearfield.operators import graph, metrics
-from nearfield.operators.cells import nearest_in_cell
+from nearfield.operators.cells import _CodeTiles, nearest_in_cell
 
 
 def plain(sources, targets, ids, k, metric):
@@ -47,3 +47,12 @@ def test_cells_grow_with_the_table():
     assert edge(10_256) == settings.CELL_ROWS
     assert edge(615_384, 4096) * 4096 * 8 <= settings.CELL_BYTES
     assert graph._cell_edge(pa.table({"s": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "width": pa.array([], pa.int32())})) >= 1
+
+
+def test_bits_that_no_row_varies_are_not_compared():
+    """One bit of eight is never set in an 8-step thermometer: seven words are left of eight."""
+    codes = np.random.default_rng(1).integers(0, 2**63, (500, 8), np.int64) & 0x7F7F7F7F7F7F7F7F
+    tiles = _CodeTiles(codes, codes[:40])
+    assert tiles.targets.shape == (7, 500)
+    want = np.bitwise_count((codes[:40, None] ^ codes).view(np.uint64)).sum(axis=2)
+    assert (tiles.tile(slice(0, 40), slice(0, 500)) == want).all()
