@@ -1,26 +1,41 @@
 """The k nearest targets of many sources inside one cell of rows.
 
-Tiles of the pair matrix stay small enough for a core's cache and are compared
-with one threshold a source, so a pair costs little more than its product.  What
-is left in the end is measured exactly; rounding of the tiles is in the threshold.
+A cell holds its sources and lets its targets pass in chunks, so it can be as long
+as the table; thresholds of earlier chunks hold for later ones.  Tiles of the pair
+matrix stay small enough for a core's cache and are compared with one threshold a
+source, so a pair costs little more than its product.  What is left of a chunk is
+measured exactly; rounding of the tiles is in the threshold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 from nearfield.functions import blocks
 from nearfield.operators import metrics
 from nearfield.operators.topk import RunningTopK
 
-FIRST_ROWS = 512  # targets that give the first thresholds
+FIRST_ROWS = 2048  # targets that give the first thresholds
 CROWDED = 4  # times k: more rows of a source within rounding of its k-th are measured at once
+UNIT_STEP = 4096  # rows widened to double at once
+FOUND = "src bigint, nbrs array<struct<dist:double,dst:bigint>>"
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
-    """Unit rows in single precision; NaN where a row has no direction."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+    """Unit rows in single precision, divided in double; NaN where a row has no direction."""
+    out = np.empty(x.shape, np.float32)
+    for start in range(0, len(x), UNIT_STEP):
+        part = x[start : start + UNIT_STEP].astype(np.float64)
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            out[start : start + UNIT_STEP] = part / np.sqrt(np.einsum("ij,ij->i", part, part))[:, None]
+    return out
+
+
+def _has_direction(x: np.ndarray) -> np.ndarray:
+    return np.isfinite(x).all(axis=1) & (np.einsum("ij,ij->i", x, x, dtype=np.float64) > 0)
 
 
 def _rounding(dim: int) -> float:
@@ -48,27 +63,44 @@ class ListDistances:
 
 
 class _FloatTiles:
-    """Cosine distances of unit rows in single precision, off by ``slack`` at most."""
+    """Cosine distances of unit rows in single precision, off by ``slack`` at most.
+
+    A further column holds a source's threshold against ones, so that hits are the products that are not negative.
+    """
 
     shape = (256, 2048)
+    farthest = 2.001  # no distance is beyond; bounds the sums that round
 
     def __init__(self, targets: np.ndarray, sources: np.ndarray):
-        self.targets, self.sources = (_unit_rows(x) for x in (targets, sources))
-        self._own = np.empty(self.shape[0] * self.shape[1], np.float32)
-        self.slack = _rounding(targets.shape[1])
+        self.targets, self.sources = (np.pad(_unit_rows(x), ((0, 0), (0, 1)), constant_values=1) for x in (targets, sources))
+        cells = self.shape[0] * self.shape[1]
+        self._own, self._hits = np.empty(cells, np.float32), np.empty(cells, bool)
+        self.slack = _rounding(targets.shape[1] + 1)
 
-    def tile(self, strip: slice, part: slice) -> np.ndarray:
+    def _products(self, strip: slice, part: slice, least: np.ndarray | float) -> np.ndarray:
+        self.sources[strip, -1] = -least
         mine, theirs = self.sources[strip], self.targets[part]
         out = self._own[: len(mine) * len(theirs)].reshape(len(mine), len(theirs))
-        np.matmul(mine, theirs.T, out=out)
+        return np.matmul(mine, theirs.T, out=out)
+
+    def tile(self, strip: slice, part: slice) -> np.ndarray:
+        out = self._products(strip, part, 0)
         return np.subtract(np.float32(1), out, out=out)
 
+    def near(self, strip: slice, part: slice, bound: np.ndarray, nearer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(source, target, rough distance) of the pairs within ``bound``, by source."""
+        least = np.nextafter((1 - np.minimum(bound, self.farthest)).astype(np.float32), np.float32(-np.inf))
+        out = self._products(strip, part, least).ravel()
+        places = _set_places(np.greater_equal(out, np.float32(0), out=self._hits[: len(out)]))
+        rows, cols = np.divmod(places, len(out) // len(bound))
+        return rows, cols + part.start, 1 - (out[places].astype(np.float64) + least[rows])
+
 
 class _CodeTiles:
     """Differing bits; exact."""
 
-    shape = (256, 8192)
-    step = 32  # sources whose words are compared at once
+    shape = (128, 4096)
+    step = 8  # sources whose words are compared at once
     slack = 0.0
 
     def __init__(self, targets: np.ndarray, sources: np.ndarray):
@@ -76,8 +108,8 @@ class _CodeTiles:
         self.targets = np.ascontiguousarray(targets.view(np.uint64).T)
         self.sources = np.ascontiguousarray(sources.view(np.uint64).T)
         count = np.uint16 if 64 * targets.shape[1] < 2**16 else np.uint32
-        cells = self.step * self.shape[1]
-        self._own = np.empty(self.shape[0] * self.shape[1], count), np.empty(cells, np.uint64), np.empty(cells, np.uint8)
+        cells, whole = self.step * self.shape[1], self.shape[0] * self.shape[1]
+        self._own, self._hits = (np.empty(whole, count), np.empty(cells, np.uint64), np.empty(cells, np.uint8)), np.empty(whole, bool)
 
     @staticmethod
     def _varying(*sides: np.ndarray) -> list[np.ndarray]:
@@ -100,10 +132,19 @@ class _CodeTiles:
                 np.add(some, np.bitwise_count(differ, out=ones), out=some)
         return total
 
+    def near(self, strip: slice, part: slice, bound: np.ndarray, nearer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(source, target, distance) of the pairs within ``bound``, below it if only ``nearer`` ones are wanted."""
+        tile = self.tile(strip, part)
+        most = np.minimum(bound, np.iinfo(tile.dtype).max).astype(tile.dtype)[:, None]
+        hits = self._hits[: tile.size].reshape(tile.shape)
+        places = _set_places((np.less if nearer else np.less_equal)(tile, most, out=hits))
+        rows, cols = np.divmod(places, tile.shape[1])
+        return rows, cols + part.start, tile.ravel()[places].astype(np.float64)
+
 
-def _parts(rows: int, most: int):
+def _parts(rows: int, first: int, most: int) -> Iterator[slice]:
     """Few targets first, as the thresholds they leave are still loose."""
-    start, step = 0, FIRST_ROWS
+    start, step = 0, first
     while start < rows:
         yield slice(start, min(start + step, rows))
         start, step = start + step, min(2 * step, most)
@@ -118,79 +159,164 @@ def _set_places(mask: np.ndarray) -> np.ndarray:
     return np.concatenate([near[flat[near]], whole + np.flatnonzero(flat[whole:])])
 
 
-def _strip_nearest(tiles, strip: slice, targets: int, k: int, exact) -> RunningTopK:
-    """State with the k nearest of every source of a strip; ids are rows of the targets.
+def _strip_nearest(tiles, strip: slice, ids: np.ndarray, exact, state: RunningTopK, higher: bool) -> None:
+    """Offers the targets ``ids`` of a chunk, in order, to the sources of a strip.
 
     Candidates are held by their rough distance, down to the k-th and twice the
     slack.  Where crowds are closer together than that, they are measured at once.
+    ``higher``: the state holds lower ids only.
     """
-    count, slack = strip.stop - strip.start, tiles.slack
-    state, bound, measured = RunningTopK(count, k), np.full(count, np.inf), slack == 0
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    for part in _parts(targets, tiles.shape[1]):
-        tile = tiles.tile(strip, part)
-        if part.start == 0 and tile.shape[1] >= k:
-            bound = np.partition(tile, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * slack
-        if slack:
-            near = tile <= np.nextafter(bound.astype(np.float32), np.float32(np.inf))[:, None]
-        else:
-            # Later targets have higher ids and lose a tie against the k rows that are there.
-            most = np.minimum(bound, np.iinfo(tile.dtype).max).astype(tile.dtype)[:, None]
-            near = tile <= most if part.start == 0 else tile < most
-        places = _set_places(near)
-        rows, cols = np.divmod(places, tile.shape[1])
-        rough = tile.ravel()[places].astype(np.float64)
-        cols += part.start
+    count, k, slack = strip.stop - strip.start, state.k, tiles.slack
+    bound, measured = state.bound + slack, slack == 0
+    warm = bool(np.isfinite(bound).all())
+    held, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    for part in _parts(len(ids), tiles.shape[1] if warm else FIRST_ROWS, tiles.shape[1]):
+        if not warm and part.start == 0 and min(part.stop, len(ids)) >= k:
+            first = tiles.tile(strip, part)
+            bound = np.minimum(bound, np.partition(first, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * slack)
+        # Targets with higher ids lose a tie against the k rows that are there.
+        rows, cols, rough = tiles.near(strip, part, bound, part.start > 0 or (warm and higher))
         if measured:
-            state.offer(rows, rough if not slack else exact(rows, cols), cols)
+            state.offer(rows, rough if not slack else exact(rows, cols), ids[cols])
             bound = np.minimum(bound, state.bound + slack)
             continue
-        held = [np.concatenate(pair) for pair in zip(held, (rows, cols, rough), strict=True)]
-        if len(held[0]) > 3 * k * count:
-            held = _within(held, bound, k, 2 * slack)
-            if len(held[0]) > CROWDED * k * count:
-                state.offer(held[0], exact(held[0], held[1]), held[1])
-                held, measured = [column[:0] for column in held], True
+        held.append((rows, cols, rough))
+        waiting += len(rows)
+        if waiting > 3 * k * count:
+            held = [_within(held, bound, k, 2 * slack)]
+            waiting = len(held[0][0])
+            if waiting > CROWDED * k * count:
+                rows, cols, _ = held[0]
+                state.offer(rows, exact(rows, cols), ids[cols])
+                held, measured = [tuple(column[:0] for column in held[0])], True
                 state.settle()
                 bound = np.minimum(bound, state.bound + slack)
     if not measured:
         rows, cols, _ = _within(held, bound, k, 2 * slack)
-        state.offer(rows, exact(rows, cols), cols)
-    return state.settle()
+        state.offer(rows, exact(rows, cols), ids[cols])
+    state.settle()
 
 
-def _within(held: list[np.ndarray], bound: np.ndarray, k: int, margin: float) -> list[np.ndarray]:
+def _within(held: list[tuple[np.ndarray, ...]], bound: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, ...]:
     """Candidates no farther than the k-th of their source and the margin; lowers ``bound`` to that."""
+    held = [np.concatenate(column) for column in zip(*held, strict=True)]
     rows, _, rough = held
-    order = np.lexsort((rough, rows))
+    # Distances are below 4; what a sum of both rounds off is far below the slack.
+    order = np.argsort(rows + rough / 4)
     rows, rough = rows[order], rough[order]
     last = np.flatnonzero(np.arange(len(rows)) - np.searchsorted(rows, rows, "left") == k - 1)
     bound[rows[last]] = np.minimum(bound[rows[last]], rough[last] + margin)
     kept = order[rough <= bound[rows]]
-    return [column[kept] for column in held]
+    return tuple(column[kept] for column in held)
+
+
+class Cell:
+    """Sources, and the k nearest of the targets met so far, ties to the lower id.
+
+    Rows without a direction have no cosine distance and take no part.
+    """
+
+    def __init__(self, sources: np.ndarray, k: int, metric: str):
+        self.coded, self.measure = metric == "hamming", metrics.metric_of(metric)
+        self.rows = np.arange(len(sources)) if self.coded else np.flatnonzero(_has_direction(sources))
+        self.sources = sources[self.rows]
+        self.step = (_CodeTiles if self.coded else _FloatTiles).shape[0]
+        self.states = [RunningTopK(len(self.sources[at]), k) for at in self._strips()]
+        self.last = None
+
+    def _strips(self) -> list[slice]:
+        count = len(self.sources)
+        return [slice(at, min(at + self.step, count)) for at in range(0, count, self.step)]
+
+    def _wide(self, x: np.ndarray) -> np.ndarray:
+        return x if self.coded else x.astype(np.float64)
+
+    def meet(self, targets: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        if not self.coded:
+            order = order[_has_direction(targets)[order]]
+        if not len(order) or not len(self.sources):
+            return
+        targets, ids = targets[order], ids[order]
+        higher, self.last = self.last is None or ids[0] > self.last, max(ids[-1], ids[-1] if self.last is None else self.last)
+        tiles = (_CodeTiles if self.coded else _FloatTiles)(targets, self.sources)
+        for strip, state in zip(self._strips(), self.states, strict=True):
+            own = self._wide(self.sources[strip])
+
+            def exact(rows: np.ndarray, cols: np.ndarray, own=own) -> np.ndarray:
+                used, at = np.unique(cols, return_inverse=True)
+                return self.measure.exact(self._wide(targets[used]), own, at, rows)
+
+            _strip_nearest(tiles, strip, ids, exact, state, higher)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(source row, target id, distance), by source and nearest first."""
+        parts = [(self.rows[at.start + s.query], s.ids, s.dist) for at, s in zip(self._strips(), self.states, strict=True)]
+        parts = parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
 def nearest_in_cell(
     sources: np.ndarray, targets: np.ndarray, target_ids: np.ndarray, k: int, metric: str
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(source row, target id, distance) of the k nearest targets of every source, ties to the lower id.
-
-    Rows without a direction have no cosine distance and take no part.
+    """(source row, target id, distance) of the k nearest targets of every source, ties to the lower id."""
+    cell = Cell(sources, k, metric)
+    cell.meet(targets, target_ids)
+    return cell.found()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(cell, is_target, ids, vectors) of neighbouring rows of one side of one cell."""
+    for batch in batches:
+        cell, side, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        x, _ = blocks.read_vectors(batch.column(3), dtype)
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (side[1:] != side[:-1])) + 1
+        for rows in np.split(np.arange(len(cell)), cuts) if len(cell) else []:
+            at = slice(rows[0], rows[-1] + 1)
+            yield int(cell[at.start]), bool(side[at.start]), ids[at], x[at]
+
+
+def _listed(src: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    at, dst, dist = found
+    held, starts = np.unique(at, return_index=True)
+    links = pa.StructArray.from_arrays([pa.array(dist), pa.array(dst)], names=["dist", "dst"])
+    nbrs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), links)
+    return pa.RecordBatch.from_arrays([pa.array(src[held]), nbrs], names=["src", "nbrs"])
+
+
+def nearest_of_cells(
+    batches: Iterator[pa.RecordBatch], k: int, metric: str, chunk_rows: int
+) -> Iterator[pa.RecordBatch]:
+    """``FOUND`` rows of cells that come one after the other as (cell, is_target, vec_id, vec).
+
+    The sources of a cell come before its targets, and targets by id.  Held at once are the
+    sources and a chunk of targets.
     """
-    measure, rows_of = metrics.metric_of(metric), np.arange(len(sources))
-    order = np.argsort(target_ids, kind="stable")
-    if metric == "cosine":
-        sound = [np.isfinite(x).all(axis=1) & (np.einsum("ij,ij->i", x, x) > 0) for x in (sources, targets)]
-        rows_of, order = np.flatnonzero(sound[0]), order[sound[1][order]]
-        sources = sources[rows_of]
-    targets, target_ids = targets[order], target_ids[order]
-    if not len(sources) or not len(targets):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    tiles = (_CodeTiles if metric == "hamming" else _FloatTiles)(targets, sources)
-    found = []
-    for start in range(0, len(sources), tiles.shape[0]):
-        strip = slice(start, min(start + tiles.shape[0], len(sources)))
-        own = sources[strip]
-        state = _strip_nearest(tiles, strip, len(targets), k, lambda r, c, own=own: measure.exact(targets, own, c, r))
-        found.append((rows_of[start + state.query], target_ids[state.ids], state.dist))
-    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+    dtype = np.int64 if metric == "hamming" else np.float32
+    now, cell, src = None, None, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def pass_on() -> None:
+        nonlocal cell, src
+        if held:
+            ids, x = (np.concatenate(column) for column in zip(*held, strict=True))
+            held.clear()
+            if now[1]:
+                if cell is not None:
+                    cell.meet(x, ids)
+            else:
+                cell, src = Cell(x, k, metric), ids
+
+    for number, is_target, ids, x in _runs(batches, dtype):
+        if now != (number, is_target):
+            pass_on()
+            if now is not None and now[0] != number and cell is not None:
+                yield _listed(src, cell.found())
+                cell = None
+            now = (number, is_target)
+        held.append((ids, x))
+        if is_target and sum(len(part) for part, _ in held) >= chunk_rows:
+            pass_on()
+    pass_on()
+    if cell is not None:
+        yield _listed(src, cell.found())

@@ -1,9 +1,10 @@
 """Neighbour graphs as tables, and batch search over them.
 
-Building compares rows in cells: the rows of a list are cut in slices of bounded
-size and every pair of slices is one small group of a shuffle, so no task ever
-holds a list, however large.  Of a vector held by a crowd of rows only the first
-few take part.
+Building compares rows in cells: the sources of a list are cut in slices of bounded
+size, its targets in as many runs as the cluster needs cells.  A task holds a slice
+and lets the run pass, so none ever holds a list, however large, and a source hands
+on one row for every run.  Of a vector held by a crowd of rows only the first few
+take part.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from nearfield import settings
 from nearfield.functions import blocks
 from nearfield.operators import metrics
-from nearfield.operators.cells import nearest_in_cell
+from nearfield.operators.cells import FOUND, nearest_of_cells
 from nearfield.operators.ivf import nearest_list, nearest_lists
 from nearfield.operators.knn import QueryBlock, per_block, scan_block, score_block
 from nearfield.operators.rerank import CANDIDATE_BYTES, pair_distance, rerank
@@ -74,37 +75,58 @@ def _sides(corpus: DataFrame, vec: str, crowd: DataFrame, crowd_rows: int) -> tu
 
 
 def _cell_edge(lists: pa.Table) -> int:
-    """Rows of one side of a cell: as many as fit, as every cell more repeats rows and hands on k of each.
+    """Sources of a cell: as many as fit, as every slice more repeats the targets.
 
-    Few rows are dealt to enough cells for the cluster.
+    Few rows are dealt to enough cells for the cluster, four times as long as wide, as each run
+    of targets finds its thresholds anew.
     """
     pairs = pc.sum(pc.multiply(pc.cast(lists["s"], "double"), pc.cast(lists["t"], "double"))).as_py() or 0.0
-    fits = settings.CELL_BYTES // max(1, 8 * (pc.max(lists["width"]).as_py() or 1))
-    wanted = int((pairs / settings.CELLS_LEAST) ** 0.5)
-    return max(1, min(fits, settings.CELL_ROWS_MOST, max(wanted, settings.CELL_ROWS)))
+    wanted = int((pairs / settings.CELLS_LEAST) ** 0.5 / 2)
+    return min(_fitting(lists), settings.CELL_ROWS_MOST, max(wanted, settings.CELL_ROWS))
 
 
-def _sliced(rows: DataFrame, sizes: pa.Table, own: str, other: str, is_target: bool) -> DataFrame:
-    """Rows with their slice, repeated once for every slice of the other side."""
-    if sizes.num_rows == 1:
-        one = sizes.to_pylist()[0]
-        placed = rows.withColumns({"s": F.lit(one["s"]), "t": F.lit(one["t"])})
+def _fitting(lists: pa.Table) -> int:
+    return max(1, settings.CELL_BYTES // max(1, 8 * (pc.max(lists["width"]).as_py() or 1)))
+
+
+def _cell_sizes(lists: pa.Table, edge: int) -> list[tuple[int, int, int, int]]:
+    """(list_id, s, t, first): slices of sources and runs of targets of every list, and its first cell.
+
+    A list has few runs, as each more hands on k results a source; cells are near equal
+    in pairs and there are enough of them for the cluster.
+    """
+    pairs = sum(row["s"] * row["t"] for row in lists.to_pylist()) or 1
+    sizes, first = [], 0
+    for row in lists.sort_by("list_id").to_pylist():
+        s = -(-row["s"] // edge)
+        of_cell = min(row["s"], edge) * row["t"]
+        t = max(1, min(-(-row["t"] // edge), -(-of_cell * settings.CELLS_LEAST // pairs)))
+        sizes.append((row["list_id"], s, t, first))
+        first += s * t
+    return sizes
+
+
+def _sliced(rows: DataFrame, sizes: list[tuple[int, int, int, int]], is_target: bool) -> DataFrame:
+    """(cell, is_target, vec_id, vec): a source once for every run, a target once for every slice."""
+    if len(sizes) == 1:
+        placed = rows.withColumns({name: F.lit(x) for name, x in zip(("list_id", "s", "t", "first"), sizes[0], strict=True)})
     else:
-        placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(sizes)), "list_id")
-    return placed.select(
-        "list_id",
-        F.pmod(F.xxhash64("vec_id"), own).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other),
-        F.lit(is_target).alias("is_target"),
-        "vec_id",
-        "vec",
+        table = rows.sparkSession.createDataFrame(sizes, "list_id int, s int, t int, first int")
+        placed = rows.join(F.broadcast(table), "list_id")
+    own, other = ("t", "s") if is_target else ("s", "t")
+    placed = placed.select(
+        F.pmod(F.xxhash64("vec_id"), own).cast("int").alias("_" + own),
+        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_" + other),
+        *("t", "first", "vec_id", "vec"),
     )
+    cell = F.col("first") + F.col("_s") * F.col("t") + F.col("_t")
+    return placed.select(cell.alias("cell"), F.lit(is_target).alias("is_target"), "vec_id", "vec")
 
 
 def cell_top_k(
     sources: DataFrame, targets: DataFrame, k: int, metric: str, cell_rows: int | None = None
 ) -> DataFrame:
-    """(src, dst, dist): k best targets of every source among its lists.
+    """(src, nbrs): k best targets of every source among its lists, nearest first.
 
     Both sides carry (list_id, vec_id, vec); a source may sit in several lists.
     """
@@ -117,24 +139,19 @@ def cell_top_k(
     # One row per list; the number of lists is a parameter of the build.
     lists = sides.groupBy("list_id").agg(*totals).filter((F.col("s") > 0) & (F.col("t") > 0)).toArrow()
     edge = cell_rows or _cell_edge(lists)
-    slices = {side: pa.array([-(-n // edge) for n in lists[side].to_pylist()], pa.int32()) for side in ("s", "t")}
-    sizes = pa.table({"list_id": lists["list_id"], **slices})
-    cells = _sliced(sources, sizes, "s", "t", False).unionByName(_sliced(targets, sizes, "t", "s", True))
-    # As many partitions as there are cells: small ones are not put together again, as time goes by pairs.
-    count = pc.sum(pc.multiply(sizes["s"], sizes["t"])).as_py() or 1
-    cells = cells.repartition(min(2 * count, CELL_PARTITIONS), "list_id", "s", "t")
-    dtype = metrics.DTYPES[metric]
-
-    def best(cell: pa.Table) -> pa.Table:
-        is_target = cell.column("is_target").to_numpy()
-        ids = cell.column("vec_id").to_numpy()
-        x, _ = blocks.read_vectors(cell.column("vec"), dtype)
-        at, dst, dist = nearest_in_cell(x[~is_target], x[is_target], ids[is_target], k, metric)
-        return pa.table({"src": ids[~is_target][at], "dst": dst, "dist": dist})
-
-    found = cells.groupBy("list_id", "s", "t").applyInArrow(best, "src bigint, dst bigint, dist double")
+    sizes = _cell_sizes(lists, edge)
+    if not sizes:
+        return sources.sparkSession.createDataFrame([], FOUND)
+    cells = _sliced(sources, sizes, False).unionByName(_sliced(targets, sizes, True))
+    # A partition for every cell while they are few: small ones are not put together again, as time goes by pairs.
+    count = sum(s * t for _, s, t, _ in sizes)
+    cells = cells.repartitionById(min(count, CELL_PARTITIONS), F.pmod("cell", F.lit(min(count, CELL_PARTITIONS))))
+    cells = cells.sortWithinPartitions("cell", "is_target", "vec_id")
+    chunk = cell_rows or min(_fitting(lists), settings.CELL_ROWS_MOST)
+    found = cells.mapInArrow(lambda batches: nearest_of_cells(batches, k, metric, chunk), FOUND)
     # Lists are disjoint, so a pair meets in one cell only.
-    return top_k(found, k, key="src", order=("dist", "dst"))
+    merged = found.groupBy("src").agg(F.flatten(F.collect_list("nbrs")).alias("nbrs"))
+    return merged.select("src", F.slice(F.sort_array("nbrs"), 1, k).alias("nbrs"))
 
 
 def _without_self(nbrs: Column, own: Column, degree: int) -> Column:
@@ -166,10 +183,7 @@ def knn_graph(
         targets = targets.withColumn("list_id", nearest_list(spark, F.col("vec"), centroids, metric))
         lists = nearest_lists(spark, F.col("vec"), centroids, probes, metric)
         sources = sources.select("vec_id", "vec", F.explode(lists).alias("list_id"))
-    found = cell_top_k(sources, targets, degree + 1, metric, cell_rows)
-    found = found.groupBy(F.col("src").alias("vec_id")).agg(
-        F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("nbrs")
-    )
+    found = cell_top_k(sources, targets, degree + 1, metric, cell_rows).withColumnRenamed("src", "vec_id")
     if crowd_rows:
         found = _with_copies(corpus, crowd, cut_lineage(found), vec)
     return found.select("vec_id", _without_self(F.col("nbrs"), F.col("vec_id"), degree).alias("nbrs"))

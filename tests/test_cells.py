@@ -8,7 +8,7 @@ import pytest
 
 from nearfield import settings
 from nearfield.operators import graph, metrics
-from nearfield.operators.cells import _CodeTiles, nearest_in_cell
+from nearfield.operators.cells import Cell, _CodeTiles, nearest_in_cell, nearest_of_cells
 
 
 def plain(sources, targets, ids, k, metric):
@@ -56,3 +56,41 @@ def test_bits_that_no_row_varies_are_not_compared():
     assert tiles.targets.shape == (7, 500)
     want = np.bitwise_count((codes[:40, None] ^ codes).view(np.uint64)).sum(axis=2)
     assert (tiles.tile(slice(0, 40), slice(0, 500)) == want).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "hamming"])
+def test_targets_pass_in_chunks(metric):
+    """Thresholds of earlier chunks hold for later ones, in whatever order ids come."""
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(900, 6)), rng.normal(size=(300, 6))
+    x[::4], q[:50] = x[0], x[0]
+    if metric == "hamming":
+        x, q = ((a * 4).astype(np.int64) for a in (x, q))
+    ids = rng.permutation(2000)[:900]
+    cell = Cell(q, 9, metric)
+    for at in np.array_split(np.arange(900), 7):
+        cell.meet(x[at], ids[at])
+    assert list(zip(*(c.tolist() for c in cell.found()), strict=True)) == plain(q, x, ids, 9, metric)
+
+
+def test_cells_come_one_after_the_other():
+    """Batches may end anywhere; a cell without sources or without targets gives nothing."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    sides = [(0, False, 20), (0, True, 40), (1, True, 10), (2, False, 5), (3, False, 7), (3, True, 60)]
+    cell, side, ids = (np.concatenate(c) for c in zip(*[(np.full(n, c), np.full(n, s), np.arange(n)) for c, s, n in sides], strict=True))
+    rows = pa.table({"cell": cell, "is_target": side, "vec_id": ids, "vec": x[ids].tolist()}).to_batches(max_chunksize=13)
+    found = pa.Table.from_batches(nearest_of_cells(iter(rows), 3, "cosine", 16)).to_pylist()
+    want = [(i, plain(x[:n].astype(float), x[:t].astype(float), np.arange(t), 3, "cosine")) for n, t in ((20, 40), (7, 60)) for i in range(n)]
+    assert [(f["src"], [(n["dst"], n["dist"]) for n in f["nbrs"]]) for f in found] == [
+        (i, [(dst, dist) for row, dst, dist in of if row == i]) for i, of in want
+    ]
+
+
+def test_a_source_hands_on_few_rows():
+    """One row for every run of targets, where it were k for each of 19 cells of 615,384 rows."""
+    lists = pa.table({"list_id": [0], "s": [615_384], "t": [615_384], "width": [64]})
+    [(_, s, t, _)] = graph._cell_sizes(lists, graph._cell_edge(lists))
+    assert s <= 20 and t <= 6 and s * t >= settings.CELLS_LEAST
+    many = pa.table({"list_id": [0, 1], "s": [100, 10_000], "t": [50, 40_000], "width": [64, 64]})
+    assert [first for *_, first in graph._cell_sizes(many, 4096)] == [0, 1]
