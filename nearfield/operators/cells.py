@@ -144,7 +144,8 @@ class _CodeTiles:
 
 def _parts(rows: int, first: int, most: int) -> Iterator[slice]:
     """Few targets first, as the thresholds they leave are still loose."""
-    start, step = 0, first
+    # Two like parts rather than one and a small rest.
+    start, step = 0, -(-rows // 2) if first < rows < 2 * first else first
     while start < rows:
         yield slice(start, min(start + step, rows))
         start, step = start + step, min(2 * step, most)
@@ -171,11 +172,15 @@ def _strip_nearest(tiles, strip: slice, ids: np.ndarray, exact, state: RunningTo
     warm = bool(np.isfinite(bound).all())
     held, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
     for part in _parts(len(ids), tiles.shape[1] if warm else FIRST_ROWS, tiles.shape[1]):
-        if not warm and part.start == 0 and min(part.stop, len(ids)) >= k:
+        if not warm and part.start == 0:
             first = tiles.tile(strip, part)
-            bound = np.minimum(bound, np.partition(first, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * slack)
-        # Targets with higher ids lose a tie against the k rows that are there.
-        rows, cols, rough = tiles.near(strip, part, bound, part.start > 0 or (warm and higher))
+            if first.shape[1] >= k:
+                bound = np.minimum(bound, np.partition(first, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * slack)
+            rows, cols = np.divmod(np.flatnonzero(first <= bound[:, None]), first.shape[1])
+            rough = first[rows, cols].astype(np.float64)
+        else:
+            # Targets with higher ids lose a tie against the k rows that are there.
+            rows, cols, rough = tiles.near(strip, part, bound, part.start > 0 or higher)
         if measured:
             state.offer(rows, rough if not slack else exact(rows, cols), ids[cols])
             bound = np.minimum(bound, state.bound + slack)

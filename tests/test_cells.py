@@ -94,3 +94,15 @@ def test_a_source_hands_on_few_rows():
     assert s <= 20 and t <= 6 and s * t >= settings.CELLS_LEAST
     many = pa.table({"list_id": [0, 1], "s": [100, 10_000], "t": [50, 40_000], "width": [64, 64]})
     assert [first for *_, first in graph._cell_sizes(many, 4096)] == [0, 1]
+
+
+@pytest.mark.parametrize("rows", [700, 2050, 3000])
+def test_a_short_list_is_compared_once(monkeypatch, rows):
+    """The part that gives the first thresholds is not compared again, and a long list is not left with a tiny part."""
+    rng, seen = np.random.default_rng(7), []
+    whole = _CodeTiles.tile
+    monkeypatch.setattr(_CodeTiles, "tile", lambda self, strip, part: seen.append((strip, part)) or whole(self, strip, part))
+    codes = rng.integers(0, 2**63, (rows, 2), np.int64)
+    nearest_in_cell(codes[:100], codes, np.arange(rows), 3, "hamming")
+    assert sum(min(part.stop, rows) - part.start for _, part in seen) == rows
+    assert min(part.stop - part.start for _, part in seen) >= 512
