@@ -10,11 +10,12 @@ take part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield import settings
@@ -26,11 +27,14 @@ from nearfield.operators.knn import QueryBlock, per_block, scan_block, score_blo
 from nearfield.operators.rerank import CANDIDATE_BYTES, pair_distance, rerank
 from nearfield.operators.topk import RunningTopK, top_k
 from nearfield.session import broadcast_limit, cut_lineage
-from nearfield.sources.vectors import hash_sample
+from nearfield.sources.vectors import gathered_sample
 
 COPY_SALTS = 16
 CELL_PARTITIONS = 2000
+CELL_PAIRS = 1 << 25  # pairs that are worth a task, where there are enough tasks for the cluster
+CELL_WAVES = 3  # tasks a core, so that uneven cells do not leave cores idle
 PRUNE_ALPHA = 1.2
+HELD_SHARE = 4  # part of the broadcast limit that a beam on the driver may take
 
 
 def _hinted(rows: DataFrame, bound: int) -> DataFrame:
@@ -106,13 +110,21 @@ def _cell_sizes(lists: pa.Table, edge: int) -> list[tuple[int, int, int, int]]:
     return sizes
 
 
+def _cell_tasks(spark: SparkSession, lists: pa.Table, sizes: list[tuple[int, int, int, int]]) -> int:
+    """Tasks for the cells: one each, but small cells share one, as many as the cluster can use."""
+    pairs = sum(row["s"] * row["t"] for row in lists.to_pylist())
+    wanted = max(CELL_WAVES * spark.sparkContext.defaultParallelism, -(-pairs // CELL_PAIRS))
+    return min(sum(s * t for _, s, t, _ in sizes), wanted, CELL_PARTITIONS)
+
+
 def _sliced(rows: DataFrame, sizes: list[tuple[int, int, int, int]], is_target: bool) -> DataFrame:
     """(cell, is_target, vec_id, vec): a source once for every run, a target once for every slice."""
     if len(sizes) == 1:
         placed = rows.withColumns({name: F.lit(x) for name, x in zip(("list_id", "s", "t", "first"), sizes[0], strict=True)})
     else:
-        table = rows.sparkSession.createDataFrame(sizes, "list_id int, s int, t int, first int")
-        placed = rows.join(F.broadcast(table), "list_id")
+        names = ("list_id", "s", "t", "first")
+        columns = {name: pa.array(column, pa.int32()) for name, column in zip(names, zip(*sizes, strict=True), strict=True)}
+        placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(pa.table(columns))), "list_id")
     own, other = ("t", "s") if is_target else ("s", "t")
     placed = placed.select(
         F.pmod(F.xxhash64("vec_id"), own).cast("int").alias("_" + own),
@@ -143,9 +155,9 @@ def cell_top_k(
     if not sizes:
         return sources.sparkSession.createDataFrame([], FOUND)
     cells = _sliced(sources, sizes, False).unionByName(_sliced(targets, sizes, True))
-    # A partition for every cell while they are few: small ones are not put together again, as time goes by pairs.
-    count = sum(s * t for _, s, t, _ in sizes)
-    cells = cells.repartitionById(min(count, CELL_PARTITIONS), F.pmod("cell", F.lit(min(count, CELL_PARTITIONS))))
+    # They are not put together again by bytes, as time goes by pairs.
+    count = _cell_tasks(sources.sparkSession, lists, sizes)
+    cells = cells.repartitionById(count, F.pmod("cell", F.lit(count)))
     cells = cells.sortWithinPartitions("cell", "is_target", "vec_id")
     chunk = cell_rows or min(_fitting(lists), settings.CELL_ROWS_MOST)
     found = cells.mapInArrow(lambda batches: nearest_of_cells(batches, k, metric, chunk), FOUND)
@@ -213,7 +225,7 @@ def edges(graph: DataFrame) -> DataFrame:
     )
 
 
-def undirected(graph: DataFrame, max_degree: int, salts: int = 8) -> DataFrame:
+def undirected(graph: DataFrame, max_degree: int) -> DataFrame:
     """(vec_id, nbrs): edges usable both ways, the ``max_degree`` nearest kept.
 
     A row that is near to many others would collect them all; the degree bound
@@ -223,7 +235,7 @@ def undirected(graph: DataFrame, max_degree: int, salts: int = 8) -> DataFrame:
         F.struct(F.col("src"), F.col("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
     both = edges(graph).select(F.explode(ways).alias("way"), "dist").select("way.src", "way.dst", "dist")
-    return _nearest_links(both, max_degree, salts)
+    return _nearest_links(both, max_degree)
 
 
 def pruned_rows(dist: np.ndarray, x: np.ndarray, alpha: float, degree: int) -> list[int]:
@@ -315,10 +327,13 @@ def refine(graph: DataFrame, corpus: DataFrame, degree: int, vec: str = "f32") -
     return _nearest_links(listed.mapInArrow(meet, "src bigint, dst bigint, dist double"), degree)
 
 
-def _nearest_links(links: DataFrame, degree: int, salts: int = 1) -> DataFrame:
-    """(vec_id, nbrs): the ``degree`` nearest distinct ends of every row."""
+def _nearest_links(links: DataFrame, degree: int) -> DataFrame:
+    """(vec_id, nbrs): the ``degree`` nearest distinct ends of every row.
+
+    The links of a hub are spread over the tasks that find the distinct ones, each of which hands on ``degree`` of them.
+    """
     once = links.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    kept = top_k(once, degree, key="src", order=("dist", "dst"), salts=salts)
+    kept = top_k(once, degree, key="src", order=("dist", "dst"))
     return kept.groupBy(F.col("src").alias("vec_id")).agg(
         F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("nbrs")
     )
@@ -341,21 +356,100 @@ def beam(
     max_degree: int,
     seed: str = "entry",
 ) -> DataFrame:
-    """(qid, vec_id, dist): the ``ef`` best rows met within ``hops`` expansions.
+    """(qid, rk, vec_id, dist): the ``ef`` best rows met within ``hops`` expansions.
 
     Each hop is one scan of ``table`` that answers all queries: rows new to a
     query's beam are looked up once, scored, and carry their own links for the
-    next hop.  The beam is bounded by queries x ef and is written out per hop.
+    next hop.  The beam is bounded by queries x ef.  Where all that a hop can hand
+    on is small it stays on the driver, as the queries do, and a hop is a single
+    job; else it is a table that is written out per hop.
     """
-    spark = table.sparkSession
-    metric = "hamming" if vec.startswith("code_") else "cosine"
-    distance = pair_distance(spark, block, metric)
     everything = table.select("vec_id", vec, "nbr_ids")
     # As many rows as there are entry points: a fixed parameter of the search.
-    start = spark.createDataFrame(hash_sample(everything, entries, seed).toArrow())
-    first = top_k(scan_block(start, block, ef, vec, metric), ef).select("qid", "vec_id", "dist")
+    start = gathered_sample(everything, entries, seed)
+    met = len(block.ids) * ef * max_degree
+    if met * (CANDIDATE_BYTES + 8 * max_degree) <= broadcast_limit(table.sparkSession) // HELD_SHARE:
+        return _held_beam(block, everything, start, ef, hops, vec)
+    return _stored_beam(block, everything, start, ef, hops, vec, met)
+
+
+class _Held(NamedTuple):
+    """Rows of a beam: query, row, distance, links, and whether those were followed."""
+
+    query: np.ndarray
+    ids: np.ndarray
+    dist: np.ndarray
+    links: pa.Array
+    expanded: np.ndarray
+
+    def best(self, ef: int) -> "_Held":
+        """The ``ef`` nearest rows of every query, nearest first."""
+        order = np.lexsort((self.ids, self.dist, self.query))
+        own = self.query[order]
+        order = order[np.arange(len(own)) - np.searchsorted(own, own, "left") < ef]
+        query, ids, dist, expanded = (column[order] for column in (self.query, self.ids, self.dist, self.expanded))
+        return _Held(query, ids, dist, self.links.take(pa.array(order)), expanded)
+
+    def unmet(self) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) that the unfollowed links lead to and the beam does not hold."""
+        ahead = np.flatnonzero(~self.expanded)
+        links = self.links.take(pa.array(ahead))
+        lengths = pc.fill_null(pc.list_value_length(links), 0).to_numpy()
+        query = np.concatenate([self.query, np.repeat(self.query[ahead], lengths)])
+        ids = np.concatenate([self.ids, links.flatten().drop_null().to_numpy()])
+        fresh = np.arange(len(query)) >= len(self.query)
+        order = np.lexsort((fresh, ids, query))
+        query, ids, fresh = query[order], ids[order], fresh[order]
+        first = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))[: len(query)]
+        return query[first & fresh], ids[first & fresh]
+
+
+def _entry_points(start: pa.Table, block: QueryBlock, ef: int, vec: str, metric: str) -> _Held:
+    """The ``ef`` best entry points of every query."""
+    start = start.filter(start.column(vec).is_valid()).combine_chunks()
+    x, _ = blocks.read_vectors(start.column(vec), metrics.DTYPES[metric])
+    state, everyone = RunningTopK(len(block.ids), ef), np.arange(len(block.ids))
+    score_block(x, np.arange(len(x)), block.side(metric), everyone, state, metrics.metric_of(metric))
+    state.settle()
+    ids = start.column("vec_id").to_numpy()[state.ids]
+    links = start.column("nbr_ids").combine_chunks().take(pa.array(state.ids))
+    return _Held(block.ids[state.query], ids, state.dist, links, np.zeros(len(ids), bool))
+
+
+def _held_beam(
+    block: QueryBlock, everything: DataFrame, start: pa.Table, ef: int, hops: int, vec: str
+) -> DataFrame:
+    spark = everything.sparkSession
+    metric = "hamming" if vec.startswith("code_") else "cosine"
+    distance = pair_distance(spark, block, metric)
+    state = _entry_points(start, block, ef, vec, metric).best(ef)
+    for _ in range(hops):
+        query, ids = state.unmet()
+        if not len(ids):
+            break
+        fresh = spark.createDataFrame(pa.table({"qid": query, "vec_id": ids}))
+        scored = everything.join(F.broadcast(fresh), "vec_id").select("qid", "vec_id", distance("qid", vec), "nbr_ids")
+        query, ids, dist, links = (column.combine_chunks() for column in scored.toArrow().columns)
+        known = state._replace(expanded=np.ones(len(state.ids), bool))
+        found = _Held(query.to_numpy(), ids.to_numpy(), dist.to_numpy(), links, np.zeros(len(ids), bool))
+        joined = [np.concatenate(pair) for pair in zip(known[:3], found[:3], strict=True)]
+        links = pa.concat_arrays([known.links.cast(found.links.type), found.links])
+        state = _Held(*joined, links, np.concatenate([known.expanded, found.expanded])).best(ef)
+    rk = np.arange(len(state.ids)) - np.searchsorted(state.query, state.query, "left") + 1
+    columns = {"qid": state.query, "rk": rk.astype(np.int32), "vec_id": state.ids, "dist": state.dist}
+    return spark.createDataFrame(pa.table(columns))
+
+
+def _stored_beam(
+    block: QueryBlock, everything: DataFrame, start: pa.Table, ef: int, hops: int, vec: str, met_most: int
+) -> DataFrame:
+    spark = everything.sparkSession
+    metric = "hamming" if vec.startswith("code_") else "cosine"
+    distance = pair_distance(spark, block, metric)
+    start = spark.createDataFrame(start)
+    first = top_k(scan_block(start, block, ef, vec, metric), ef)
     linked = first.join(F.broadcast(start.select("vec_id", "nbr_ids")), "vec_id")
-    state = cut_lineage(linked.select("qid", "vec_id", "dist", "nbr_ids", F.lit(False).alias("expanded")))
+    state = cut_lineage(linked.select("qid", "rk", "vec_id", "dist", "nbr_ids", F.lit(False).alias("expanded")))
     for _ in range(hops):
         links = state.filter(~F.col("expanded")).select("qid", F.explode("nbr_ids").alias("vec_id"))
         met = links.withColumn("known", F.lit(False)).unionByName(
@@ -363,13 +457,13 @@ def beam(
         )
         fresh = met.groupBy("qid", "vec_id").agg(F.bool_or("known").alias("known")).filter(~F.col("known"))
         fresh = fresh.select("qid", "vec_id")
-        found = everything.join(_hinted(fresh, len(block.ids) * ef * max_degree), "vec_id")
+        found = everything.join(_hinted(fresh, met_most), "vec_id")
         scored = found.select(
             "qid", "vec_id", distance("qid", vec).alias("dist"), "nbr_ids", F.lit(False).alias("expanded")
         )
-        known = state.withColumn("expanded", F.lit(True))
-        state = cut_lineage(top_k(known.unionByName(scored), ef).drop("rk"))
-    return state.select("qid", "vec_id", "dist")
+        known = state.drop("rk").withColumn("expanded", F.lit(True))
+        state = cut_lineage(top_k(known.unionByName(scored), ef))
+    return state.select("qid", "rk", "vec_id", "dist")
 
 
 def graph_knn(
@@ -385,7 +479,7 @@ def graph_knn(
     """k nearest rows met by a beam search over the links of ``table``."""
 
     def answer(block: QueryBlock) -> DataFrame:
-        return top_k(beam(block, table, ef, hops, entries, vec, max_degree), k)
+        return beam(block, table, ef, hops, entries, vec, max_degree).filter(F.col("rk") <= k)
 
     return per_block(queries, answer).select("qid", "rk", "vec_id", "dist")
 

@@ -32,6 +32,7 @@ from nearfield.sources.vectors import hash_sample, hash_share
 ROWS_PER_FILE = 1_000_000
 # Fewer rows of a list than this are not worth a product of their own.
 ROWS_PER_STEP = 64
+SUMS_SHARE = 16  # part of the broadcast limit that the sums of a training step may take on the driver
 
 
 class IvfIndex(NamedTuple):
@@ -105,12 +106,8 @@ def seed_centroids(corpus: DataFrame, lists: int, vec: str = "f32", seed: str =
     return checked(corpus.sparkSession, blocks.read_vectors(table.column(vec), dtype)[0])
 
 
-def lloyd_step(sample: DataFrame, centroids: np.ndarray, vec: str = "f32") -> DataFrame:
-    """(list_id, d, mean): mean vector of every list, not yet of unit length.
-
-    Each task hands on one sum per list it holds rows of, so a list that holds
-    most rows costs no more than any other.
-    """
+def list_sums(sample: DataFrame, centroids: np.ndarray, vec: str = "f32") -> DataFrame:
+    """(list_id, n, total): rows and vector sum of every list, once for each task that holds rows of it."""
     shipped = sample.sparkSession.sparkContext.broadcast(checked(sample.sparkSession, centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,21 +127,46 @@ def lloyd_step(sample: DataFrame, centroids: np.ndarray, vec: str = "f32") -> Da
             [pa.array(held.astype(np.int32)), pa.array(rows[held]), sums], names=["list_id", "n", "total"]
         )
 
-    partial = sample.select(vec).mapInArrow(run, "list_id int, n bigint, total array<double>")
+    return sample.select(vec).mapInArrow(run, "list_id int, n bigint, total array<double>")
+
+
+def lloyd_step(sample: DataFrame, centroids: np.ndarray, vec: str = "f32") -> DataFrame:
+    """(list_id, d, mean): mean vector of every list, not yet of unit length.
+
+    Each task hands on one sum per list it holds rows of, so a list that holds
+    most rows costs no more than any other.
+    """
     return (
-        partial.select("list_id", "n", F.posexplode("total").alias("d", "x"))
+        list_sums(sample, centroids, vec).select("list_id", "n", F.posexplode("total").alias("d", "x"))
         .groupBy("list_id", "d")
         .agg((F.sum("x") / F.sum("n")).alias("mean"))
     )
 
 
+def _moved(means: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Unit-length means; an empty list, whose mean is NaN, keeps its centroid."""
+    fresh = blocks.unit_rows(means)
+    return np.where(np.isnan(fresh), centroids, fresh)
+
+
 def updated_centroids(means: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Unit-length means; an empty list keeps its centroid."""
     table = means.toArrow()
     fresh = np.full(centroids.shape, np.nan)
     fresh[table.column("list_id").to_numpy(), table.column("d").to_numpy()] = table.column("mean").to_numpy()
-    fresh = blocks.unit_rows(fresh)
-    return np.where(np.isnan(fresh), centroids, fresh)
+    return _moved(fresh, centroids)
+
+
+def gathered_step(sample: DataFrame, centroids: np.ndarray, vec: str = "f32") -> np.ndarray:
+    """The centroids after one step whose sums, a model for each task, are added on the driver."""
+    table = list_sums(sample, centroids, vec).toArrow()
+    totals, rows = np.zeros(centroids.shape), np.zeros(len(centroids), np.int64)
+    if len(table):
+        at = table.column("list_id").to_numpy()
+        np.add.at(totals, at, blocks.read_vectors(table.column("total"))[0])
+        np.add.at(rows, at, table.column("n").to_numpy())
+    with np.errstate(invalid="ignore"):
+        return _moved(totals / rows[:, None], centroids)
 
 
 def train_sample(corpus: DataFrame, vec: str, sample_rows: int | None = None) -> DataFrame:
@@ -164,8 +186,13 @@ def train_centroids(
     """Spherical k-means from seeded rows, a fixed number of steps over all rows or a stated sample."""
     centroids = seed_centroids(corpus, lists, vec, seed)
     sample = train_sample(corpus, vec, sample_rows) if steps else None
+    tasks = sample.rdd.getNumPartitions() if steps else 0
+    few = tasks * centroids.nbytes <= broadcast_limit(corpus.sparkSession) // SUMS_SHARE
     for _ in range(steps):
-        centroids = updated_centroids(lloyd_step(sample, centroids, vec), centroids)
+        if few:
+            centroids = gathered_step(sample, centroids, vec)
+        else:
+            centroids = updated_centroids(lloyd_step(sample, centroids, vec), centroids)
     return centroids
 
 

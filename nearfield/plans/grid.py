@@ -193,23 +193,25 @@ def _by_index(corpus: DataFrame, dims: list[int], methods: list[str] | None) ->
 
 def _prepared(
     corpus: DataFrame, query_ids: DataFrame, dims: list[int], full_dim: int, profile: Profile
-) -> tuple[DataFrame, DataFrame, dict[int, DataFrame]]:
-    """Query ids, truth over full-width vectors and the encoded table of each dimension."""
+) -> tuple[DataFrame, dict[int, DataFrame], dict[int, DataFrame]]:
+    """Truth over full-width vectors, the encoded table of each dimension and its rows that are queries."""
     thresholds = fit_thresholds(corpus, full_dim)
     full = represent(corpus, full_dim, full_dim, ("f32",))
-    wanted = query_ids.select("vec_id")
+    wanted = cut_lineage(query_ids.select("vec_id"))
     asked = as_queries(full.join(wanted, "vec_id", "left_semi"))
     truth = cut_lineage(knn.ground_truth(asked, full, profile.k, "f32"))
     columns = ("f32", "f16", *[f"code_{v}" for v in CODE_VARIANTS])
     tables = {
         dim: materialise(represent(corpus, dim, full_dim, columns, thresholds), f"items_{dim}") for dim in dims
     }
-    return wanted, truth, tables
+    samples = {
+        dim: materialise(table.join(wanted, "vec_id", "left_semi"), f"queries_{dim}") for dim, table in tables.items()
+    }
+    return truth, tables, samples
 
 
-def _cell_of(spec: Row, table: DataFrame, wanted: DataFrame, profile: Profile) -> _Cell:
+def _cell_of(spec: Row, table: DataFrame, sample: DataFrame, profile: Profile) -> _Cell:
     precision = next(p for p, name in STORAGE.items() if name == spec.storage)
-    sample = table.join(wanted, "vec_id", "left_semi")
     return _cell(spec.method, precision, spec.variant, table, sample, profile)
 
 
@@ -223,12 +225,12 @@ def recall_grid(
 ) -> DataFrame:
     """(dimension, storage, method, variant, recall) of every cell, without timings; a failed cell raises."""
     by_index = _by_index(corpus, dims, methods)
-    wanted, truth, tables = _prepared(corpus, query_ids, dims, full_dim, profile)
+    truth, tables, samples = _prepared(corpus, query_ids, dims, full_dim, profile)
     parts = []
     for cells in by_index:
         index = None
         for spec in cells:
-            cell = _cell_of(spec, tables[spec.dimension], wanted, profile)
+            cell = _cell_of(spec, tables[spec.dimension], samples[spec.dimension], profile)
             index = cell.build() if index is None else index
             names = [F.lit(spec[name]).cast(kind).alias(name) for name, kind in CELL_KEYS]
             parts.append(cut_lineage(mean_recall(cell.search(index), truth).select(*names, "recall")))
@@ -258,7 +260,7 @@ def run_grid(
     """
     spark = corpus.sparkSession
     by_index = _by_index(corpus, dims, methods)
-    wanted, truth, tables = _prepared(corpus, query_ids, dims, full_dim, profile)
+    truth, tables, samples = _prepared(corpus, query_ids, dims, full_dim, profile)
 
     def run(cells: list[Row]) -> list[tuple]:
         """The cells of one index: built for the first, searched for each."""
@@ -266,7 +268,7 @@ def run_grid(
         for spec in cells:
             build_s = latency = recall = size = None
             try:
-                cell = _cell_of(spec, tables[spec.dimension], wanted, profile)
+                cell = _cell_of(spec, tables[spec.dimension], samples[spec.dimension], profile)
                 built = built or _timed(cell.build)
                 index, build_s = built
                 size = cell.nbytes(index)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +126,16 @@ def hash_sample(rows: DataFrame, n: int, seed: str, key: str = "vec_id") -> Data
     return rows.join(picked, key, "left_semi")
 
 
+def gathered_sample(rows: DataFrame, n: int, seed: str, key: str = "vec_id") -> pa.Table:
+    """The rows of ``hash_sample``, on the driver, for few rows: one ordered limit where their ids are unique."""
+    ordered = rows.filter(F.col(key).isNotNull()).orderBy(hash_order(seed, key), key)
+    # One row more tells whether the last id has a row beyond the limit.
+    found = ordered.limit(n + 1).toArrow()
+    if len(found) > n and len(pc.unique(found.column(key))) <= n:
+        return hash_sample(rows, n, seed, key).toArrow()
+    return found.slice(0, n) if len(found) > n else found
+
+
 def hash_share(rows: DataFrame, target: int, seed: str, key: str = "vec_id") -> DataFrame:
     """About ``target`` rows picked by hash, every row when there are fewer."""
     total = rows.count()

@@ -106,3 +106,13 @@ def test_a_short_list_is_compared_once(monkeypatch, rows):
     nearest_in_cell(codes[:100], codes, np.arange(rows), 3, "hamming")
     assert sum(min(part.stop, rows) - part.start for _, part in seen) == rows
     assert min(part.stop - part.start for _, part in seen) >= 512
+
+
+def test_small_cells_share_tasks(spark):
+    """10,256 rows that look into 8 of 50 lists: 50 tasks of 0.3 million pairs took longer to start than to compare."""
+    lists = pa.table({"list_id": list(range(50)), "s": [1641] * 50, "t": [205] * 50, "width": [64] * 50})
+    sizes = graph._cell_sizes(lists, graph._cell_edge(lists))
+    assert graph._cell_tasks(spark, lists, sizes) == graph.CELL_WAVES * spark.sparkContext.defaultParallelism
+    large = pa.table({"list_id": list(range(50)), "s": [98_460] * 50, "t": [12_300] * 50, "width": [64] * 50})
+    sizes = graph._cell_sizes(large, graph._cell_edge(large))
+    assert graph._cell_tasks(spark, large, sizes) == sum(s * t for _, s, t, _ in sizes)

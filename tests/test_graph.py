@@ -114,6 +114,46 @@ def test_beam_beyond_the_broadcast_limit(unit, linked, conf):
     assert rows(graph.graph_knn(asked, linked, 10, 20, 2, max_degree=16)) == want
 
 
+def jobs_of(spark, group, action):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_hop_of_a_small_beam_ships_its_rows_and_scans_once(spark, unit, linked):
+    """A beam that is a table took a shuffle for its new rows, another for its best ones and a write for every hop."""
+    asked = prep.as_queries(unit.filter("vec_id % 100 = 7"))
+    few, many = (
+        jobs_of(spark, f"hops-{hops}", lambda hops=hops: graph.graph_knn(asked, linked, 10, 20, hops, max_degree=16).collect())
+        for hops in (1, 4)
+    )
+    assert many - few <= 2 * 3
+
+
+@pytest.mark.parametrize("hops", [0, 1, 3])
+def test_small_and_large_beams_agree(embeddings, thresholds, conf, hops):
+    """On codes, whose distances tie, with rows whose links are few, missing or lead nowhere."""
+    table = prep.represent(embeddings, 64, 64, ("f32", "code_mean"), thresholds)
+    links = graph.undirected(graph.knn_graph(table, 4, "code_mean"), 8)
+    few = F.when(F.col("vec_id") % 7 == 0, F.array().cast("array<bigint>")).when(F.col("vec_id") % 7 == 1, F.array(F.lit(10**6)))
+    stored = graph.nodes(links, table, "f32", "code_mean").withColumn("nbr_ids", few.otherwise(F.col("nbr_ids")))
+    stored = materialise(stored, "nodes")
+    asked = prep.as_queries(table.filter("vec_id % 60 = 7"), "f32", "mean")
+    rows = lambda: graph.graph_rerank(asked, stored, 10, 3, "mean", "f32", hops, max_degree=8).orderBy("qid", "rk").collect()
+    held = rows()
+    conf(settings.BROADCAST_LIMIT_KEY, 20_000)
+    assert rows() == held and len(held) == 10 * asked.count()
+
+
+def test_undirected_shuffles_links_by_pair_and_by_row(spark):
+    links = spark.createDataFrame([(0, [(0.1, 1)])], "vec_id bigint, nbrs array<struct<dist:double,dst:bigint>>")
+    text = graph.undirected(links, 6)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 2 and "WindowGroupLimit" in text
+
+
 def test_code_graph_with_rerank(embeddings, thresholds, unit):
     table = prep.represent(embeddings, 64, 64, ("f32", "code_thermo8"), thresholds)
     links = graph.undirected(graph.knn_graph(table, 8, "code_thermo8"), 16)

@@ -63,6 +63,18 @@ def test_an_empty_list_keeps_its_centroid(spark):
     assert moved[1].tolist() == [-1.0, 0.0] and moved[0, 1] > 0
 
 
+def test_sums_of_a_step_are_added_on_the_driver_or_by_a_shuffle(unit, conf, monkeypatch):
+    seeds = ivf.seed_centroids(unit, 20)
+    want = ivf.updated_centroids(ivf.lloyd_step(unit, seeds), seeds)
+    assert np.allclose(ivf.gathered_step(unit, seeds), want, rtol=0, atol=1e-12)
+    shuffled = []
+    monkeypatch.setattr(ivf, "lloyd_step", lambda *args, step=ivf.lloyd_step: shuffled.append(1) or step(*args))
+    small = ivf.train_centroids(unit, 20, 2)
+    assert not shuffled
+    conf(settings.BROADCAST_LIMIT_KEY, seeds.nbytes)
+    assert np.allclose(ivf.train_centroids(unit, 20, 2), small, rtol=0, atol=1e-12) and len(shuffled) == 2
+
+
 def test_training_reads_all_rows_unless_asked(spark, unit):
     assert ivf.train_sample(unit, "f32").count() == unit.count()
     assert 120 < ivf.train_sample(unit, "f32", 200).count() < 300

@@ -131,3 +131,12 @@ def test_sample_is_whole_and_stable(spark):
     assert plain == {r.vec_id for r in source.hash_sample(rows.repartition(5), 50, "s").collect()} and len(plain) == 50
     assert source.hash_sample(rows, 12_000, "s").count() == 12_000
     assert abs(source.hash_share(rows, 2000, "t").count() - 2000) < 300
+
+
+@pytest.mark.parametrize("ids", [list(range(60)), [0, 0, 1, 1, 2, 3, None, 5, 6, 7, 8, 8, 8, 9], [1, 2, None], []])
+def test_a_gathered_sample_holds_the_same_rows(spark, ids):
+    rows = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "vec_id bigint, row int").repartition(4)
+    for n in (1, 3, 6, 20):
+        want = sorted(map(tuple, source.hash_sample(rows, n, "entry").collect()))
+        got = source.gathered_sample(rows, n, "entry")
+        assert sorted((r["vec_id"], r["row"]) for r in got.to_pylist()) == want
