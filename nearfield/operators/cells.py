@@ -20,6 +20,7 @@ from nearfield.operators.topk import RunningTopK
 
 FIRST_ROWS = 2048  # targets that give the first thresholds
 CROWDED = 4  # times k: more rows of a source within rounding of its k-th are measured at once
+LEAST_COLS = 256  # targets that a strip of sources reckons with at least, which bounds its length
 UNIT_STEP = 4096  # rows widened to double at once
 FOUND = "src bigint, nbrs array<struct<dist:double,dst:bigint>>"
 
@@ -100,7 +101,7 @@ class _CodeTiles:
     """Differing bits; exact."""
 
     shape = (128, 4096)
-    step = 8  # sources whose words are compared at once
+    step = 8  # sources whose words are compared at once, more of them with few targets
     slack = 0.0
 
     def __init__(self, targets: np.ndarray, sources: np.ndarray):
@@ -124,10 +125,11 @@ class _CodeTiles:
         rows, cols = mine.shape[1], theirs.shape[1]
         total = self._own[0][: rows * cols].reshape(rows, cols)
         total[:] = 0
-        for start in range(0, rows, self.step):
-            some = total[start : start + self.step]
+        step = max(self.step, len(self._own[1]) // cols)
+        for start in range(0, rows, step):
+            some = total[start : start + step]
             differ, ones = (own[: some.size].reshape(some.shape) for own in self._own[1:])
-            for a, b in zip(mine[:, start : start + self.step], theirs, strict=True):
+            for a, b in zip(mine[:, start : start + step], theirs, strict=True):
                 np.bitwise_xor(a[:, None], b, out=differ)
                 np.add(some, np.bitwise_count(differ, out=ones), out=some)
         return total
@@ -171,7 +173,8 @@ def _strip_nearest(tiles, strip: slice, ids: np.ndarray, exact, state: RunningTo
     bound, measured = state.bound + slack, slack == 0
     warm = bool(np.isfinite(bound).all())
     held, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
-    for part in _parts(len(ids), tiles.shape[1] if warm else FIRST_ROWS, tiles.shape[1]):
+    widest = tiles.shape[0] * tiles.shape[1] // max(count, tiles.shape[0])
+    for part in _parts(len(ids), widest if warm else min(FIRST_ROWS, widest), widest):
         if not warm and part.start == 0:
             first = tiles.tile(strip, part)
             if first.shape[1] >= k:
@@ -224,14 +227,16 @@ class Cell:
     def __init__(self, sources: np.ndarray, k: int, metric: str):
         self.coded, self.measure = metric == "hamming", metrics.metric_of(metric)
         self.rows = np.arange(len(sources)) if self.coded else np.flatnonzero(_has_direction(sources))
-        self.sources = sources[self.rows]
-        self.step = (_CodeTiles if self.coded else _FloatTiles).shape[0]
-        self.states = [RunningTopK(len(self.sources[at]), k) for at in self._strips()]
+        self.sources, self.k = sources[self.rows], k
+        self.strips: list[tuple[slice, RunningTopK]] = []
         self.last = None
 
-    def _strips(self) -> list[slice]:
-        count = len(self.sources)
-        return [slice(at, min(at + self.step, count)) for at in range(0, count, self.step)]
+    def _cut(self, targets: int) -> list[tuple[slice, RunningTopK]]:
+        """Strips of sources that make whole tiles with the first targets; fewer targets, longer strips."""
+        rows, cols = (_CodeTiles if self.coded else _FloatTiles).shape
+        step, count = rows * max(1, cols // max(targets, LEAST_COLS)), len(self.sources)
+        cuts = [slice(at, min(at + step, count)) for at in range(0, count, step)]
+        return [(at, RunningTopK(at.stop - at.start, self.k)) for at in cuts]
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         return x if self.coded else x.astype(np.float64)
@@ -245,7 +250,8 @@ class Cell:
         targets, ids = targets[order], ids[order]
         higher, self.last = self.last is None or ids[0] > self.last, max(ids[-1], ids[-1] if self.last is None else self.last)
         tiles = (_CodeTiles if self.coded else _FloatTiles)(targets, self.sources)
-        for strip, state in zip(self._strips(), self.states, strict=True):
+        self.strips = self.strips or self._cut(len(ids))
+        for strip, state in self.strips:
             own = self._wide(self.sources[strip])
 
             def exact(rows: np.ndarray, cols: np.ndarray, own=own) -> np.ndarray:
@@ -256,7 +262,7 @@ class Cell:
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(source row, target id, distance), by source and nearest first."""
-        parts = [(self.rows[at.start + s.query], s.ids, s.dist) for at, s in zip(self._strips(), self.states, strict=True)]
+        parts = [(self.rows[at.start + s.query], s.ids, s.dist) for at, s in self.strips]
         parts = parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 

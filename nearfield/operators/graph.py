@@ -22,7 +22,7 @@ from nearfield import settings
 from nearfield.functions import blocks
 from nearfield.operators import metrics
 from nearfield.operators.cells import FOUND, nearest_of_cells
-from nearfield.operators.ivf import nearest_list, nearest_lists
+from nearfield.operators.ivf import nearest_lists
 from nearfield.operators.knn import QueryBlock, per_block, scan_block, score_block
 from nearfield.operators.rerank import CANDIDATE_BYTES, pair_distance, rerank
 from nearfield.operators.topk import RunningTopK, top_k
@@ -64,18 +64,29 @@ def crowds(corpus: DataFrame, vec: str, copies: int) -> DataFrame:
     return cut_lineage(found.filter(F.col("held") > copies).drop("held"))
 
 
-def _sides(corpus: DataFrame, vec: str, crowd: DataFrame, crowd_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(targets, sources): rows that can be a neighbour, rows to find neighbours for."""
+def counted_crowds(corpus: DataFrame, degree: int, vec: str) -> tuple[DataFrame, int]:
+    """The crowds that matter to a graph of this degree, and how many there are."""
+    found = crowds(corpus.filter(F.col(vec).isNotNull()), vec, degree + 1)
+    return found, found.count()
+
+
+def _roles(corpus: DataFrame, vec: str, crowd: DataFrame, crowd_rows: int) -> DataFrame:
+    """(vec_id, vec, is_target, is_source): rows that can be a neighbour, or that neighbours are to be found for."""
     rows = corpus.select("vec_id", F.col(vec).alias("vec"))
     if crowd_rows == 0:
-        return rows, rows
+        return rows.select("vec_id", "vec", F.lit(True).alias("is_target"), F.lit(True).alias("is_source"))
     placed = rows.withColumns({"_h1": _content("vec")[0], "_h2": _content("vec")[1]}).join(
         _hinted(crowd, crowd_rows), ["_h1", "_h2"], "left"
     )
     alone = F.col("first").isNull()
-    targets = placed.filter(alone | (F.col("vec_id") <= F.col("last")))
-    sources = placed.filter(alone | (F.col("vec_id") == F.col("first")))
-    return targets.select("vec_id", "vec"), sources.select("vec_id", "vec")
+    target, source = (alone | (F.col("vec_id") <= F.col("last"))), (alone | (F.col("vec_id") == F.col("first")))
+    return placed.filter(target | source).select("vec_id", "vec", target.alias("is_target"), source.alias("is_source"))
+
+
+def _sides(corpus: DataFrame, vec: str, crowd: DataFrame, crowd_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(targets, sources): rows that can be a neighbour, rows to find neighbours for."""
+    rows = _roles(corpus, vec, crowd, crowd_rows)
+    return tuple(rows.filter(role).select("vec_id", "vec") for role in ("is_target", "is_source"))
 
 
 def _cell_edge(lists: pa.Table) -> int:
@@ -117,46 +128,51 @@ def _cell_tasks(spark: SparkSession, lists: pa.Table, sizes: list[tuple[int, int
     return min(sum(s * t for _, s, t, _ in sizes), wanted, CELL_PARTITIONS)
 
 
-def _sliced(rows: DataFrame, sizes: list[tuple[int, int, int, int]], is_target: bool) -> DataFrame:
+def _sliced(rows: DataFrame, sizes: list[tuple[int, int, int, int]]) -> DataFrame:
     """(cell, is_target, vec_id, vec): a source once for every run, a target once for every slice."""
+    names = ("list_id", "s", "t", "first")
     if len(sizes) == 1:
-        placed = rows.withColumns({name: F.lit(x) for name, x in zip(("list_id", "s", "t", "first"), sizes[0], strict=True)})
+        placed = rows.filter(F.col("list_id") == sizes[0][0]).withColumns({n: F.lit(x) for n, x in zip(names, sizes[0], strict=True)})
     else:
-        names = ("list_id", "s", "t", "first")
         columns = {name: pa.array(column, pa.int32()) for name, column in zip(names, zip(*sizes, strict=True), strict=True)}
         placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(pa.table(columns))), "list_id")
-    own, other = ("t", "s") if is_target else ("s", "t")
-    placed = placed.select(
-        F.pmod(F.xxhash64("vec_id"), own).cast("int").alias("_" + own),
-        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_" + other),
-        *("t", "first", "vec_id", "vec"),
-    )
-    cell = F.col("first") + F.col("_s") * F.col("t") + F.col("_t")
-    return placed.select(cell.alias("cell"), F.lit(is_target).alias("is_target"), "vec_id", "vec")
 
+    def side(own: str, other: str) -> Column:
+        """Cells of a row: its own slice or run by all of the other side."""
+        mine = F.pmod(F.xxhash64("vec_id"), own).cast("int")
+        place = (lambda i: mine * F.col("t") + i) if own == "s" else (lambda i: i * F.col("t") + mine)
+        return F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.col("first") + place(i))
 
-def cell_top_k(
-    sources: DataFrame, targets: DataFrame, k: int, metric: str, cell_rows: int | None = None
-) -> DataFrame:
+    cells = F.when(F.col("is_target"), side("t", "s")).otherwise(side("s", "t"))
+    return placed.select(F.explode(cells).alias("cell"), "is_target", "vec_id", "vec")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(list_id, is_target, vec_id, vec): a row once for the list that holds it and once for each that it looks into."""
+    place = lambda one, is_target: F.struct(one.alias("list_id"), F.lit(is_target).alias("is_target"))
+    none = F.array().cast("array<struct<list_id:int,is_target:boolean>>")
+    held = F.when(F.col("is_target"), F.array(place(F.col("own"), True))).otherwise(none)
+    asked = F.when(F.col("is_source"), F.transform("lists", lambda one: place(one, False))).otherwise(none)
+    return rows.select(F.explode(F.concat(held, asked)).alias("at"), "vec_id", "vec").select("at.*", "vec_id", "vec")
+
+
+def cell_top_k(rows: DataFrame, k: int, metric: str, cell_rows: int | None = None) -> DataFrame:
     """(src, nbrs): k best targets of every source among its lists, nearest first.
 
-    Both sides carry (list_id, vec_id, vec); a source may sit in several lists.
+    ``rows`` carry (vec_id, vec, is_target, is_source, own, lists): the list that holds a
+    target, and the lists that a source looks into.
     """
-
-    width = F.size("vec").alias("width")
-    sides = sources.select("list_id", F.lit(1).alias("s"), F.lit(0).alias("t"), width).unionByName(
-        targets.select("list_id", F.lit(0).alias("s"), F.lit(1).alias("t"), width)
-    )
-    totals = [F.sum("s").alias("s"), F.sum("t").alias("t"), F.max("width").alias("width")]
+    placed = _placed(rows)
+    totals = [F.count_if(~F.col("is_target")).alias("s"), F.count_if("is_target").alias("t"), F.max(F.size("vec")).alias("width")]
     # One row per list; the number of lists is a parameter of the build.
-    lists = sides.groupBy("list_id").agg(*totals).filter((F.col("s") > 0) & (F.col("t") > 0)).toArrow()
+    lists = placed.groupBy("list_id").agg(*totals).filter((F.col("s") > 0) & (F.col("t") > 0)).toArrow()
     edge = cell_rows or _cell_edge(lists)
     sizes = _cell_sizes(lists, edge)
     if not sizes:
-        return sources.sparkSession.createDataFrame([], FOUND)
-    cells = _sliced(sources, sizes, False).unionByName(_sliced(targets, sizes, True))
+        return rows.sparkSession.createDataFrame([], FOUND)
+    cells = _sliced(placed, sizes)
     # They are not put together again by bytes, as time goes by pairs.
-    count = _cell_tasks(sources.sparkSession, lists, sizes)
+    count = _cell_tasks(rows.sparkSession, lists, sizes)
     cells = cells.repartitionById(count, F.pmod("cell", F.lit(count)))
     cells = cells.sortWithinPartitions("cell", "is_target", "vec_id")
     chunk = cell_rows or min(_fitting(lists), settings.CELL_ROWS_MOST)
@@ -177,25 +193,26 @@ def knn_graph(
     centroids: np.ndarray | None = None,
     probes: int = 1,
     cell_rows: int | None = None,
+    crowded: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """(vec_id, nbrs): the ``degree`` nearest other rows, nearest first.
 
     With ``centroids`` a row looks into its ``probes`` nearest lists; without,
-    into the whole corpus, which is exact and quadratic.
+    into the whole corpus, which is exact and quadratic.  ``crowded`` is what
+    ``counted_crowds`` found, where the caller has asked for it.
     """
     spark = corpus.sparkSession
     metric = "hamming" if vec.startswith("code_") else "cosine"
+    crowd, crowd_rows = crowded or counted_crowds(corpus, degree, vec)
     corpus = corpus.filter(F.col(vec).isNotNull())
-    crowd = crowds(corpus, vec, degree + 1)
-    crowd_rows = crowd.count()
-    targets, sources = _sides(corpus, vec, crowd, crowd_rows)
+    rows = _roles(corpus, vec, crowd, crowd_rows)
     if centroids is None:
-        targets, sources = (side.withColumn("list_id", F.lit(0)) for side in (targets, sources))
+        rows = rows.withColumns({"own": F.lit(0), "lists": F.array(F.lit(0))})
     else:
-        targets = targets.withColumn("list_id", nearest_list(spark, F.col("vec"), centroids, metric))
-        lists = nearest_lists(spark, F.col("vec"), centroids, probes, metric)
-        sources = sources.select("vec_id", "vec", F.explode(lists).alias("list_id"))
-    found = cell_top_k(sources, targets, degree + 1, metric, cell_rows).withColumnRenamed("src", "vec_id")
+        # The nearest of the lists that a row looks into is the one that holds it.
+        rows = rows.withColumn("lists", nearest_lists(spark, F.col("vec"), centroids, probes, metric))
+        rows = rows.withColumn("own", F.col("lists")[0])
+    found = cell_top_k(rows, degree + 1, metric, cell_rows).withColumnRenamed("src", "vec_id")
     if crowd_rows:
         found = _with_copies(corpus, crowd, cut_lineage(found), vec)
     return found.select("vec_id", _without_self(F.col("nbrs"), F.col("vec_id"), degree).alias("nbrs"))

@@ -116,3 +116,17 @@ def test_small_cells_share_tasks(spark):
     large = pa.table({"list_id": list(range(50)), "s": [98_460] * 50, "t": [12_300] * 50, "width": [64] * 50})
     sizes = graph._cell_sizes(large, graph._cell_edge(large))
     assert graph._cell_tasks(spark, large, sizes) == sum(s * t for _, s, t, _ in sizes)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "hamming"])
+def test_few_targets_make_long_strips(metric):
+    """A list of 200 rows took 40 strips of 128 for 5,000 sources; later chunks, however long, fit the tiles all the same."""
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(5200, 6)), rng.normal(size=(600, 6))
+    if metric == "hamming":
+        x, q = ((a * 4).astype(np.int64) for a in (x, q))
+    cell = Cell(q, 9, metric)
+    cell.meet(x[:200], np.arange(200))
+    assert len(cell.strips) == 1
+    cell.meet(x[200:], np.arange(200, 5200))
+    assert list(zip(*(c.tolist() for c in cell.found()), strict=True)) == plain(q, x, np.arange(5200), 9, metric)

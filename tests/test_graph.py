@@ -163,3 +163,22 @@ def test_code_graph_with_rerank(embeddings, thresholds, unit):
     truth = knn.exact_knn(prep.as_queries(unit.filter("vec_id % 50 = 7")), unit, 10)
     assert evaluate.mean_recall(found, truth).first().recall > 0.9
     assert found.groupBy("qid").count().filter(F.col("count") != 10).isEmpty()
+
+
+def test_rows_are_placed_in_one_pass(spark):
+    """A row took one look for the list that holds it and another for those it looks into, each in a scan of its own."""
+    x = np.random.default_rng(9).normal(size=(120, 6)).astype(np.float32)
+    table = materialise(vectors(spark, x.tolist(), "f32"), "rows")
+    lists = ivf.seed_centroids(table, 5)
+    text = graph.knn_graph(table, 4, "f32", lists, 2)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1 and text.count("FileScan") == 1
+
+
+def test_crowds_found_before_are_not_sought_again(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(90, 6)).astype(np.float32)
+    x[::3] = x[0]
+    table = vectors(spark, x.tolist(), "f32")
+    crowded = graph.counted_crowds(table, 4, "f32")
+    assert crowded[1] == 1
+    monkeypatch.setattr(graph, "crowds", None)
+    assert neighbours(graph.knn_graph(table, 4, crowded=crowded)) == brute_graph(x.astype(float), 4)

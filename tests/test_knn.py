@@ -156,3 +156,12 @@ def test_a_pilot_changes_the_shuffle_and_not_the_result(spark, coded, tmp_path):
     # A pilot too small to hold k rows bounds nothing.
     few = knn.exact_knn(queries(coded[64]), table, 10, pilot=table.filter("vec_id < 5"))
     assert few.orderBy("qid", "rk").collect() == knn.exact_knn(queries(coded[64]), table, 10).orderBy("qid", "rk").collect()
+
+
+def test_recall_takes_one_shuffle_of_pairs_and_counts_sets(spark):
+    """Rows found twice count once, a query without a result counts, one without a true row does not, rows without id never match."""
+    frame = lambda rows: spark.createDataFrame(rows, "qid bigint, vec_id bigint")
+    truth = frame([(1, 10), (1, 11), (1, 11), (1, None), (2, 10), (None, 5)])
+    found = frame([(1, 11), (1, 11), (1, 12), (1, None), (3, 10), (None, 5)])
+    assert {r.qid: r.recall for r in evaluate.recall_at_k(found, truth).collect()} == {1: 1 / 3, 2: 0.0, None: 0.0}
+    assert evaluate.recall_at_k(found, truth)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
