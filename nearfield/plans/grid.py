@@ -31,7 +31,6 @@ FLOAT_METHODS = {
 CODE_METHODS = ["graph_rerank", "ivf_rerank", "exact_rerank"]
 CODE_VARIANTS = ["mean", "thermo8", "thermo4"]
 STORAGE = {"f32": "float32", "f16": "float16"}
-PREPARED_AT_ONCE = 3  # tables that are encoded side by side, before anything is timed
 CELL_KEYS = [("dimension", "int"), ("storage", "string"), ("method", "string"), ("variant", "string")]
 RESULTS = (
     "dimension int, storage string, method string, variant string, build_time_s double, index_bytes bigint, "
@@ -108,16 +107,12 @@ def _cell(method: str, precision: str, variant: str | None, table: DataFrame, sa
         return nodes.agg(F.coalesce(F.sum(F.size("nbr_ids") * 8), F.lit(0))).first()[0]
 
     def blocked(vec: str) -> DataFrame:
-        with ThreadPoolExecutor(1) as aside:
-            # Crowds do not depend on the lists.
-            crowded = aside.submit(graph.counted_crowds, own, p.degree, vec)
-            centroids = (
-                ivf.seed_centroids(own, p.lists, vec)
-                if variant
-                else ivf.train_centroids(own, p.lists, p.steps, vec)
-            )
-        probes = p.probes_codes if variant else p.probes
-        return graph.knn_graph(own, p.degree, vec, centroids, probes, crowded=crowded.result())
+        centroids = (
+            ivf.seed_centroids(own, p.lists, vec)
+            if variant
+            else ivf.train_centroids(own, p.lists, p.steps, vec)
+        )
+        return graph.knn_graph(own, p.degree, vec, centroids, p.probes_codes if variant else p.probes)
 
     if method == "exact":
         return _Cell(lambda: own, lambda t: knn.exact_knn(queries, t, p.k, precision), lambda t: 0)
@@ -200,26 +195,19 @@ def _prepared(
     corpus: DataFrame, query_ids: DataFrame, dims: list[int], full_dim: int, profile: Profile
 ) -> tuple[DataFrame, dict[int, DataFrame], dict[int, DataFrame]]:
     """Truth over full-width vectors, the encoded table of each dimension and its rows that are queries."""
+    thresholds = fit_thresholds(corpus, full_dim)
     full = represent(corpus, full_dim, full_dim, ("f32",))
+    wanted = cut_lineage(query_ids.select("vec_id"))
+    asked = as_queries(full.join(wanted, "vec_id", "left_semi"))
+    truth = cut_lineage(knn.ground_truth(asked, full, profile.k, "f32"))
     columns = ("f32", "f16", *[f"code_{v}" for v in CODE_VARIANTS])
-
-    def true_answer() -> tuple[DataFrame, DataFrame]:
-        wanted = cut_lineage(query_ids.select("vec_id"))
-        asked = as_queries(full.join(wanted, "vec_id", "left_semi"))
-        return wanted, cut_lineage(knn.ground_truth(asked, full, profile.k, "f32"))
-
-    with ThreadPoolExecutor(1) as aside:
-        answered = aside.submit(true_answer)
-        thresholds = fit_thresholds(corpus, full_dim)
-    wanted, truth = answered.result()
-
-    def encoded(dim: int) -> tuple[DataFrame, DataFrame]:
-        table = materialise(represent(corpus, dim, full_dim, columns, thresholds), f"items_{dim}")
-        return table, materialise(table.join(wanted, "vec_id", "left_semi"), f"queries_{dim}")
-
-    with ThreadPoolExecutor(PREPARED_AT_ONCE) as pool:
-        made = dict(zip(dims, pool.map(encoded, dims), strict=True))
-    return truth, {dim: table for dim, (table, _) in made.items()}, {dim: asked for dim, (_, asked) in made.items()}
+    tables = {
+        dim: materialise(represent(corpus, dim, full_dim, columns, thresholds), f"items_{dim}") for dim in dims
+    }
+    samples = {
+        dim: materialise(table.join(wanted, "vec_id", "left_semi"), f"queries_{dim}") for dim, table in tables.items()
+    }
+    return truth, tables, samples
 
 
 def _cell_of(spec: Row, table: DataFrame, sample: DataFrame, profile: Profile) -> _Cell:
