@@ -17,7 +17,7 @@ from nearfield.functions.rules import code_storage_mb, vector_storage_mb
 from nearfield.operators import graph, ivf, knn, rabitq, rerank
 from nearfield.operators.evaluate import mean_recall
 from nearfield.operators.prep import as_queries, fit_thresholds, represent
-from nearfield.session import cut_lineage, materialise
+from nearfield.session import cut_lineage, materialise, release
 from nearfield.sources.tables import index_size
 
 # Precisions of each method over floats, and the coded methods.
@@ -281,6 +281,7 @@ def run_grid(
                 status = f"{type(error).__name__}: {str(error)[:200]}"
             measured = (build_s, size, spec.storage_mb, latency, recall, status)
             rows.append((spec.dimension, spec.storage, spec.method, spec.variant, *measured))
+        release(spark)
         return rows
 
     with ThreadPoolExecutor(parallel) as pool:

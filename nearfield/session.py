@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pathlib
 import tempfile
 import uuid
@@ -71,6 +72,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs have left.
+
+    Spark drops their broadcasts and shuffle files only when the driver has collected garbage,
+    which a driver of many small jobs puts off until its heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Make this package importable in the session's Python workers, once."""
     sc = spark.sparkContext

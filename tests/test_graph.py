@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from nearfield import settings
 from nearfield.operators import evaluate, graph, ivf, knn, prep
+from nearfield.plans import grid
 from nearfield.session import materialise
 
 
@@ -172,3 +173,12 @@ def test_rows_are_placed_in_one_pass(spark):
     lists = ivf.seed_centroids(table, 5)
     text = graph.knn_graph(table, 4, "f32", lists, 2)._jdf.queryExecution().executedPlan().toString()
     assert text.count("ArrowEvalPython") == 1 and text.count("FileScan") == 1
+
+
+def test_a_grid_releases_what_an_index_has_left(spark, embeddings, monkeypatch):
+    """After every index, not every cell; else the driver's heap holds the broadcasts of hundreds of jobs."""
+    calls = []
+    monkeypatch.setattr(grid, "release", lambda session, release=grid.release: calls.append(release(session)))
+    profile = grid.Profile(k=5, overfetch=2, lists=4, steps=1)
+    found = grid.run_grid(embeddings, embeddings.select("vec_id").limit(3), [16], 64, profile, ["exact"], False).collect()
+    assert [r.status for r in found] == ["ok", "ok"] and len(calls) == 2
